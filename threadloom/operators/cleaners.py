@@ -1,7 +1,7 @@
 """Record to table: cleaner registry, skip rule, projection.
 
 A cleaner maps a DataFrame to a DataFrame. Its input has one text column per raw field of the source,
-the raw line in ``value`` and the place columns. Dropping a row filters it, keeping it maps it, and
+``filled`` (see ``parse_records``) and the place columns. Dropping a row filters it, keeping it maps it, and
 exploding an array makes several rows of it. Cleaners never see each other's changes.
 """
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import bounded_broadcast
+
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order.
@@ -26,12 +28,22 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def later_copies(df: DataFrame, keys: Sequence[str], place: Sequence[str]) -> DataFrame:
-    """Rows that repeat the key of an earlier row. ``place`` must identify a row and give the order.
+    """Places of the rows that repeat the key of an earlier row.
 
-    The anti join is on ``place``, which is unique, so copies of one key spread over all tasks.
+    ``place`` must identify a row and give the order. Only key and place columns are shuffled, and
+    only for keys that occur more than once. The anti join is on ``place``, which is unique, so the
+    copies of one key spread over all tasks.
     """
-    kept = first_seen(df.select(*keys, *place), keys, place).select(*place)
-    return df.join(kept, list(place), "left_anti")
+    narrow = df.select(*keys, *place)
+    repeated = bounded_broadcast(duplicate_keys(narrow, keys).select(*keys))
+    suspects = narrow.join(repeated, list(keys), "left_semi")
+    kept = first_seen(suspects, keys, place).select(*place)
+    return suspects.select(*place).join(kept, list(place), "left_anti")
+
+
+def known_keys(df: DataFrame, keys: Sequence[str], stored: DataFrame) -> DataFrame:
+    """Distinct keys of ``df`` that are also in ``stored``; only key columns are shuffled."""
+    return df.select(*keys).join(stored.select(*keys), list(keys), "left_semi").distinct()
 
 
 def drop_listed(df: DataFrame, value: Column, listed: DataFrame) -> DataFrame:

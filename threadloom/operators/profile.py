@@ -69,10 +69,7 @@ def _metadata_hash() -> Column:
 def file_manifest(
     spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, large_bytes: int = LARGE_FILE_BYTES
 ) -> DataFrame:
-    """``path, line_count, hash, hash_method`` of every file.
-
-    Large files are hashed by size and modification time. Lines are counted in the same scan.
-    """
+    """``path, line_count, hash, hash_method, length, modified`` of every file, all files read once."""
     files = list_files(spark, paths, recursive)
     content = content_fingerprints(read_lines(spark, paths, recursive)).withColumnRenamed("hash", "content_hash")
     large = F.col("length") > large_bytes
@@ -81,9 +78,26 @@ def file_manifest(
         F.coalesce("line_count", F.lit(0)).alias("line_count"),
         F.when(large, _metadata_hash()).otherwise(F.coalesce("content_hash", F.md5(F.lit("0")))).alias("hash"),
         F.when(large, F.lit(PARTIAL)).otherwise(F.lit(FULL)).alias("hash_method"),
+        "length",
+        "modified",
     )
 
 
+def update_manifest(
+    spark: SparkSession, old: DataFrame, paths: str | Sequence[str], recursive: bool = True
+) -> DataFrame:
+    """Current manifest, reading only files whose size or time differs from their entry.
+
+    Other entries are reused with their count, and entries of files that are gone are dropped.
+    """
+    same_file = ["path", "length", "modified"]
+    files = list_files(spark, paths, recursive)
+    kept = old.join(files, same_file, "left_semi")
+    # File names only, which the driver holds anyway to plan a scan of these files.
+    stale = [r["path"] for r in files.join(old, same_file, "left_anti").select("path").collect()]
+    return kept.unionByName(file_manifest(spark, stale, recursive=False)) if stale else kept
+
+
 def compare_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path`` with ``status``: new, changed, unchanged or gone."""
     before = old.select("path", F.col("hash").alias("old_hash"))

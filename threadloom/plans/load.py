@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.catalog import DEFAULT_CATALOG, Catalog
@@ -27,10 +27,10 @@ from threadloom.operators.cleaners import (
     project,
     wiki_faults,
 )
-from threadloom.operators.keys import duplicate_keys, first_seen, later_copies
-from threadloom.session import scratch_path
+from threadloom.operators.keys import first_seen, known_keys, later_copies
+from threadloom.session import bounded_broadcast, scratch_path, size_shuffles, tune
 from threadloom.sinks.tables import LOAD, append_load, append_rows, quarantine, with_key_layout, write_documents
-from threadloom.sources.ndjson import MALFORMED, PLACE, parse_records, read_documents, read_lines
+from threadloom.sources.ndjson import MALFORMED, PLACE, list_files, parse_records, read_documents, read_lines
 from threadloom.sources.numbering import first_lines
 
 LEDGER_SCHEMA = "file string, `table` string"
@@ -136,23 +136,35 @@ def summary_row(
 
 
 def stage_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """Parse the lines once and continue from the Parquet copy."""
+    """Parse the lines once and continue from the Parquet copy. Only faulty lines keep their text."""
     spark = lines.sparkSession
     path = scratch_path(spark, f"staged-{source}")
     width = max(len(catalog.key(t)) for t in catalog.sources[source].tables)
-    parse_records(lines, catalog.raw_fields(source), width).write.parquet(path)
+    parsed = parse_records(lines, catalog.raw_fields(source), width)
+    faulty_text = F.when(F.col("fault").isNotNull(), F.col("value"))
+    parsed.withColumn("value", faulty_text).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def _other_loads(spark: SparkSession, store: Store, table: str, load_id: str, catalog: Catalog) -> DataFrame:
-    keys = catalog.key(table)
+def _stored_keys(store: Store, table: str, load_id: str, rows: DataFrame, catalog: Catalog) -> DataFrame:
+    """Keys other loads have stored, within the key range of ``rows``.
+
+    Stored files are sorted by key, so the range lets Parquet statistics skip those out of reach:
+    keys that grow with time overlap with few files.
+    """
+    spark, keys = rows.sparkSession, catalog.key(table)
     schema = ", ".join(f"`{k}` string" for k in keys) + f", {LOAD} string"
     stored = read_or_empty(spark, store.table(table), schema)
-    return stored.filter(F.col(LOAD).cast("string") != load_id).select(*keys)
+    first = keys[0]
+    low, high = rows.agg(F.min(first), F.max(first)).first()
+    in_reach = F.col(first).between(F.lit(low), F.lit(high))
+    return stored.filter((F.col(LOAD).cast("string") != load_id) & in_reach).select(*keys)
 
 
-def _reject(rows: DataFrame, fault: str) -> DataFrame:
-    return rows.withColumn("fault", F.lit(fault))
+def _rejected(rows: DataFrame, fault: Column, fields: Sequence[str]) -> DataFrame:
+    """Rejected rows with their reason and their fields as JSON."""
+    text = F.to_json(F.struct(*[f for f in fields if f in rows.columns]))
+    return rows.select(fault.alias("fault"), text.alias("value"), *PLACE)
 
 
 def load_records(
@@ -171,40 +183,42 @@ def load_records(
     ``on_duplicate``: ``fail`` refuses a load that repeats a key, ``quarantine`` keeps the first row
     and sets the others aside, ``keep`` skips the check.
     """
-    spark = records.sparkSession
+    fields = catalog.raw_fields(source)
     quarantine(records.filter(F.col("fault") == MALFORMED), store.quarantine, load_id, source)
     sound = records.filter(F.col("fault").isNull()).drop("fault")
     for table in tables:
         keys = list(catalog.key(table))
         rows = clean_table(sound, table, registry, catalog)
-        stored = _other_loads(spark, store, table, load_id, catalog)
-        rejected = [lost_values(rows, table, catalog)]
-        typed = None
+        lost = lost_values(rows, table, catalog)
+        rejected = [_rejected(lost, F.col("fault"), fields)]
         if table == "wiki":
-            rejected.append(wiki_faults(sound))
+            rejected.append(_rejected(wiki_faults(sound), F.col("fault"), fields))
         elif table not in COMPUTED_KEY_TABLES:
-            rejected.append(_reject(sound.filter(key_fault(keys)), "key_missing"))
+            rejected.append(_rejected(sound.filter(key_fault(keys)), F.lit("key_missing"), fields))
         if table in FIRST_SEEN_TABLES:
-            # Only the table's own columns enter the aggregate, not the raw line.
-            typed = first_seen(project(rows, table, catalog, order), keys, order).join(stored, keys, "left_anti")
-        elif on_duplicate != "keep":
-            repeated = later_copies(rows, keys, order)
-            known = rows.join(stored, keys, "left_semi")
-            if on_duplicate == "fail":
-                clash = duplicate_keys(rows, keys).select(*keys).unionByName(known.select(*keys))
-                if not clash.isEmpty():
-                    clashing = repeated.unionByName(known)
-                    quarantine(_reject(clashing, "key_repeated"), store.quarantine, load_id, table)
-                    raise DuplicateKeyError(f"{table}: a key occurs more than once, see {store.quarantine}")
-            else:
-                rejected.append(_reject(repeated.unionByName(known), "key_repeated"))
-                rows = rows.join(repeated.select(*order), list(order), "left_anti").join(stored, keys, "left_anti")
-        reasons = [r.select("fault", "value", *PLACE) for r in rejected]
-        bad = reasons[0]
-        for more in reasons[1:]:
+            stored = _stored_keys(store, table, load_id, rows, catalog)
+            # Only the table's own columns enter the aggregate.
+            first = first_seen(project(rows, table, catalog, order), keys, order)
+            typed = first.join(stored, keys, "left_anti").drop(*order)
+        elif on_duplicate == "keep":
+            typed = project(rows, table, catalog)
+        else:
+            stored = _stored_keys(store, table, load_id, rows, catalog)
+            copies = bounded_broadcast(later_copies(rows, keys, order))
+            known = bounded_broadcast(known_keys(rows, keys, stored))
+            repeated = rows.join(copies, list(order), "left_semi").unionByName(rows.join(known, keys, "left_semi"))
+            clashing = _rejected(repeated, F.lit("key_repeated"), fields)
+            if on_duplicate == "fail" and not (copies.isEmpty() and known.isEmpty()):
+                quarantine(clashing, store.quarantine, load_id, table)
+                raise DuplicateKeyError(f"{table}: a key occurs more than once, see {store.quarantine}")
+            if on_duplicate == "quarantine":
+                rejected.append(clashing.distinct())
+                rows = rows.join(copies, list(order), "left_anti").join(known, keys, "left_anti")
+            typed = project(rows, table, catalog)
+        bad = rejected[0]
+        for more in rejected[1:]:
             bad = bad.unionByName(more)
         quarantine(bad, store.quarantine, load_id, table)
-        typed = project(rows, table, catalog) if typed is None else typed.drop(*order)
         append_load(with_key_layout(typed, keys), store.table(table), load_id)
 
 
@@ -228,6 +242,7 @@ def load_source(
     if not todo:
         return []
     start = datetime.now(timezone.utc)
+    size_shuffles(tune(spark), list_files(spark, paths).agg(F.sum("length")).first()[0] or 0)
     lines = read_lines(spark, paths)
     if max_lines is not None:
         lines = first_lines(lines, max_lines).drop("line_no")

@@ -379,7 +379,7 @@ def _(spark, sf_dir):
 
 @registered(
     "key_copies",
-    """SELECT user_id, event_id FROM
+    """SELECT event_id FROM
          (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn > 1""",
 )
 def _(spark, sf_dir):
@@ -387,6 +387,15 @@ def _(spark, sf_dir):
     return keys.later_copies(events, ["user_id"], ["event_id"])
 
 
+@registered(
+    "known_keys",
+    "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+)
+def _(spark, sf_dir):
+    stored = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return keys.known_keys(T.table(spark, sf_dir, "customer"), ["c_custkey"], stored)
+
+
 @registered("name_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, sf_dir):
     done = T.table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("id"))
@@ -456,17 +465,29 @@ def _(spark, sf_dir):
     return counts.agg(F.sum("line_count").alias("lines"))
 
 
-@registered("file_discovery")
+@registered("file_discovery", "SELECT 'with extension' AS kind, count(*) AS lines FROM events")
 def _(spark, sf_dir):
-    """Files without an extension below a folder; the part files of a Spark write all have one."""
+    """Lines by kind of file; the part files of a Spark write all have an extension."""
     path = T.write_event_dump(spark, sf_dir)
-    plain = ndjson.find_plain_files(spark, path).select("path", F.lit(True).alias("plain"))
-    return ndjson.list_files(spark, path).select("path").join(plain, "path", "left")
+    plain = ndjson.find_plain_files(spark, path).select(F.col("path").alias("file_path"), F.lit("plain").alias("kind"))
+    counts = profile.line_counts(spark, path).withColumnRenamed("path", "file_path")
+    kind = F.coalesce("kind", F.lit("with extension")).alias("kind")
+    return counts.join(plain, "file_path", "left").groupBy(kind).agg(F.sum("line_count").alias("lines"))
+
+
+@registered("file_manifest", "SELECT 'content' AS hash_method, count(*) AS lines FROM events")
+def _(spark, sf_dir):
+    manifest = profile.file_manifest(spark, T.write_event_dump(spark, sf_dir, files=4))
+    return manifest.groupBy("hash_method").agg(F.sum("line_count").alias("lines"))
 
 
-@registered("file_manifest")
+@registered("manifest_update", "SELECT 'content' AS hash_method, 2 * count(*) AS lines FROM events")
 def _(spark, sf_dir):
-    return profile.file_manifest(spark, T.write_event_dump(spark, sf_dir, files=4))
+    """A second dump appears beside the first: only its files are read."""
+    first, second = T.write_event_dump(spark, sf_dir), T.write_event_dump(spark, sf_dir)
+    old = profile.file_manifest(spark, first)
+    manifest = profile.update_manifest(spark, old, [first, second])
+    return manifest.groupBy("hash_method").agg(F.sum("line_count").alias("lines"))
 
 
 @registered("fingerprint_total", "SELECT count(*) AS lines, 1 AS same FROM events")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # offset or a short key per row, so the bound keeps a broadcast near 100 MB.
 BROADCAST_ROWS = 1_000_000
 
+# Input bytes per shuffle partition, and a ceiling that keeps shuffle bookkeeping in bounds.
+SHUFFLE_BYTES = 256 * 1024**2
+MAX_SHUFFLE_PARTITIONS = 100_000
+
 # Settings that can also be given to a running session. The method limit is the size up to which the JVM
 # compiles a method: a projection over a wide record beyond it would run interpreted, while below
 # whole-stage generation Spark splits such a projection into small methods.
@@ -46,6 +50,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Raise the shuffle partition count to suit the input; adaptive execution merges what is too small.
+
+    A partition count fixed for small inputs would put gigabytes into each task of a large load.
+    """
+    wanted = min(input_bytes // SHUFFLE_BYTES, MAX_SHUFFLE_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a local one is made only if none is set.
 
