@@ -19,12 +19,9 @@ PARTIAL = "metadata"
 
 
 def line_counts(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """``path`` and ``line_count`` of every file; an empty file counts zero."""
-    counted = read_lines(spark, paths, recursive).groupBy("file_path").agg(F.count("*").alias("line_count"))
-    files = list_files(spark, paths, recursive).select(F.col("path").alias("file_path"))
-    return files.join(counted, "file_path", "left").select(
-        F.col("file_path").alias("path"), F.coalesce("line_count", F.lit(0)).alias("line_count")
-    )
+    """``path`` and ``line_count`` of every file that has content."""
+    lines = read_lines(spark, paths, recursive)
+    return lines.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("line_count"))
 
 
 def content_fingerprints(lines: DataFrame) -> DataFrame:
@@ -73,10 +70,10 @@ def file_manifest(
     files = list_files(spark, paths, recursive)
     content = content_fingerprints(read_lines(spark, paths, recursive)).withColumnRenamed("hash", "content_hash")
     large = F.col("length") > large_bytes
-    return files.join(content, "path", "left").select(
+    return files.join(content, "path").select(
         "path",
-        F.coalesce("line_count", F.lit(0)).alias("line_count"),
-        F.when(large, _metadata_hash()).otherwise(F.coalesce("content_hash", F.md5(F.lit("0")))).alias("hash"),
+        "line_count",
+        F.when(large, _metadata_hash()).otherwise(F.col("content_hash")).alias("hash"),
         F.when(large, F.lit(PARTIAL)).otherwise(F.lit(FULL)).alias("hash_method"),
         "length",
         "modified",

@@ -20,7 +20,7 @@ METRIC_FILE = "struct<times: array<double>, memories: array<double>, output_leng
 
 def read_metric_file(spark: SparkSession, path: str, system: str) -> DataFrame:
     """Runs out of a file that maps query names to arrays of times, memories and output lengths."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     series = whole.select(F.explode(F.from_json("value", f"map<string, {METRIC_FILE}>")).alias("query", "m"))
     zipped = F.arrays_zip("m.times", "m.memories", "m.output_lengths")
     return series.select("query", F.explode(zipped).alias("r")).select(

@@ -51,7 +51,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool
 
 
 def list_files(spark: SparkSession, root: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """``path``, ``length`` and ``modified`` of files. The content column is pruned, so no file is read."""
+    """``path``, ``length`` and ``modified`` of files. The content column is pruned, so no file is read.
+
+    Spark scans skip files without content, so empty files are not listed.
+    """
     paths = [root] if isinstance(root, str) else list(root)
     return (
         spark.read.format("binaryFile")
@@ -105,19 +108,20 @@ def parse_records(lines: DataFrame, fields: Sequence[str], key_width: int = 1) -
     ddl = ", ".join(f"`{f}` STRING" for f in fields)
     parsed = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), f"ARRAY<STRUCT<{ddl}>>", STRICT_JSON)
     closed = F.endswith(F.rtrim(F.col("value"), F.lit(WHITESPACE)), F.lit("}"))
-    sound = closed & (F.size("_parsed") == 1) & F.col("_parsed")[0].isNotNull()
+    sound = closed & (F.size("_parsed") == 1) & F.get("_parsed", F.lit(0)).isNotNull()
     fault = F.when(~F.coalesce(sound, F.lit(False)), F.when(is_blank(F.col("value")), BLANK).otherwise(MALFORMED))
     # Any key_width + 1 filled fields settle the count for the skip rule, so a few are enough to look
     # at; the rest of the record is counted only when these leave it open.
-    seen = count_filled([F.col("_parsed")[0][f] for f in fields[: key_width + WITNESS_FIELDS]])
+    record = F.get("_parsed", F.lit(0))
+    seen = count_filled([record[f] for f in fields[: key_width + WITNESS_FIELDS]])
     anywhere = F.size(F.map_filter(F.from_json("value", "map<string,string>"), lambda _, v: v != ""))
-    filled = F.when(seen > key_width, seen).otherwise(anywhere)
-    row = F.struct(fault.alias("fault"), filled.alias("filled"), F.col("_parsed")[0].alias("_record"))
+    filled = F.when(F.col("_seen") > key_width, F.col("_seen")).otherwise(anywhere)
+    row = F.struct(fault.alias("fault"), seen.alias("_seen"), record.alias("_record"))
     # Both steps are generators because the optimizer moves no expression through one. As plain
-    # columns the parse and the count would be copied into every later condition that names a field.
+    # columns the parse would be copied into every later condition that names a field.
     parsed_once = lines.select("*", F.explode(F.array(parsed)).alias("_parsed"))
     return parsed_once.select(*lines.columns, F.inline(F.array(row))).select(
-        *lines.columns, "fault", "filled", *[F.col("_record")[f].alias(f) for f in fields]
+        *lines.columns, "fault", filled.alias("filled"), *[F.col("_record")[f].alias(f) for f in fields]
     )
 
 
