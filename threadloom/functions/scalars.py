@@ -15,39 +15,32 @@ SUMMARY_TIME_FORMAT = "dd MMMM yyyy HH:mm.ss"
 WHITESPACE = " \t\n\r\f\v"
 
 
-def _numeric_flag(text: Column) -> Column:
-    return F.when(F.lower(text) == "true", F.lit(1)).when(F.lower(text) == "false", F.lit(0))
+_TRUTH = "CASE lower({c}) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END"
 
-
-def to_flag(text: Column) -> Column:
-    """Boolean from ``true``/``false`` or from a number (zero once cut to an integer is false)."""
-    number = text.try_cast("double").try_cast("bigint")
-    return F.coalesce(_numeric_flag(text).cast("bigint"), number) != 0
-
-
-def to_integer(text: Column) -> Column:
-    return F.coalesce(
-        text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), _numeric_flag(text).cast("bigint")
-    )
+# A raw JSON value, read as text, in its declared column type; NULL where the type cannot hold it.
+COERCIONS = {
+    "boolean": "coalesce(try_cast({c} AS boolean), try_cast({c} AS double) <> 0)",
+    "bigint": f"coalesce(try_cast({{c}} AS bigint), try_cast(try_cast({{c}} AS double) AS bigint), {_TRUTH})",
+    "double": f"coalesce(try_cast({{c}} AS double), {_TRUTH})",
+    "string": "replace({c}, chr(0), '')",
+}
 
 
-def to_float(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double"), _numeric_flag(text).cast("double"))
+def coercion_sql(name: str, type_name: str) -> str:
+    """SQL text of a typed column. Wide projections are built from text: one call per column."""
+    return COERCIONS[type_name].format(c=f"`{name}`")
 
 
-def to_boolean(text: Column) -> Column:
-    return F.coalesce(text.try_cast("boolean"), text.try_cast("double") != 0)
+def to_flag(text: Column) -> Column:
+    """Boolean from ``true``/``false`` or from a number (zero once cut to an integer is false)."""
+    truth = F.when(F.lower(text) == "true", F.lit(1)).when(F.lower(text) == "false", F.lit(0)).cast("bigint")
+    return F.coalesce(truth, text.try_cast("double").try_cast("bigint")) != 0
 
 
 def strip_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\0"), F.lit(""))
 
 
-def coerce(text: Column, type_name: str) -> Column:
-    """A raw JSON value, read as text, in its declared column type."""
-    return {"boolean": to_boolean, "bigint": to_integer, "double": to_float}.get(type_name, strip_nul)(text)
-
-
 def normal_name(text: Column) -> Column:
     """Name form used for matching: surrounding whitespace removed, lower case."""
     return F.lower(F.trim(text, F.lit(WHITESPACE)))

@@ -150,12 +150,13 @@ def apply_skip_rule(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def project(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG, extra: Sequence[str] = ()) -> DataFrame:
     """The table's columns in their declared types; a field the record lacks is NULL."""
     present = set(rows.columns)
-    columns = [
-        (S.coerce(F.col(f.name), f.dataType.simpleString()) if f.name in present else F.lit(None).cast(f.dataType))
-        .alias(f.name)
-        for f in catalog.schema(table).fields
-    ]
-    return rows.select(*columns, *extra)
+
+    def column(field) -> Column:
+        kind = field.dataType.simpleString()
+        sql = S.coercion_sql(field.name, kind) if field.name in present else f"CAST(NULL AS {kind})"
+        return F.expr(sql).alias(field.name)
+
+    return rows.select(*[column(f) for f in catalog.schema(table).fields], *extra)
 
 
 def lost_values(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
@@ -164,10 +165,11 @@ def lost_values(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG)
     Such a value is stored as NULL, and the row is reported here instead of being changed in silence.
     """
     present = set(rows.columns)
+    typed = {f.name: f.dataType.simpleString() for f in catalog.schema(table).fields if f.name in present}
     names = [
-        F.when(F.col(f.name).isNotNull() & S.coerce(F.col(f.name), f.dataType.simpleString()).isNull(), F.lit(f.name))
-        for f in catalog.schema(table).fields
-        if f.name in present and f.dataType.simpleString() != "string"
+        F.expr(f"CASE WHEN `{n}` IS NOT NULL AND {S.coercion_sql(n, k)} IS NULL THEN '{n}' END")
+        for n, k in typed.items()
+        if k != "string"
     ]
     if not names:
         return rows.limit(0).withColumn("fault", F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.session import bounded_broadcast
@@ -13,13 +13,12 @@ from threadloom.session import bounded_broadcast
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order.
 
-    An aggregate, not a window: each map task sends one row per key, so a key that holds a large
-    share of the rows costs one row per task in the shuffle and no task sorts the whole key.
+    Row number one is limited per key before the shuffle as well as after it: each map task sends one
+    row per key, so a key that holds a large share of the rows costs one row per task. This measured
+    faster than ``min_by`` over a struct, which sorts in both steps too.
     """
-    rest = [c for c in df.columns if c not in keys]
-    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    first = F.min_by(F.struct(*rest), place).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(window)).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import bounded_broadcast
+
 # Most values one array row holds. A key with more is returned in several parts, so no row and no
 # task ever holds a whole hot key.
 PART_VALUES = 10_000
@@ -22,21 +24,23 @@ def array_lookup(
     """Left rows with ``matches`` (count of right rows), ``part`` and ``values`` (array of right values).
 
     A left row without a match keeps an empty array. Right rows are first reduced to the keys asked
-    for, and counted with partial aggregation; keys above ``part_values`` matches are split over parts
-    by a hash of ``row_key``, so every match is in exactly one part however often a task is rerun.
-    Keys of ``left`` must be unique.
+    for. Keys above ``part_values`` matches, few by nature, are found by a count with partial
+    aggregation and split over parts by a hash of ``row_key``: a hot key is spread over tasks, and
+    every match is in exactly one part however often a task is rerun. Keys of ``left`` must be unique.
     """
     wanted = left.select(F.col(left_key).alias("_key"))
     columns = [F.col(right_key).alias("_key"), F.col(row_key).alias("_row"), F.col(value).alias("_value")]
     matching = right.select(*columns).join(wanted, "_key", "left_semi")
-    counts = matching.groupBy("_key").agg(F.count("*").alias("matches"))
-    parts = F.ceil(F.col("matches") / F.lit(part_values))
-    spread = F.when(parts > 1, F.pmod(F.xxhash64("_row"), parts)).otherwise(F.lit(0).cast("bigint"))
+    counts = matching.groupBy("_key").agg(F.count("*").alias("_total"))
+    hot = bounded_broadcast(counts.filter(F.col("_total") > part_values))
+    parts = F.ceil(F.col("_total") / F.lit(part_values))
+    part = F.coalesce(F.pmod(F.xxhash64("_row"), parts), F.lit(0).cast("bigint"))
     arrays = (
-        matching.join(counts, "_key")
-        .withColumn("part", spread)
-        .groupBy("_key", "matches", "part")
+        matching.join(hot, "_key", "left")
+        .groupBy("_key", "_total", part.alias("part"))
         .agg(F.collect_list("_value").alias("values"))
+        .withColumn("matches", F.coalesce("_total", F.size("values").cast("bigint")))
+        .drop("_total")
     )
     return (
         left.join(arrays, left[left_key] == F.col("_key"), "left")

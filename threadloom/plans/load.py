@@ -137,12 +137,13 @@ def summary_row(
 
 def stage_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """Parse the lines once and continue from the Parquet copy. Only faulty lines keep their text."""
-    spark = lines.sparkSession
+    spark = tune(lines.sparkSession)
     path = scratch_path(spark, f"staged-{source}")
     width = max(len(catalog.key(t)) for t in catalog.sources[source].tables)
     parsed = parse_records(lines, catalog.raw_fields(source), width)
     faulty_text = F.when(F.col("fault").isNotNull(), F.col("value"))
     parsed.withColumn("value", faulty_text).write.parquet(path)
+    size_shuffles(spark, list_files(spark, path).agg(F.sum("length")).first()[0] or 0)
     return spark.read.parquet(path)
 
 
@@ -242,7 +243,6 @@ def load_source(
     if not todo:
         return []
     start = datetime.now(timezone.utc)
-    size_shuffles(tune(spark), list_files(spark, paths).agg(F.sum("length")).first()[0] or 0)
     lines = read_lines(spark, paths)
     if max_lines is not None:
         lines = first_lines(lines, max_lines).drop("line_no")
@@ -259,6 +259,26 @@ def load_source(
     return todo
 
 
+def load_archive(
+    spark: SparkSession,
+    files: Mapping[str, Sequence[str]],
+    store: Store,
+    registry: CleanerRegistry | None = None,
+    catalog: Catalog = DEFAULT_CATALOG,
+    max_lines: int | None = None,
+    on_duplicate: str = "fail",
+) -> dict[str, list[str]]:
+    """Load every source of a map from source name to its dump files; returns the tables written.
+
+    Files of a source are loaded one after the other, in the given order.
+    """
+    written: dict[str, list[str]] = {}
+    for source, paths in files.items():
+        for path in paths:
+            written[path] = load_source(spark, source, path, store, registry, catalog, max_lines, on_duplicate)
+    return written
+
+
 def load_documents(
     spark: SparkSession,
     source: str,

@@ -12,6 +12,7 @@ from threadloom.catalog import DEFAULT_CATALOG, Catalog, Source
 from threadloom.functions import nested, scalars
 from threadloom.operators import cleaners, exploration, keys, profile
 from threadloom.plans import load, results
+from threadloom.plans.runner import run_suite
 from threadloom.plans.suite import DOCUMENT_SUITE, SQL_SUITE, document_table, high_average_subreddits_joined, posts_with_comments
 from threadloom.session import scratch_path, tune
 from threadloom.sinks import json_files, tables as sinks
@@ -95,7 +96,7 @@ SUITE_ORACLE = {
 }
 
 DOCUMENT_ORACLE = SUITE_ORACLE | {
-    "simple_select_authors": "SELECT author_fullname, author FROM post",
+    "simple_select_authors": "SELECT coalesce(author_fullname, '-') AS author_fullname, author FROM post",
     "join_posts_with_comments": (
         "SELECT p.id, p.title, count(c.id) AS num_comments, "
         "coalesce(string_agg(c.body, '|' ORDER BY c.body), '') AS comments "
@@ -114,6 +115,8 @@ DOCUMENT_ORACLE = SUITE_ORACLE | {
 
 def _comparable(df: DataFrame) -> DataFrame:
     """Averages rounded and comment arrays as sorted text, so two engines can be compared."""
+    if "author_fullname" in df.columns:
+        df = df.fillna("-", "author_fullname")
     if "avg_comments" in df.columns:
         df = df.withColumn("avg_comments", F.round("avg_comments", 6))
     if "comments" in df.columns:
@@ -264,21 +267,22 @@ def _(spark, sf_dir):
 @registered(
     "pass_through_comments",
     """SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id,
-              CASE WHEN l_returnflag = 'R' THEN 'low score' END AS collapsed_reason FROM lineitem""",
+              CASE WHEN l_returnflag = 'R' THEN 'low score' ELSE '-' END AS collapsed_reason FROM lineitem""",
 )
 def _(spark, sf_dir):
     rows = _cleaned(T.comment_lines(spark, sf_dir), "comments", "collapsed_comment")
-    return rows.select("id", "collapsed_reason")
+    return rows.select("id", F.coalesce("collapsed_reason", F.lit("-")).alias("collapsed_reason"))
 
 
 @registered(
     "pass_through_distinguished_comments",
     """SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id,
               't2_' || l_suppkey AS author_fullname,
-              CASE WHEN l_linestatus = 'F' THEN 'moderator' END AS distinguished FROM lineitem""",
+              CASE WHEN l_linestatus = 'F' THEN 'moderator' ELSE '-' END AS distinguished FROM lineitem""",
 )
 def _(spark, sf_dir):
-    return _cleaned(T.comment_lines(spark, sf_dir), "comments", "distinguished_comment").drop("row_id")
+    rows = _cleaned(T.comment_lines(spark, sf_dir), "comments", "distinguished_comment").drop("row_id")
+    return rows.fillna("-", "distinguished")
 
 
 @registered(
@@ -310,11 +314,12 @@ def _(spark, sf_dir):
                          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS priority,
                          unnest(string_split(text, chr(10))) AS description FROM documents)
        SELECT md5(subreddit || '_' || priority || '_' || coalesce(short_name, 'None') || '_' || description) AS rule_id,
-              subreddit, priority, short_name, description, source AS kind FROM r""",
+              subreddit, priority, coalesce(short_name, '-') AS short_name, description, source AS kind FROM r""",
 )
 def _(spark, sf_dir):
     rules = _cleaned(T.rule_lines(spark, sf_dir), "subreddit_rules", "subreddit_rules")
-    return rules.select("rule_id", "subreddit", "priority", "short_name", "description", "kind")
+    short_name = F.coalesce("short_name", F.lit("-")).alias("short_name")
+    return rules.select("rule_id", "subreddit", "priority", short_name, "description", "kind")
 
 
 @registered(
@@ -418,11 +423,12 @@ def _(spark, sf_dir):
 @registered(
     "append_loads",
     """SELECT o_custkey AS id, o_orderpriority AS note FROM orders
-       UNION ALL SELECT c_custkey, NULL FROM customer""",
+       UNION ALL SELECT c_custkey, '-' FROM customer""",
 )
 def _(spark, sf_dir):
     orders = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("note"))
-    return keys.append_loads(orders, T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    customers = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return keys.append_loads(orders, customers).fillna("-", "note")
 
 
 # ---------------------------------------------------------------- dump files
@@ -650,7 +656,7 @@ def _(spark, sf_dir):
 
 @registered(
     "nested_values",
-    """SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE '["' || event_type || '"]' END AS tags,
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN '-' ELSE '["' || event_type || '"]' END AS tags,
               CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS n FROM events""",
 )
 def _(spark, sf_dir):
@@ -658,7 +664,7 @@ def _(spark, sf_dir):
     tags = F.when(kind != "click", F.array(kind)).otherwise(F.array().cast("array<string>"))
     events = T.table(spark, sf_dir, "events").withColumn("tags", tags)
     return events.select(
-        "event_id", scalars.nested_array_text(F.col("tags")).alias("tags"), scalars.array_size(F.col("tags")).alias("n")
+        "event_id", F.coalesce(scalars.nested_array_text(F.col("tags")), F.lit("-")).alias("tags"), scalars.array_size(F.col("tags")).alias("n")
     )
 
 
@@ -865,6 +871,27 @@ def _(spark, sf_dir):
     return load.ledger_entries(ledger).withColumn("success_tables", F.array_join("success_tables", ","))
 
 
+@registered(
+    "load_archive",
+    """WITH good AS (SELECT * FROM pages WHERE contains(url, '/en/') AND NOT contains(url, 'ref=')),
+            rule AS (SELECT unnest(string_split(text, chr(10))) FROM documents)
+       SELECT 'wiki' AS "table", (SELECT count(*) FROM good) AS n
+       UNION ALL SELECT 'revision_wiki', (SELECT count(*) FROM pages)
+       UNION ALL SELECT 'subreddit_rules', (SELECT count(*) FROM rule)""",
+)
+def _(spark, sf_dir):
+    """A map of two sources to their dump files, loaded into one store."""
+    store = load.Store(scratch_path(spark, "archive"))
+    wikis = T.write_dump(T.wiki_lines(spark, sf_dir), "wikis")
+    rules = T.write_dump(T.rule_lines(spark, sf_dir), "rules")
+    load.load_archive(spark, {"subreddit_wikis": [wikis], "subreddit_rules": [rules]}, store)
+    counts = [
+        sinks.read_table(spark, store.table(t)).agg(F.lit(t).alias("table"), F.count("*").alias("n"))
+        for t in ("wiki", "revision_wiki", "subreddit_rules")
+    ]
+    return keys.append_loads(*counts)
+
+
 def _ledger_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as ledger entries: what was loaded, and what is said to be free of duplicates."""
     done = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("post"))).otherwise(F.array(F.lit("post"), F.lit("author")))
@@ -1055,3 +1082,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     runs = T.runs(spark, sf_dir)
     return results.planned_runs(runs, runs)
+
+
+RUNNER_KINDS = ("simple", "analytical")
+
+
+@registered(
+    "suite_runner",
+    _archive_sql(
+        " UNION ALL ".join(
+            f"SELECT 'archive' AS system, '{n}' AS query, (SELECT count(*) FROM ({SUITE_ORACLE[n]})) AS output_length"
+            for n, q in SQL_SUITE.items()
+            if q.kind in RUNNER_KINDS
+        )
+    ),
+)
+def _(spark, sf_dir):
+    runs = run_suite(spark, SQL_SUITE, {"archive": T.archive(spark, sf_dir)}, kinds=RUNNER_KINDS)
+    return runs.select("system", "query", "output_length")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 # offset or a short key per row, so the bound keeps a broadcast near 100 MB.
 BROADCAST_ROWS = 1_000_000
 
-# Input bytes per shuffle partition, and a ceiling that keeps shuffle bookkeeping in bounds.
-SHUFFLE_BYTES = 256 * 1024**2
+# Bytes of compressed columnar input per shuffle partition, and a ceiling that keeps shuffle
+# bookkeeping in bounds.
+SHUFFLE_BYTES = 64 * 1024**2
 MAX_SHUFFLE_PARTITIONS = 100_000
 
 # Settings that can also be given to a running session. The method limit is the size up to which the JVM
@@ -65,14 +66,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     A machine-local folder would be lost with its machine, so it is refused outside local mode.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if not root and current is not None:
+        # Spark keeps checkpoints in a folder of its own below the one it was given.
+        root = current.rsplit("/", 1)[0]
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if current is None:
+        context.setCheckpointDir(root)
     return root
 
 
