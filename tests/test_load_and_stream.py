@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadloom.catalog import Catalog, Source
 from threadloom.operators.cleaners import default_cleaners
 from threadloom.plans import load
+from threadloom.session import checkpoint_root, drop_scratch
 from threadloom.sinks import tables as sinks
 from threadloom.sources.lists import default_ignore_list
 from threadloom.sources.ndjson import read_lines
@@ -60,6 +61,19 @@ def test_batch_load(spark, dump, tmp_path):
     assert summary[one].time_elapsed_seconds == summary[one].end_time - summary[one].start_time
 
 
+def test_staging_copy_is_removed(spark, dump, tmp_path):
+    root = checkpoint_root(spark).removeprefix("file:")
+
+    def staged():
+        return {f for f in os.listdir(root) if f.startswith("staged-")}
+
+    before = staged()
+    load.load_source(spark, "subreddits_meta_only", dump("meta", [{"display_name": "s", "num_posts": 3}]), load.Store(str(tmp_path)))
+    assert staged() == before
+    drop_scratch(spark, str(tmp_path / "tables"))
+    assert (tmp_path / "tables").exists()
+
+
 def test_row_cap_counts_bad_lines(spark, dump, tmp_path):
     store = load.Store(str(tmp_path / "store"))
     load.load_source(spark, "submissions", dump("RS", MONTH_ONE), store, max_lines=4)

@@ -9,13 +9,19 @@ row per file and key before anything is shuffled.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Send the functions of this module to the executors with the plan, so that they need not have the
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Attributes whose nested content is not reported.
 UNREPORTED_KEYS = ("_meta", "author_flair_richtext", "link_flair_richtext", "preview", "crosspost_parent_list")
 

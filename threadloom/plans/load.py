@@ -8,7 +8,8 @@ folder named after the load, so a load that failed half-way can simply be run ag
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -28,7 +29,7 @@ from threadloom.operators.cleaners import (
     wiki_faults,
 )
 from threadloom.operators.keys import first_seen, known_keys, later_copies
-from threadloom.session import bounded_broadcast, scratch_path, size_shuffles, tune
+from threadloom.session import bounded_broadcast, drop_scratch, scratch_path, size_shuffles, tune
 from threadloom.sinks.tables import LOAD, append_load, append_rows, quarantine, with_key_layout, write_documents
 from threadloom.sources.ndjson import MALFORMED, PLACE, list_files, parse_records, read_documents, read_lines
 from threadloom.sources.numbering import first_lines
@@ -135,8 +136,12 @@ def summary_row(
     )
 
 
-def stage_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """Parse the lines once and continue from the Parquet copy. Only faulty lines keep their text."""
+@contextmanager
+def staged_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATALOG) -> Iterator[DataFrame]:
+    """Lines parsed once into a Parquet copy, which is removed when the load has gone through.
+
+    Only faulty lines keep their text.
+    """
     spark = tune(lines.sparkSession)
     path = scratch_path(spark, f"staged-{source}")
     width = max(len(catalog.key(t)) for t in catalog.sources[source].tables)
@@ -144,7 +149,8 @@ def stage_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATA
     faulty_text = F.when(F.col("fault").isNotNull(), F.col("value"))
     parsed.withColumn("value", faulty_text).write.parquet(path)
     size_shuffles(spark, list_files(spark, path).agg(F.sum("length")).first()[0] or 0)
-    return spark.read.parquet(path)
+    yield spark.read.parquet(path)
+    drop_scratch(spark, path)
 
 
 def _stored_keys(store: Store, table: str, load_id: str, rows: DataFrame, catalog: Catalog) -> DataFrame:
@@ -234,7 +240,10 @@ def load_source(
     on_duplicate: str = "fail",
     system: str = "spark",
 ) -> list[str]:
-    """Load the tables of a source that the ledger does not yet hold; returns the tables written."""
+    """Load the tables of a source that the ledger does not yet hold; returns the tables written.
+
+    Several paths are one load, in path order.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     data_file = ",".join(paths)
     wanted = missing_tables(spark, store, {data_file: catalog.sources[source].tables})
@@ -246,16 +255,14 @@ def load_source(
     lines = read_lines(spark, paths)
     if max_lines is not None:
         lines = first_lines(lines, max_lines).drop("line_no")
-    records = stage_records(lines, source, catalog)
     load_id = load_name(source, data_file)
-    load_records(
-        records, source, store, load_id, todo, registry or default_cleaners(), catalog, on_duplicate=on_duplicate
-    )
+    registry = registry or default_cleaners()
+    with staged_records(lines, source, catalog) as records:
+        line_count = records.count()
+        load_records(records, source, store, load_id, todo, registry, catalog, on_duplicate=on_duplicate)
     append_rows(spark.createDataFrame([(data_file, t) for t in todo], LEDGER_SCHEMA), store.ledger)
     end = datetime.now(timezone.utc)
-    append_rows(
-        summary_row(spark, system, data_file, start, end, todo, records.count(), len(todo)), store.summary
-    )
+    append_rows(summary_row(spark, system, data_file, start, end, todo, line_count, len(todo)), store.summary)
     return todo
 
 

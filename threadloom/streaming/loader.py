@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.catalog import DEFAULT_CATALOG, Catalog
 from threadloom.operators.cleaners import CleanerRegistry, default_cleaners
-from threadloom.plans.load import Store, load_records, stage_records
+from threadloom.plans.load import Store, load_records, staged_records
 
 # Arrival order: older files first, then line order.
 ARRIVAL = ("modified", "file_path", "block_start", "row_id")
@@ -53,10 +53,9 @@ def stream_source(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("row_id", F.monotonically_increasing_id())
-        records = stage_records(placed, source, catalog)
-        load_records(
-            records, source, store, f"batch-{batch_id:012d}", wanted, registry, catalog, ARRIVAL, on_duplicate
-        )
+        load_id = f"batch-{batch_id:012d}"
+        with staged_records(placed, source, catalog) as records:
+            load_records(records, source, store, load_id, wanted, registry, catalog, ARRIVAL, on_duplicate)
 
     return (
         lines.writeStream.foreachBatch(write)
