@@ -5,7 +5,7 @@ The catalogue is data. Pass another ``Catalog`` to load other columns or tables.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -172,11 +172,16 @@ class Catalog:
     def key(self, table: str) -> tuple[str, ...]:
         return self.keys[table]
 
-    def raw_fields(self, source: str) -> list[str]:
-        """Every raw field any table of the source can use, in first-use order."""
+    def raw_fields(self, source: str, tables: Sequence[str] | None = None) -> list[str]:
+        """Every raw field the given tables (all of the source by default) can use, keys first."""
         spec = self.sources[source]
-        names = [f.name for t in spec.tables for f in self.schema(t).fields]
-        return list(dict.fromkeys([*names, *spec.extra_fields]))
+        tables = spec.tables if tables is None else tables
+        keys = [k for t in tables for k in self.key(t)]
+        names = [f.name for t in tables for f in self.schema(t).fields]
+        return list(dict.fromkeys([*keys, *names, *spec.extra_fields]))
+
+    def key_width(self, tables: Sequence[str]) -> int:
+        return max(len(self.key(t)) for t in tables)
 
 
 DEFAULT_CATALOG = Catalog()

@@ -41,8 +41,11 @@ def later_copies(df: DataFrame, keys: Sequence[str], place: Sequence[str]) -> Da
 
 
 def known_keys(df: DataFrame, keys: Sequence[str], stored: DataFrame) -> DataFrame:
-    """Distinct keys of ``df`` that are also in ``stored``; only key columns are shuffled."""
-    return df.select(*keys).join(stored.select(*keys), list(keys), "left_semi").distinct()
+    """Distinct keys of ``df`` that are also in ``stored``.
+
+    Only key columns are shuffled, and each task sends a key once.
+    """
+    return df.select(*keys).distinct().join(stored.select(*keys), list(keys), "left_semi")
 
 
 def drop_listed(df: DataFrame, value: Column, listed: DataFrame) -> DataFrame:

@@ -137,15 +137,16 @@ def summary_row(
 
 
 @contextmanager
-def staged_records(lines: DataFrame, source: str, catalog: Catalog = DEFAULT_CATALOG) -> Iterator[DataFrame]:
+def staged_records(
+    lines: DataFrame, source: str, tables: Sequence[str], catalog: Catalog = DEFAULT_CATALOG
+) -> Iterator[DataFrame]:
     """Lines parsed once into a Parquet copy, which is removed when the load has gone through.
 
-    Only faulty lines keep their text.
+    The copy holds the fields the given tables use. Only faulty lines keep their text.
     """
     spark = tune(lines.sparkSession)
     path = scratch_path(spark, f"staged-{source}")
-    width = max(len(catalog.key(t)) for t in catalog.sources[source].tables)
-    parsed = parse_records(lines, catalog.raw_fields(source), width)
+    parsed = parse_records(lines, catalog.raw_fields(source, tables), catalog.key_width(tables))
     faulty_text = F.when(F.col("fault").isNotNull(), F.col("value"))
     parsed.withColumn("value", faulty_text).write.parquet(path)
     size_shuffles(spark, list_files(spark, path).agg(F.sum("length")).first()[0] or 0)
@@ -190,7 +191,7 @@ def load_records(
     ``on_duplicate``: ``fail`` refuses a load that repeats a key, ``quarantine`` keeps the first row
     and sets the others aside, ``keep`` skips the check.
     """
-    fields = catalog.raw_fields(source)
+    fields = catalog.raw_fields(source, tables)
     quarantine(records.filter(F.col("fault") == MALFORMED), store.quarantine, load_id, source)
     sound = records.filter(F.col("fault").isNull()).drop("fault")
     for table in tables:
@@ -257,7 +258,7 @@ def load_source(
         lines = first_lines(lines, max_lines).drop("line_no")
     load_id = load_name(source, data_file)
     registry = registry or default_cleaners()
-    with staged_records(lines, source, catalog) as records:
+    with staged_records(lines, source, todo, catalog) as records:
         line_count = records.count()
         load_records(records, source, store, load_id, todo, registry, catalog, on_duplicate=on_duplicate)
     append_rows(spark.createDataFrame([(data_file, t) for t in todo], LEDGER_SCHEMA), store.ledger)

@@ -170,12 +170,12 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- cleaners
 
 
-def _parsed(lines: DataFrame, source: str) -> DataFrame:
-    return ndjson.parse_records(lines, DEFAULT_CATALOG.raw_fields(source))
+def _parsed(lines: DataFrame, source: str, *tables: str) -> DataFrame:
+    return ndjson.parse_records(lines, DEFAULT_CATALOG.raw_fields(source, tables or None))
 
 
 def _cleaned(lines: DataFrame, source: str, table: str, registry=None) -> DataFrame:
-    sound = _parsed(lines, source).filter(F.col("fault").isNull())
+    sound = _parsed(lines, source, table).filter(F.col("fault").isNull())
     rows = cleaners.clean_table(sound, table, registry or cleaners.default_cleaners())
     return cleaners.project(rows, table, extra=["row_id"])
 

@@ -54,7 +54,7 @@ def stream_source(
     def write(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("row_id", F.monotonically_increasing_id())
         load_id = f"batch-{batch_id:012d}"
-        with staged_records(placed, source, catalog) as records:
+        with staged_records(placed, source, wanted, catalog) as records:
             load_records(records, source, store, load_id, wanted, registry, catalog, ARRIVAL, on_duplicate)
 
     return (
