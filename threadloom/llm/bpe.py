@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 from collections.abc import Iterable
 
 import ahocorasick
@@ -25,6 +26,10 @@ from threadloom.llm.common import list_array, map_batches, schema_with, with_col
 from threadloom.llm.pretokens import PieceEncoder, added_tokens
 
 
+# Results of pair tests that a worker keeps.
+PAIRS_KEPT = 400_000
+
+
 def printable_bytes() -> dict[str, int]:
     """The characters that tokenizer files write for bytes: printable ones stand for themselves, the others follow 255."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -58,7 +63,7 @@ class PrefixBpe:
             if i in self.rank:
                 self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self.automaton.make_automaton()
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` side by side: take their merges back, latest first, and see at each
@@ -76,63 +81,86 @@ class PrefixBpe:
             else:
                 return True
 
-    def encode(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
-        text = piece.encode().decode("latin-1")
-        last: list[int] = [-1] * (len(text) + 1)  # the last token of each prefix
-        beside, sizes, end_done = self.beside, [0] * (len(text) + 1), -1
-        for end, (size, token) in self.automaton.iter(text):
-            if end == end_done:
-                continue
-            start = end + 1 - size
-            if start:
-                before = last[start]
-                if before < 0:
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each pre-token. In sorted order neighbours begin alike, and what is stored of their common prefixes stays."""
+        out, before_text = [], ""
+        # Of each prefix, by its last place: its last token and where that begins, -1 while unknown.
+        last: list[int] = []
+        begins: list[int] = []
+        beside, fits = self.beside, self.compatible
+        for piece in pieces:
+            text = piece.encode().decode("latin-1")
+            done = len(os.path.commonprefix((before_text, text))) - 1
+            before_text = text
+            last[done + 1 :] = [-1] * (len(text) - done - 1)
+            begins[done + 1 :] = last[done + 1 :]
+            for end, (size, token) in self.automaton.iter(text):  # of the tokens with one end, the longest comes first
+                if end <= done:
                     continue
-                pair = (before, token)
-                fits = beside.get(pair)
-                if fits is None:
-                    if len(beside) >= 1_000_000:
-                        beside.clear()
-                    fits = beside[pair] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end + 1], sizes[end + 1], end_done = token, size, end
-        ids, at = [], len(text)
-        while at:
-            ids.append(last[at])
-            at -= sizes[at]
-        return ids[::-1]
+                start = end - size
+                if start >= 0:
+                    before = last[start]
+                    pair = before << 20 | token
+                    if pair not in beside:
+                        if len(beside) >= PAIRS_KEPT:
+                            beside.clear()
+                        beside[pair] = before >= 0 and fits(before, token)
+                    if not beside[pair]:
+                        continue
+                last[end], begins[end], done = token, start, end
+            ids, at = [], len(text) - 1
+            while at >= 0:
+                ids.append(last[at])
+                at = begins[at]
+            ids.reverse()
+            out.append(ids)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     bpe = PrefixBpe(path)
-    return PieceEncoder(lambda piece: np.array(bpe.encode(piece), dtype="<u4").tobytes(), added_tokens(path))
+    return PieceEncoder(lambda pieces: [np.array(ids, dtype="<u4").tobytes() for ids in bpe.encode(pieces)], added_tokens(path))
+
+
+class TokenBytes:
+    """Bytes of all tokens one after the other, with the place and length of each; added tokens included."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        to_byte, added = printable_bytes(), added_tokens(path)
+        known = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items() if all(c in to_byte for c in token)}
+        known |= {i: text.encode() for text, i in added.items()}
+        pieces = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.joined = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        if not len(ids):
+            return ""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.joined[places].tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
-    """Bytes by id, added tokens included."""
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    to_byte, added = printable_bytes(), added_tokens(path)
-    known = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items() if all(c in to_byte for c in token)}
-    known |= {i: text.encode() for text, i in added.items()}
-    return [known.get(i, b"") for i in range(max(known) + 1)]
+def decoder(path: str) -> TokenBytes:
+    return TokenBytes(path)
 
 
 def decode(ids: Iterable[int], path: str) -> str:
-    pieces = token_bytes(path)
-    return b"".join([pieces[i] for i in ids if 0 <= i < len(pieces)]).decode("utf-8", "replace")
+    return decoder(path).decode(np.array(list(ids), dtype=np.int64))
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of each whole text as ``ids`` (array of int). No shuffle; a task holds one batch."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(path).encode
-        raw = [encode(t.as_py()) for t in batch.column(text)]
+        raw = encoder(path).encode(batch.column(text).to_pylist())
         flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
         return with_columns(batch, **{ids: list_array(flat, [len(r) // 4 for r in raw])})
 
@@ -143,6 +171,9 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     """``df`` with the text of each row's token ids as ``text``; null ids give empty text."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return with_columns(batch, **{text: pa.array([decode(v.as_py() or (), path) for v in batch.column(ids)], pa.string())})
+        lists, known = batch.column(ids), decoder(path)
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        texts = [known.decode(flat[start:end]) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+        return with_columns(batch, **{text: pa.array(texts, pa.string())})
 
     return map_batches(df, schema_with(df, **{text: "string"}), rows)

@@ -18,6 +18,9 @@ from threadloom.session import scratch_path
 TASK_BYTES = 32 * 1024**2
 MAX_PARTITIONS = 20_000
 
+# Rows handled at a time in a Python worker.
+BATCH_ROWS = 500
+
 _SENT_TO: set[str] = set()
 
 
@@ -63,15 +66,20 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(rows, schema)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
 def map_batches(
     df: DataFrame, schema: StructType | str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]
 ) -> DataFrame:
     """``df`` with every Arrow batch replaced by what ``rows`` makes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield rows(batch)
+        for batch in small_batches(batches):
+            yield rows(batch)
 
     return map_arrow(df, run, schema)
 

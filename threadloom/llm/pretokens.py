@@ -6,6 +6,7 @@ be cut there first, with the fast ``str.split``, and the exact pattern is only r
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Callable
@@ -20,49 +21,79 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 CUT = re.compile(f" (?=[^{SPACE}])")
 NO_CUT = re.compile(f" (?:[{SPACE}]|\\Z)")
 
-# Entries that a worker keeps of each kind; beyond it the memory is emptied and filled anew.
-REMEMBERED = 500_000
-LONGEST_KEPT = 64
+# Entries that a worker keeps for good, which the frequent ones soon are, and those that make room for newer ones.
+KEPT = 300_000
+KEPT_FOR_A_WHILE = 150_000
+# Marks the chunk at the beginning of a text. No other chunk holds it: text is cut at a blank before such a character.
+FIRST = "\x00 \x00"
 
 
 class _Memory(dict):
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+    """Ids by text: what comes first stays, later entries make room for newer ones."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = value
-        return value
+        return self.recent[key]
+
+    def put(self, values: dict[str, bytes]) -> None:
+        room = KEPT - len(self)
+        if room > 0:
+            self.update(itertools.islice(values.items(), room))
+        if room < len(values):
+            self.recent.update(itertools.islice(values.items(), max(0, room), None))
+
+    def make_room(self) -> None:
+        if len(self.recent) > KEPT_FOR_A_WHILE:
+            self.recent.clear()
 
 
 class PieceEncoder:
-    """Ids of whole texts from ``encode_piece``, which gives the ids of one pre-token as little-endian uint32."""
+    """Ids of whole texts, as little-endian uint32, from ``encode_pieces``, which encodes a sorted list of pre-tokens.
+
+    Texts come in batches. What a batch has that is not remembered is encoded first, in one call.
+    """
 
-    def __init__(self, encode_piece: Callable[[str], bytes], added: dict[str, int]):
-        pieces = _Memory(encode_piece)
-        split, get = regex.compile(PATTERN).findall, pieces.__getitem__
-        self.first = _Memory(lambda chunk: b"".join(map(get, split(chunk))))
-        self.after_blank = _Memory(lambda chunk: b"".join(map(get, split(" " + chunk))))
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int]):
+        self.encode_pieces, self.split = encode_pieces, regex.compile(PATTERN).findall
+        self.pieces, self.chunks = _Memory(), _Memory()
         self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in added.items()}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def _plain(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
+        """Chunks, the blank before each but the first left out and the first one marked."""
         chunks = CUT.split(text) if NO_CUT.search(text) else text.split(" ")
-        if len(chunks) == 1:
-            return self.first[chunks[0]]
-        return self.first[chunks[0]] + b"".join(map(self.after_blank.__getitem__, chunks[1:]))
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of ``text`` (null counts as empty); the text of an added token gives that token, as in the library."""
-        if not text:
-            return b""
-        if self.at_added is None or not any(a in text for a in self.added):
-            return self._plain(text)
-        parts = self.at_added.split(text)
-        return b"".join(self.added[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+        chunks[0] += FIRST
+        return chunks
+
+    def _learn(self, chunks: set[str]) -> None:
+        self.chunks.make_room()
+        self.pieces.make_room()
+        known, recent = self.chunks, self.chunks.recent
+        new = [c for c in chunks if c not in known and c not in recent]
+        split = {c: self.split(c[: -len(FIRST)] if c.endswith(FIRST) else " " + c) for c in new}
+        known, recent = self.pieces, self.pieces.recent
+        pieces = sorted(p for p in set().union(*split.values()) if p not in known and p not in recent)
+        self.pieces.put(dict(zip(pieces, self.encode_pieces(pieces), strict=True)))
+        get = self.pieces.__getitem__
+        self.chunks.put({c: b"".join(map(get, found)) for c, found in split.items()})
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null counts as empty); the text of an added token gives that token, as in the library."""
+        parts = []
+        for text in texts:
+            if text and self.at_added is not None and any(a in text for a in self.added):
+                parts.append(self.at_added.split(text))
+            else:
+                parts.append([text or ""])
+        cut = [[self._cut(p) if p and not i % 2 else [] for i, p in enumerate(found)] for found in parts]
+        self._learn(set().union(*(chunks for found in cut for chunks in found)))
+        get = self.chunks.__getitem__
+        return [
+            b"".join(self.added[p] if i % 2 else b"".join(map(get, chunks)) for i, (p, chunks) in enumerate(zip(*both, strict=True)))
+            for both in zip(parts, cut, strict=True)
+        ]
 
 
 def added_tokens(path: str) -> dict[str, int]:

@@ -17,6 +17,7 @@ gives an empty store.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_arrow, partition_count
+from threadloom.llm.common import map_arrow, partition_count, small_batches
 from threadloom.llm.pretokens import PieceEncoder, added_tokens
 
 SAMPLED = 64
@@ -103,9 +104,12 @@ def library_encoder(path: str) -> PieceEncoder:
     library = tokenizers.Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return PieceEncoder(
-        lambda piece: np.array(library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes(), added_tokens(path)
-    )
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor run side by side already
+    return PieceEncoder(encode, added_tokens(path))
 
 
 BLOCKS = "part int, block int, n_docs int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
@@ -143,11 +147,11 @@ def write_store(
                 names=["part", "block", "n_docs", "n_ids", "width", "doc_ids", "ends", "ids"],
             )
 
-        for batch in batches:
-            for name, value, at in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                part = at.as_py()
-                names.append(name.as_py())
-                raw.append(encode(value.as_py()) + end)
+        for batch in small_batches(batches):
+            part = batch.column(2)[0].as_py()
+            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                names.append(name)
+                raw.append(ids + end)
                 held += len(raw[-1]) // 4
                 if held >= block_ids:
                     yield closed()
