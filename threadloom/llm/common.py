@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from threadloom.session import scratch_path
@@ -108,3 +109,39 @@ def schema_with(df: DataFrame, **more: str) -> StructType:
     added = {name: StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in more.items()}
     kept = [added.pop(f.name, f) for f in df.schema.fields]
     return StructType([*kept, *added.values()])
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation of what came before."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, group) of all nodes in ``edges`` (a, b): the least node that a node is connected with.
+
+    Two steps take turns until nothing changes. In the first every node hands its larger neighbours to its least one, in
+    the second its smaller ones and itself; the number of rounds is logarithmic. Minima are formed before the shuffle, so a
+    node with very many neighbours costs one row for each task, and the joins are left to adaptive skew handling.
+    """
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = written(edges, "edges")
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = state(edges)
+    while before[0]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        after = state(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("group")).union(roots)

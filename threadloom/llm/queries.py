@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, hilbert, token_store
+from threadloom.llm import bpe, hilbert, html_text, language, licenses, ngram_join, token_store, toxicity
 from threadloom.llm.common import table
 from threadloom.session import scratch_path
 
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
@@ -41,6 +42,17 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@registered("op2_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
+@registered("op3_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 @registered("op4_token_store")
 def token_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "token-store")
@@ -48,6 +60,31 @@ def token_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.documents_of(token_store.read_store(spark, target))
 
 
+def held_out() -> Column:
+    """Whether a document is kept back from learning; one without id is neither kept back nor learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@registered("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@registered("op6_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.mark_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@registered("op8_language")
+def language_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.train(documents, PIECES)
+    return language.predict(documents.drop("lang"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @registered("op9_hilbert_shards")
 def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = hilbert.document_metadata(table(spark, sf_dir, "documents"))
