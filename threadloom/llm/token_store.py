@@ -112,7 +112,7 @@ def library_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(encode, added_tokens(path))
 
 
-BLOCKS = "part int, block int, n_docs int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
+BLOCKS = "part int, block int, before long, n_docs int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
 
 
 def write_store(
@@ -132,7 +132,7 @@ def write_store(
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = library_encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
-        part, number, names, raw, held = 0, 0, [], [], 0
+        part, number, before, names, raw, held = 0, 0, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(raw), dtype="<u4")
@@ -140,11 +140,11 @@ def write_store(
             ends = EliasFano.of(np.cumsum([len(r) // 4 for r in raw]))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)], pa.int32()),
+                    pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int32()),
                     pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()), pa.array([names], pa.list_(pa.int64())),
                     pa.array([ends.to_bytes()], pa.binary()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()),
                 ],
-                names=["part", "block", "n_docs", "n_ids", "width", "doc_ids", "ends", "ids"],
+                names=["part", "block", "before", "n_docs", "n_ids", "width", "doc_ids", "ends", "ids"],
             )
 
         for batch in small_batches(batches):
@@ -155,7 +155,7 @@ def write_store(
                 held += len(raw[-1]) // 4
                 if held >= block_ids:
                     yield closed()
-                    number, names, raw, held = number + 1, [], [], 0
+                    number, before, names, raw, held = number + 1, before + held, [], [], 0
         if names:
             yield closed()
 
@@ -167,14 +167,9 @@ def read_store(spark: SparkSession, target: str) -> DataFrame:
     the write's tasks, of which there are ``MAX_PARTITIONS`` or the session's shuffle partitions at most."""
     blocks = spark.read.schema(BLOCKS).parquet(target)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.select("part", "block", "n_ids")
-    bases = sizes.groupBy("part").agg(F.sum("n_ids").alias("total"))
-    bases = bases.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_base"))
-    starts = sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0)))
-    starts = starts.join(F.broadcast(bases), "part").select("part", "block", (F.col("part_base") + F.col("in_part")).alias("base"))
-    # One row for each million ids: the blocks themselves stay where they are while this narrow side is small.
-    return blocks.join(starts, ["part", "block"])
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("total"))
+    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_base"))
+    return blocks.join(F.broadcast(bases), "part").withColumn("base", F.col("part_base") + F.col("before"))
 
 
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
