@@ -34,7 +34,7 @@ SAMPLE = 40_000
 MODEL_UNITS = 50_000
 PREFIXES = (5, 4)
 PRIOR_SHARE = 0.2
-LEAST_RATIO = 1.5
+LEAST_RATIO = 0.9  # of the ratio that a unit of toxic documents alone has
 LEAST_SHARE = 0.01  # of the toxic documents, that a toxic unit has to stand in
 LEAST_Z = 3.0
 WORD_COST = 0.2
@@ -75,8 +75,9 @@ def significant_units(counts: DataFrame, other: int, toxic: int, least: int) ->
     weight = (other + toxic) * PRIOR_SHARE
     a, b = F.col("other") + prior, F.col("toxic") + prior
     ratio = F.log(b / (toxic + weight - b)) - F.log(a / (other + weight - a))
+    most = math.log((1 + PRIOR_SHARE) / PRIOR_SHARE) + math.log((other + weight) / (toxic + weight))
     found = counts.select("unit", "toxic", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / a + 1 / b)).alias("z"))
-    toxic_unit = (F.col("ratio") >= LEAST_RATIO) & (F.col("toxic") >= least)
+    toxic_unit = (F.col("ratio") >= LEAST_RATIO * most) & (F.col("toxic") >= least)
     return found.filter((F.col("z") >= LEAST_Z) & ((F.col("ratio") < 0) | toxic_unit)).drop("toxic")
 
 
