@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, hilbert, html_text, language, licenses, ngram_join, token_store, toxicity
+from threadloom.llm import bpe, decontaminate, forest, hilbert, html_text, language, licenses, ngram_join, token_store, toxicity
 from threadloom.llm.common import table
 from threadloom.session import scratch_path
 
@@ -78,6 +78,11 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.mark_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@registered("op7_vector_forest")
+def vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @registered("op8_language")
 def language_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -92,3 +97,8 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@registered("op10_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
