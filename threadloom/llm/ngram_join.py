@@ -20,6 +20,7 @@ columns are kept by ``mark_groups``; those named like an added one are replaced.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import components, map_arrow, send_package, small_batches, written
+from threadloom.llm.common import components, map_arrow, partition_count, send_package, small_batches, written
 from threadloom.session import scratch_path
 
 SHINGLE = 5
@@ -84,14 +85,9 @@ def fingerprint(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def key_of(shingles: np.ndarray) -> int:
-    """Short form of the fingerprint, for candidates; what it names is checked by the fingerprint itself."""
-    return int.from_bytes(fingerprint(shingles)[:8], "little", signed=True)
-
-
-def needed(a: int, b: int) -> int:
-    """Least intersection of sets of sizes ``a`` and ``b`` that are similar enough."""
-    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+def short(print_: bytes) -> int:
+    """Short form of a fingerprint, for candidates; what it names is checked by the fingerprint itself."""
+    return int.from_bytes(print_[:8], "little", signed=True)
 
 
 def prefix_length(n: int) -> int:
@@ -109,10 +105,10 @@ def _sets_and_counts(documents: DataFrame, target: str) -> None:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         shift = np.uint64(64 - SKETCH_BITS)
 
-        def batch_of(ids, sizes, prints, slices, values) -> pa.RecordBatch:
+        def batch_of(ids, sizes, prints, keys, slices, values) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(slices, pa.int32()), pa.array(values, pa.binary())],
-                names=["doc_id", "n_shingles", "print", "slice", "counts"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.int64()), pa.array(slices, pa.int32()), pa.array(values, pa.binary())],
+                names=["doc_id", "n_shingles", "print", "key", "slice", "counts"],
             )
 
         for batch in small_batches(batches):
@@ -124,13 +120,13 @@ def _sets_and_counts(documents: DataFrame, target: str) -> None:
                 cells.append(shingles >> shift)
             n = len(sizes)
             counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(counts))
-            yield batch_of(batch.column("doc_id").to_pylist(), sizes, prints, [None] * n, [None] * n)
+            yield batch_of(batch.column("doc_id").to_pylist(), sizes, prints, [p and short(p) for p in prints], [None] * n, [None] * n)
         for i in range(0, len(counts), SLICE):
             part = counts[i : i + SLICE]
             if part.any():
-                yield batch_of([None], [None], [None], [i // SLICE], [part.astype("<u4").tobytes()])
+                yield batch_of([None], [None], [None], [None], [i // SLICE], [part.astype("<u4").tobytes()])
 
-    schema = "doc_id long, n_shingles long, print binary, slice int, counts binary"
+    schema = "doc_id long, n_shingles long, print binary, key long, slice int, counts binary"
     out = map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
     out.withColumn("kind", F.when(F.col("slice").isNull(), "set").otherwise("count")).write.partitionBy("kind").parquet(target)
 
@@ -182,7 +178,7 @@ def _index(documents: DataFrame, levels: np.ndarray) -> DataFrame:
             tokens, keys, sizes, places = [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text)
-                if not len(shingles) or (key := key_of(shingles)) in met:
+                if not len(shingles) or (key := short(fingerprint(shingles))) in met:
                     continue
                 if len(met) < 100_000:
                     met.add(key)
@@ -198,11 +194,31 @@ def _index(documents: DataFrame, levels: np.ndarray) -> DataFrame:
     return map_arrow(documents.select("text"), run, "token long, key long, size long, place long")
 
 
-def _lists(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Rows of the lists that hold more than one set."""
-    shared = index.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = shared.filter("low <> high").select("token")
-    return index.join(shared, "token").dropDuplicates(["token", "key"])
+def _lists(index: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one set. The rows are sorted by token within the tasks they are dealt to and
+    read as a stream of which only the last row is held, so a list may be of any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "key", "size", "place"]
+        held, held_met = None, False  # the last row, and whether its list has another one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+            token, key = rows[:2]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+            rows = [r[new] for r in rows]
+            like_next = rows[0][1:] == rows[0][:-1]
+            shared = np.concatenate([[held_met], like_next]) | np.concatenate([like_next, [False]])
+            held, held_met = [r[-1:] for r in rows], bool(shared[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][shared[:-1]]) for r in rows], names=names)
+        if held is not None and held_met:
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in held], names=names)
+
+    dealt = index.repartition(partition_count(index), "token").sortWithinPartitions("token", "key")
+    return map_arrow(dealt, run, index.schema)
 
 
 def _block(size: Column) -> Column:
@@ -277,54 +293,74 @@ def _other_pairs(lists: DataFrame, answers: DataFrame, groups: DataFrame) -> Dat
 # ---------------------------------------------------------------- verification
 
 
-def _sets_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, print, shingles) of the sets that ``keys`` names. A presence table of fixed size keeps most other texts from
-    being sent; the join that follows is exact."""
-    spark = documents.sparkSession
-    cell = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - SKETCH_BITS)).cast("long")
-    words = keys.select(cell.alias("cell")).groupBy((F.floor(F.col("cell") / 32)).alias("word"))
+def _cells(rows: DataFrame, *columns: str) -> np.ndarray:
+    """Presence table of fixed size: a bit for each value that a hash of ``columns`` takes."""
+    cell = F.call_function("shiftrightunsigned", F.xxhash64(*columns), F.lit(64 - SKETCH_BITS))
+    words = rows.select(cell.alias("cell")).groupBy(F.expr("cell div 32").alias("word"))
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 32 AS INT))")).alias("bits")).collect()
     table = np.zeros((1 << SKETCH_BITS) // 32, dtype=np.uint64)
     for r in words:
         table[r["word"]] = r["bits"]
-    sent = spark.sparkContext.broadcast(table)
+    return table
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = sent.value
+
+def _in_cells(table: np.ndarray, *values: int) -> bool:
+    """Whether the table has the bit of ``values``, hashed as ``xxhash64`` does."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+    cell = h >> (64 - SKETCH_BITS)
+    return bool(int(table[cell // 32]) >> (cell % 32) & 1)
+
+
+def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the fingerprints and the similarity of their sets.
+
+    Of each set that a pair needs one document is chosen, and presence tables of fixed size keep nearly all other texts
+    from giving theirs; the joins that follow are exact. A set is sent once for its place as second of pairs, where it
+    joins its pairs, and once as first. Tokens are sent in 48 bits, of which no two of a pair's are equal by chance but once
+    in a hundred million pairs.
+    """
+    spark = documents.sparkSession
+    pairs = written(pairs, "pairs")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    chosen = sets.join(keys, "key", "left_semi").groupBy("key", "print").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id"))
+    tables = spark.sparkContext.broadcast((_cells(chosen, "key", "doc_id"), _cells(pairs, "a")))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, pivots = tables.value
         for batch in small_batches(batches):
-            out: dict[bytes, tuple[int, bytes]] = {}
-            for text in batch.column("text").to_pylist():
+            out: dict[bytes, tuple[int, bool, bytes]] = {}
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shingles = shingle_set(text)
                 if len(shingles):
-                    key = key_of(shingles)
-                    at = (key & (1 << 64) - 1) >> (64 - SKETCH_BITS)
-                    if int(present[at // 32]) >> (at % 32) & 1:
-                        out[fingerprint(shingles)] = (key, shingles.tobytes())
+                    key = short(mark := fingerprint(shingles))
+                    if _in_cells(wanted, key, -1 if doc is None else doc):
+                        packed = shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                        out[mark] = (key, _in_cells(pivots, key), packed)
             if out:
+                columns = [*zip(*out.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v[0] for v in out.values()], pa.int64()), pa.array(list(out), pa.binary()), pa.array([v[1] for v in out.values()], pa.binary())],
-                    names=["key", "print", "shingles"],
+                    [pa.array(columns[0], pa.int64()), pa.array(list(out), pa.binary()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())],
+                    names=["key", "print", "pivot", "shingles"],
                 )
 
-    found = map_arrow(documents.select("text"), run, "key long, print binary, shingles binary")
-    return found.join(keys, "key", "left_semi").groupBy("key", "print").agg(F.first("shingles").alias("shingles"))
+    given = written(map_arrow(documents.select("doc_id", "text"), give, "key long, print binary, pivot boolean, shingles binary"), "given")
+    first = given.filter("pivot").select(F.col("key").alias("a"), F.col("print").alias("print_a"), F.col("shingles").alias("set_a"))
+    second = given.select(F.col("key").alias("b"), F.col("print").alias("print_b"), F.col("shingles").alias("set_b"))
 
+    def tokens(packed: pa.Scalar) -> np.ndarray:
+        raw = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), dtype=np.uint8)
+        wide[:, :6] = raw
+        return wide.view("<u8").ravel()
 
-def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the fingerprints, intersection and similarity of their sets."""
-    spark = documents.sparkSession
-    pairs = written(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = written(_sets_of(documents, keys), "sets")
-    first = sets.select(F.col("key").alias("a"), F.col("print").alias("print_a"), F.col("shingles").alias("set_a"))
-    second = sets.select(F.col("key").alias("b"), F.col("print").alias("print_b"), F.col("shingles").alias("set_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             likeness, linked = [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = tokens(x), tokens(y)
+                n = len(np.intersect1d(x, y))
                 likeness.append(n / (len(x) + len(y) - n))
                 linked.append(DENOMINATOR * n >= NUMERATOR * (len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays(
@@ -332,8 +368,9 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
                 names=["a", "b", "print_a", "print_b", "similarity", "linked"],
             )
 
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "print_a", "print_b", "set_a", "set_b")
-    return written(map_arrow(joined, run, "a long, b long, print_a binary, print_b binary, similarity double, linked boolean"), "verified")
+    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "print_a", "print_b", "set_a", "set_b")
+    out = map_arrow(joined, compare, "a long, b long, print_a binary, print_b binary, similarity double, linked boolean")
+    return written(out.dropDuplicates(["print_a", "print_b"]), "verified")
 
 
 def mark_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,15 +379,14 @@ def mark_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = documents.sparkSession
     base = scratch_path(spark, "sets")
     _sets_and_counts(documents, base)
-    rows = spark.read.schema("doc_id long, n_shingles long, print binary, slice int, counts binary, kind string").parquet(base)
-    sets = rows.filter("kind = 'set'").select("doc_id", "n_shingles", "print")
+    rows = spark.read.schema("doc_id long, n_shingles long, print binary, key long, slice int, counts binary, kind string").parquet(base)
+    sets = rows.filter("kind = 'set'").select("doc_id", "n_shingles", "print", "key")
     levels = rank_levels(_summed_counts(rows.filter("kind = 'count'")))
-    index = written(_index(documents, levels), "index")
-    lists = written(_lists(spark, index), "lists")
-    first = _verified(documents, _pivot_pairs(lists))
+    lists = written(_lists(_index(documents, levels)), "lists")
+    first = _verified(documents, sets, _pivot_pairs(lists))
     near = first.filter("linked")
     groups = components(near.select("a", "b"))
-    second = _verified(documents, _other_pairs(lists, first, groups))
+    second = _verified(documents, sets, _other_pairs(lists, first, groups))
     links = near.select("print_a", "print_b").union(second.filter("linked").select("print_a", "print_b"))
     linked = components(links.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")))
     classes = sets.filter(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("least"))
