@@ -199,10 +199,11 @@ class WordTable:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        new = set(words) - known.keys()
+        distinct = set(words)
+        new = [w for w in distinct if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = set(words)
+            new = list(distinct)
         need = len(known) + len(new)
         if need > len(self.rows):
             grown = np.zeros((max(need, 2 * len(self.rows)), self.rows.shape[1]))
