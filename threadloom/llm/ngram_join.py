@@ -36,6 +36,9 @@ from threadloom.session import scratch_path
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of at least 4/5
 SKETCH_BITS = 20
+CELL_BITS = 23
+# Partners of a set that are compared in one place.
+PARTNERS = 500
 SLICE = 1 << 12
 # Blocks of a list: sizes in one block differ by 1/16 at most.
 BLOCK_STEP = 1 / 16
@@ -295,12 +298,11 @@ def _other_pairs(lists: DataFrame, answers: DataFrame, groups: DataFrame) -> Dat
 
 def _cells(rows: DataFrame, *columns: str) -> np.ndarray:
     """Presence table of fixed size: a bit for each value that a hash of ``columns`` takes."""
-    cell = F.call_function("shiftrightunsigned", F.xxhash64(*columns), F.lit(64 - SKETCH_BITS))
+    cell = F.call_function("shiftrightunsigned", F.xxhash64(*columns), F.lit(64 - CELL_BITS))
     words = rows.select(cell.alias("cell")).groupBy(F.expr("cell div 32").alias("word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 32 AS INT))")).alias("bits")).collect()
-    table = np.zeros((1 << SKETCH_BITS) // 32, dtype=np.uint64)
-    for r in words:
-        table[r["word"]] = r["bits"]
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 32 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros((1 << CELL_BITS) // 32, dtype=np.uint32)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return table
 
 
@@ -309,67 +311,81 @@ def _in_cells(table: np.ndarray, *values: int) -> bool:
     h = 42
     for v in values:
         h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
-    cell = h >> (64 - SKETCH_BITS)
+    cell = h >> (64 - CELL_BITS)
     return bool(int(table[cell // 32]) >> (cell % 32) & 1)
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the fingerprints and the similarity of their sets.
+    """``pairs`` (a, b) with the fingerprints and the similarity of their sets.
 
-    Of each set that a pair needs one document is chosen, and presence tables of fixed size keep nearly all other texts
-    from giving theirs; the joins that follow are exact. A set is sent once for its place as second of pairs, where it
-    joins its pairs, and once as first. Tokens are sent in 48 bits, of which no two of a pair's are equal by chance but once
-    in a hundred million pairs.
+    Of each set that a pair needs one document is chosen, and a presence table of fixed size keeps nearly all other texts
+    from giving theirs; the join that follows is exact. A set goes once to each first set that it is paired with, where
+    the pairs are compared as a stream behind that set; a first set with many partners stands in several places. Tokens are
+    sent in 48 bits, of which no two of a pair's are equal by chance but once in a hundred million pairs.
     """
     spark = documents.sparkSession
     pairs = written(pairs, "pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     chosen = sets.join(keys, "key", "left_semi").groupBy("key", "print").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id"))
-    tables = spark.sparkContext.broadcast((_cells(chosen, "key", "doc_id"), _cells(pairs, "a")))
+    table = spark.sparkContext.broadcast(_cells(chosen, "key", "doc_id"))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, pivots = tables.value
+        wanted = table.value
         for batch in small_batches(batches):
-            out: dict[bytes, tuple[int, bool, bytes]] = {}
+            out: dict[bytes, tuple[int, bytes]] = {}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shingles = shingle_set(text)
                 if len(shingles):
                     key = short(mark := fingerprint(shingles))
                     if _in_cells(wanted, key, -1 if doc is None else doc):
-                        packed = shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-                        out[mark] = (key, _in_cells(pivots, key), packed)
+                        out[mark] = (key, _packed(shingles))
             if out:
                 columns = [*zip(*out.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(list(out), pa.binary()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())],
-                    names=["key", "print", "pivot", "shingles"],
+                    [pa.array(columns[0], pa.int64()), pa.array(list(out), pa.binary()), pa.array(columns[1], pa.binary())], names=["key", "print", "shingles"]
                 )
 
-    given = written(map_arrow(documents.select("doc_id", "text"), give, "key long, print binary, pivot boolean, shingles binary"), "given")
-    first = given.filter("pivot").select(F.col("key").alias("a"), F.col("print").alias("print_a"), F.col("shingles").alias("set_a"))
-    second = given.select(F.col("key").alias("b"), F.col("print").alias("print_b"), F.col("shingles").alias("set_b"))
-
-    def tokens(packed: pa.Scalar) -> np.ndarray:
-        raw = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), dtype=np.uint8)
-        wide[:, :6] = raw
-        return wide.view("<u8").ravel()
+    given = map_arrow(documents.select("doc_id", "text"), give, "key long, print binary, shingles binary")
+    places = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("places"))
+    firsts = places.select(F.col("a").alias("key"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"))
+    others = pairs.join(places, "a").select(
+        F.col("b").alias("key"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("side")
+    )
+    sent = given.join(firsts.union(others), "key").select("at", "place", "side", "key", "print", "shingles")
+    sent = sent.repartition(partition_count(documents), "at", "place").sortWithinPartitions("at", "place", "side", "print")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, {}
         for batch in small_batches(batches):
-            likeness, linked = [], []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = tokens(x), tokens(y)
-                n = len(np.intersect1d(x, y))
-                likeness.append(n / (len(x) + len(y) - n))
-                linked.append(DENOMINATOR * n >= NUMERATOR * (len(x) + len(y) - n))
+            out = []
+            for row in batch.to_pylist():
+                if (row["at"], row["place"]) != at:
+                    at, first = (row["at"], row["place"]), {}
+                tokens = _unpacked(row["shingles"])
+                if row["side"] == 0:
+                    first[row["print"]] = tokens
+                    continue
+                for mark, other in first.items():
+                    n = len(np.intersect1d(other, tokens))
+                    together = len(other) + len(tokens) - n
+                    out.append((row["at"], row["key"], mark, row["print"], n / together, DENOMINATOR * n >= NUMERATOR * together))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.bool_()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("a", "b", "print_a", "print_b")] + [pa.array(likeness, pa.float64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "print_a", "print_b", "similarity", "linked"],
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "print_a", "print_b", "similarity", "linked"]
             )
 
-    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "print_a", "print_b", "set_a", "set_b")
-    out = map_arrow(joined, compare, "a long, b long, print_a binary, print_b binary, similarity double, linked boolean")
+    out = map_arrow(sent, compare, "a long, b long, print_a binary, print_b binary, similarity double, linked boolean")
     return written(out.dropDuplicates(["print_a", "print_b"]), "verified")
 
 
