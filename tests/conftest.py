@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         spark__ui__enabled="false",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="4", spark__sql__adaptive__coalescePartitions__initialPartitionNum="4",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")

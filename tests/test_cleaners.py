@@ -137,7 +137,7 @@ def test_wiki(spark, dump):
     ]
     path = dump("w", lines)
     (row,) = cleaned(spark, path, "subreddit_wikis", "wiki")
-    assert (row.subreddit, row.revision_date, row.content) == ("spark", 1735689600, "é" * 500)
+    assert (row.subreddit, row.revision_date, row.content) == ("spark", 1735689600, "é" * 501)
     records = parse_records(read_lines(spark, path), DEFAULT_CATALOG.raw_fields("subreddit_wikis"))
     assert [r.path for r in cleaners.wiki_faults(records).collect()] == ["/r/bad"]
     assert len(cleaned(spark, path, "subreddit_wikis", "revision_wiki")) == 3

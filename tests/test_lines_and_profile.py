@@ -102,9 +102,15 @@ def test_change_detection(spark, dump, tmp_path):
     assert refreshed == {"kept": 2, "touched": 2, "edited": 2, "added": 1}
 
 
-def test_large_files_are_hashed_by_metadata(spark, dump):
-    (row,) = profile.file_manifest(spark, dump("a", ["x", "y"]), large_bytes=1).collect()
-    assert (row.line_count, row.hash_method) == (2, "metadata")
+def test_fingerprint_method_holds_for_every_file(spark, dump):
+    path = dump("a", ["x", "y"])
+    (content,) = profile.file_manifest(spark, path).collect()
+    (metadata,) = profile.file_manifest(spark, path, method=profile.PARTIAL).collect()
+    os.utime(path, (1, 1))
+    (later,) = profile.file_manifest(spark, path).collect()
+    (moved,) = profile.file_manifest(spark, path, method=profile.PARTIAL).collect()
+    assert (content.line_count, content.hash_method, metadata.hash_method) == (2, "content", "metadata")
+    assert content.hash == later.hash and metadata.hash != moved.hash
 
 
 def test_max_lengths(spark, dump):

@@ -80,6 +80,48 @@ def test_row_cap_counts_bad_lines(spark, dump, tmp_path):
     assert sorted(r.id for r in read(spark, store, "post").collect()) == ["a", "b"]
 
 
+def test_full_load_after_a_capped_one(spark, dump, tmp_path):
+    store, path = load.Store(str(tmp_path / "store")), dump("RS", MONTH_ONE)
+    load.load_source(spark, "submissions", path, store, max_lines=2)
+    assert sorted(r.id for r in read(spark, store, "post").collect()) == ["a", "b"]
+    assert load.load_source(spark, "submissions", path, store) == ["post", "author", "distinguished_post"]
+    assert sorted(r.id for r in read(spark, store, "post").collect()) == ["a", "b", "c", "d"]
+    assert load.load_source(spark, "submissions", path, store) == []
+
+
+def test_broken_rules_are_kept_in_quarantine(spark, dump, tmp_path):
+    store = load.Store(str(tmp_path / "store"))
+    lines = [
+        {"subreddit": "a", "rules": [{"short_name": "Be kind", "priority": 1}]}, {"subreddit": "b", "rules": "none"},
+        {"subreddit": "", "rules": [{}]}, "broken {", {"subreddit": "c", "rules": None},
+    ]
+    load.load_source(spark, "subreddit_rules", dump("rules", lines), store)
+    kept = spark.read.parquet(store.quarantine).collect()
+    assert {(r.kind, r.fault) for r in kept} == {("lines:subreddit_rules", "malformed_json"), ("subreddit_rules", "bad_rules"), ("subreddit_rules", "key_missing")}
+    assert [r.subreddit for r in read(spark, store, "subreddit_rules").collect()] == ["a"]
+
+
+def test_staging_copy_is_removed_after_a_failure(spark, dump, tmp_path):
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = {f for f in os.listdir(root) if f.startswith("staged-")}
+    path = dump("RS", [post("a", "x", "t2_1"), post("a", "y", "t2_1")])
+    with pytest.raises(load.DuplicateKeyError):
+        load.load_source(spark, "submissions", path, load.Store(str(tmp_path / "s")))
+    assert {f for f in os.listdir(root) if f.startswith("staged-")} == before
+
+
+def test_two_streams_into_one_store(spark, dump, tmp_path):
+    store = load.Store(str(tmp_path / "store"))
+    for n, lines in enumerate((MONTH_ONE, MONTH_TWO)):
+        dump("RS", lines, folder=f"in{n}")
+        stream = stream_lines(spark, str(tmp_path / f"in{n}"))
+        registry = default_cleaners(default_ignore_list(spark))
+        stream_source(stream, "submissions", store, str(tmp_path / f"checkpoint{n}"), registry=registry).awaitTermination()
+    assert sorted(r.id for r in read(spark, store, "post").collect()) == list("abcdefg")
+    assert authors(spark, store) == FIRST_AUTHORS
+    assert sorted(r.line_count for r in spark.read.parquet(store.stream_summary).collect()) == [3, 7]
+
+
 def test_failed_load_can_be_repeated(spark, dump, tmp_path):
     store = load.Store(str(tmp_path / "store"))
     path = dump("RS", MONTH_TWO)

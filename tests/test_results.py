@@ -87,7 +87,7 @@ def test_run_suite(spark):
 
 @pytest.mark.parametrize(
     "size, text",
-    [(0, "0.00 bytes"), (1023, "1023.00 bytes"), (1024, "1.00 KB"), (41600, "40.62 KB"), (5 * 1024**3, "5.00 GB"), (1024**5, None)],
+    [(0, "0.00 bytes"), (1023, "1023.00 bytes"), (1024, "1.00 KB"), (41600, "40.62 KB"), (5 * 1024**3, "5.00 GB"), (1024**5, "1.00 PB"), (3 * 1024**6, "3.00 EB")],
 )
 def test_readable_size(spark, size, text):
     assert spark.range(1).select(S.readable_size(F.lit(size))).first()[0] == text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: longest wiki text kept.
+# Fixed value: length that wiki text can be cut to.
 WIKI_CONTENT_LENGTH = 500
 # Fixed value: community name inside a wiki path.
 WIKI_PATH_PATTERN = "/r/([^/]+)"
@@ -20,7 +20,11 @@ _TRUTH = "CASE lower({c}) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END"
 # A raw JSON value, read as text, in its declared column type; NULL where the type cannot hold it.
 COERCIONS = {
     "boolean": "coalesce(try_cast({c} AS boolean), try_cast({c} AS double) <> 0)",
-    "bigint": f"coalesce(try_cast({{c}} AS bigint), try_cast(try_cast({{c}} AS double) AS bigint), {_TRUTH})",
+    # A number with a fraction is no whole number: it is reported, not cut.
+    "bigint": (
+        "coalesce(CASE WHEN try_cast({c} AS double) = floor(try_cast({c} AS double)) "
+        f"THEN coalesce(try_cast({{c}} AS bigint), try_cast(try_cast({{c}} AS double) AS bigint)) END, {_TRUTH})"
+    ),
     "double": f"coalesce(try_cast({{c}} AS double), {_TRUTH})",
     "string": "replace({c}, chr(0), '')",
 }
@@ -56,8 +60,9 @@ def wiki_community(path: Column, pattern: str = WIKI_PATH_PATTERN) -> Column:
     return F.regexp_extract(path, pattern, 1)
 
 
-def cut(text: Column, length: int = WIKI_CONTENT_LENGTH) -> Column:
-    return F.substring(text, 1, length)
+def cut(text: Column, length: int | None = WIKI_CONTENT_LENGTH) -> Column:
+    """The first ``length`` characters, or the whole text."""
+    return text if length is None else F.substring(text, 1, length)
 
 
 def text_or_none(value: Column) -> Column:
@@ -96,13 +101,13 @@ def bytes_to_gigabytes(value: Column) -> Column:
 
 
 def readable_size(size: Column) -> Column:
-    """``12.50 KB`` style text; NULL from 1024 TB on."""
+    """``12.50 KB`` style text; the last unit has no upper end."""
     value = size.cast("double")
-    out = None
-    for power, unit in enumerate(("bytes", "KB", "MB", "GB", "TB")):
+    out, units = None, ("bytes", "KB", "MB", "GB", "TB", "PB", "EB")
+    for power, unit in enumerate(units):
         # Ties go to the even digit.
         text = F.format_string(f"%.2f {unit}", F.bround(value / F.lit(1024.0**power), 2))
-        condition = value < F.lit(1024.0 ** (power + 1))
+        condition = value.isNotNull() if unit == units[-1] else value < F.lit(1024.0 ** (power + 1))
         out = F.when(condition, text) if out is None else out.when(condition, text)
     return out
 

@@ -20,6 +20,7 @@ from threadloom.sources.ndjson import count_filled
 
 Cleaner = Callable[[DataFrame], DataFrame]
 
+BAD_RULES = "bad_rules"
 BAD_DATE = "bad_date"
 
 RULE_FIELDS = ("rule_id", "priority", "short_name", "description", "kind", "created_utc", "violation_reason")
@@ -76,6 +77,14 @@ def clean_rules(records: DataFrame) -> DataFrame:
     return rows.withColumn("filled", count_filled([F.col(c) for c in ("subreddit", *RULE_FIELDS)]))
 
 
+def rules_faults(records: DataFrame) -> DataFrame:
+    """Records whose ``rules`` are there but are no list of objects."""
+    text = F.trim(F.col("rules"))
+    parsed = F.from_json("rules", "array<struct<" + ", ".join(f"`{f}` string" for f in RULE_FIELDS) + ">>")
+    unread = parsed.isNull() | F.exists(parsed, lambda rule: rule.isNull())
+    return records.filter((text != "") & unread).withColumn("fault", F.lit(BAD_RULES))
+
+
 def wiki_date(records: DataFrame) -> Column:
     return S.epoch_seconds(F.col("revision_date"))
 
@@ -85,8 +94,8 @@ def wiki_faults(records: DataFrame) -> DataFrame:
     return records.filter(wiki_date(records).isNull()).withColumn("fault", F.lit(BAD_DATE))
 
 
-def wiki_cleaner(pattern: str = S.WIKI_PATH_PATTERN) -> Cleaner:
-    """Date to epoch seconds, community name out of the path, shortened text.
+def wiki_cleaner(pattern: str = S.WIKI_PATH_PATTERN, content_length: int | None = None) -> Cleaner:
+    """Date to epoch seconds, community name out of the path, and the text, whole or cut to ``content_length``.
 
     Rows without a community in the path are dropped; rows with an unreadable date go to quarantine.
     """
@@ -95,7 +104,7 @@ def wiki_cleaner(pattern: str = S.WIKI_PATH_PATTERN) -> Cleaner:
         return (
             records.withColumn("revision_date", wiki_date(records).cast("string"))
             .withColumn("subreddit", S.wiki_community(F.col("path"), pattern))
-            .withColumn("content", S.cut(F.col("content")))
+            .withColumn("content", S.cut(F.col("content"), content_length))
             .filter(F.col("revision_date").isNotNull() & (F.col("subreddit") != ""))
         )
 
@@ -130,6 +139,11 @@ def default_cleaners(ignored: DataFrame | None = None) -> CleanerRegistry:
     )
 
 
+def left_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that the skip rule drops."""
+    return rows.filter(~F.coalesce(~key_fault(keys) & (F.col("filled") > len(keys)), F.lit(False)))
+
+
 def key_fault(keys: Sequence[str]) -> Column:
     """True where any key value is NULL or empty."""
     fault = F.lit(False)

@@ -26,15 +26,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
-def later_copies(df: DataFrame, keys: Sequence[str], place: Sequence[str]) -> DataFrame:
-    """Places of the rows that repeat the key of an earlier row.
+def later_copies(df: DataFrame, keys: Sequence[str], place: Sequence[str], repeated: DataFrame | None = None) -> DataFrame:
+    """Places of the rows that repeat the key of an earlier row; ``repeated`` has the keys that do, if they are known.
 
     ``place`` must identify a row and give the order. Only key and place columns are shuffled, and
     only for keys that occur more than once. The anti join is on ``place``, which is unique, so the
     copies of one key spread over all tasks.
     """
     narrow = df.select(*keys, *place)
-    repeated = bounded_broadcast(duplicate_keys(narrow, keys).select(*keys))
+    if repeated is None:
+        repeated = bounded_broadcast(duplicate_keys(narrow, keys).select(*keys))
     suspects = narrow.join(repeated, list(keys), "left_semi")
     kept = first_seen(suspects, keys, place).select(*place)
     return suspects.select(*place).join(kept, list(place), "left_anti")

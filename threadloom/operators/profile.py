@@ -11,9 +11,7 @@ from threadloom.functions.nested import leaf_lengths
 from threadloom.sources.ndjson import list_files, read_lines
 from threadloom.sources.numbering import first_lines
 
-# Fixed value: files above this size are compared by size and time only.
-LARGE_FILE_BYTES = 10 * 1024**3
-
+# What a file's fingerprint is made of.
 FULL = "content"
 PARTIAL = "metadata"
 
@@ -63,18 +61,18 @@ def _metadata_hash() -> Column:
     return F.md5(F.concat_ws("-", "length", F.unix_micros("modified")))
 
 
-def file_manifest(
-    spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, large_bytes: int = LARGE_FILE_BYTES
-) -> DataFrame:
-    """``path, line_count, hash, hash_method, length, modified`` of every file, all files read once."""
+def file_manifest(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, method: str = FULL) -> DataFrame:
+    """``path, line_count, hash, hash_method, length, modified`` of every file, all files read once.
+
+    ``method`` holds for every file: by ``content``, or by ``metadata``, that is size and time.
+    """
     files = list_files(spark, paths, recursive)
     content = content_fingerprints(read_lines(spark, paths, recursive)).withColumnRenamed("hash", "content_hash")
-    large = F.col("length") > large_bytes
     return files.join(content, "path").select(
         "path",
         "line_count",
-        F.when(large, _metadata_hash()).otherwise(F.col("content_hash")).alias("hash"),
-        F.when(large, F.lit(PARTIAL)).otherwise(F.lit(FULL)).alias("hash_method"),
+        (_metadata_hash() if method == PARTIAL else F.col("content_hash")).alias("hash"),
+        F.lit(method).alias("hash_method"),
         "length",
         "modified",
     )

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,17 +22,19 @@ from threadloom.catalog import DEFAULT_CATALOG, Catalog
 from threadloom.functions.scalars import display_time, elapsed_seconds
 from threadloom.operators.cleaners import (
     CleanerRegistry,
-    clean_table,
+    apply_skip_rule,
     default_cleaners,
     key_fault,
+    left_out,
     lost_values,
     project,
+    rules_faults,
     wiki_faults,
 )
-from threadloom.operators.keys import first_seen, known_keys, later_copies
-from threadloom.session import bounded_broadcast, drop_scratch, scratch_path, size_shuffles, tune
+from threadloom.operators.keys import duplicate_keys, first_seen, known_keys, later_copies
+from threadloom.session import counted_broadcast, drop_scratch, scratch_path, tune
 from threadloom.sinks.tables import LOAD, append_load, append_rows, quarantine, with_key_layout, write_documents
-from threadloom.sources.ndjson import MALFORMED, PLACE, list_files, parse_records, read_documents, read_lines
+from threadloom.sources.ndjson import MALFORMED, PLACE, parse_records, read_documents, read_lines
 from threadloom.sources.numbering import first_lines
 
 LEDGER_SCHEMA = "file string, `table` string"
@@ -73,19 +76,28 @@ class Store:
     def summary(self) -> str:
         return f"{self.path}/summary"
 
+    @property
+    def stream_summary(self) -> str:
+        return f"{self.path}/stream_summary"
+
     @property
     def quarantine(self) -> str:
         return f"{self.path}/quarantine"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored rows, or none where nothing has been stored yet."""
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored rows, or None where nothing has been stored yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    found = stored_rows(spark, path)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def load_name(*parts: str) -> str:
@@ -140,7 +152,7 @@ def summary_row(
 def staged_records(
     lines: DataFrame, source: str, tables: Sequence[str], catalog: Catalog = DEFAULT_CATALOG
 ) -> Iterator[DataFrame]:
-    """Lines parsed once into a Parquet copy, which is removed when the load has gone through.
+    """Lines parsed once into a Parquet copy, which is removed when the load has ended, also by an error.
 
     The copy holds the fields the given tables use. Only faulty lines keep their text.
     """
@@ -148,21 +160,23 @@ def staged_records(
     path = scratch_path(spark, f"staged-{source}")
     parsed = parse_records(lines, catalog.raw_fields(source, tables), catalog.key_width(tables))
     faulty_text = F.when(F.col("fault").isNotNull(), F.col("value"))
-    parsed.withColumn("value", faulty_text).write.parquet(path)
-    size_shuffles(spark, list_files(spark, path).agg(F.sum("length")).first()[0] or 0)
-    yield spark.read.parquet(path)
-    drop_scratch(spark, path)
+    try:
+        parsed.withColumn("value", faulty_text).write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        drop_scratch(spark, path)
 
 
-def _stored_keys(store: Store, table: str, load_id: str, rows: DataFrame, catalog: Catalog) -> DataFrame:
-    """Keys other loads have stored, within the key range of ``rows``.
+def _stored_keys(store: Store, table: str, load_id: str, rows: DataFrame, catalog: Catalog) -> DataFrame | None:
+    """Keys other loads have stored, within the key range of ``rows``; None where nothing is stored yet.
 
     Stored files are sorted by key, so the range lets Parquet statistics skip those out of reach:
     keys that grow with time overlap with few files.
     """
     spark, keys = rows.sparkSession, catalog.key(table)
-    schema = ", ".join(f"`{k}` string" for k in keys) + f", {LOAD} string"
-    stored = read_or_empty(spark, store.table(table), schema)
+    stored = stored_rows(spark, store.table(table))
+    if stored is None:
+        return None
     first = keys[0]
     low, high = rows.agg(F.min(first), F.max(first)).first()
     in_reach = F.col(first).between(F.lit(low), F.lit(high))
@@ -192,42 +206,58 @@ def load_records(
     and sets the others aside, ``keep`` skips the check.
     """
     fields = catalog.raw_fields(source, tables)
-    quarantine(records.filter(F.col("fault") == MALFORMED), store.quarantine, load_id, source)
     sound = records.filter(F.col("fault").isNull()).drop("fault")
+    malformed = records.filter(F.col("fault") == MALFORMED).select("fault", "value", *PLACE)
+    rejected = [malformed.withColumn("kind", F.lit(f"lines:{source}"))]
+
+    def reject(rows: DataFrame, table: str) -> None:
+        rejected.append(rows.withColumn("kind", F.lit(table)))
+
+    repeated_in = None
     for table in tables:
         keys = list(catalog.key(table))
-        rows = clean_table(sound, table, registry, catalog)
+        cleaned = sound.transform(registry.get(table))
+        rows = apply_skip_rule(cleaned, keys)
         lost = lost_values(rows, table, catalog)
-        rejected = [_rejected(lost, F.col("fault"), fields)]
+        reject(_rejected(lost, F.col("fault"), fields), table)
         if table == "wiki":
-            rejected.append(_rejected(wiki_faults(sound), F.col("fault"), fields))
-        elif table not in COMPUTED_KEY_TABLES:
-            rejected.append(_rejected(sound.filter(key_fault(keys)), F.lit("key_missing"), fields))
+            reject(_rejected(wiki_faults(sound), F.col("fault"), fields), table)
+        elif table in COMPUTED_KEY_TABLES:
+            reject(_rejected(rules_faults(sound), F.col("fault"), fields), table)
+            reject(_rejected(left_out(cleaned, keys), F.lit("key_missing"), cleaned.columns), table)
+        else:
+            reject(_rejected(sound.filter(key_fault(keys)), F.lit("key_missing"), fields), table)
         if table in FIRST_SEEN_TABLES:
-            stored = _stored_keys(store, table, load_id, rows, catalog)
             # Only the table's own columns enter the aggregate.
-            first = first_seen(project(rows, table, catalog, order), keys, order)
-            typed = first.join(stored, keys, "left_anti").drop(*order)
+            typed = first_seen(project(rows, table, catalog, order), keys, order)
+            stored = _stored_keys(store, table, load_id, rows, catalog)
+            if stored is not None:
+                typed = typed.join(stored, keys, "left_anti")
+            typed = typed.drop(*order)
         elif on_duplicate == "keep":
             typed = project(rows, table, catalog)
         else:
             stored = _stored_keys(store, table, load_id, rows, catalog)
-            copies = bounded_broadcast(later_copies(rows, keys, order))
-            known = bounded_broadcast(known_keys(rows, keys, stored))
-            repeated = rows.join(copies, list(order), "left_semi").unionByName(rows.join(known, keys, "left_semi"))
-            clashing = _rejected(repeated, F.lit("key_repeated"), fields)
-            if on_duplicate == "fail" and not (copies.isEmpty() and known.isEmpty()):
-                quarantine(clashing, store.quarantine, load_id, table)
-                raise DuplicateKeyError(f"{table}: a key occurs more than once, see {store.quarantine}")
-            if on_duplicate == "quarantine":
-                rejected.append(clashing.distinct())
-                rows = rows.join(copies, list(order), "left_anti").join(known, keys, "left_anti")
+            twice, n_twice = counted_broadcast(duplicate_keys(rows.select(*keys), keys).select(*keys))
+            copies, n_copies = counted_broadcast(later_copies(rows, keys, order, twice)) if n_twice else (None, 0)
+            known, n_known = (None, 0) if stored is None else counted_broadcast(known_keys(rows, keys, stored))
+            # Most loads repeat no key, and then no join is planned for it.
+            repeated = [rows.join(copies, list(order), "left_semi")] if n_copies else []
+            repeated += [rows.join(known, keys, "left_semi")] if n_known else []
+            for found in repeated:
+                reject(_rejected(found, F.lit("key_repeated"), fields), table)
+            if repeated and on_duplicate == "fail":
+                repeated_in = table
+                break
+            if n_copies and on_duplicate == "quarantine":
+                rows = rows.join(copies, list(order), "left_anti")
+            if n_known and on_duplicate == "quarantine":
+                rows = rows.join(known, keys, "left_anti")
             typed = project(rows, table, catalog)
-        bad = rejected[0]
-        for more in rejected[1:]:
-            bad = bad.unionByName(more)
-        quarantine(bad, store.quarantine, load_id, table)
         append_load(with_key_layout(typed, keys), store.table(table), load_id)
+    quarantine(reduce(DataFrame.unionByName, rejected).distinct(), store.quarantine, load_id)
+    if repeated_in:
+        raise DuplicateKeyError(f"{repeated_in}: a key occurs more than once, see {store.quarantine}")
 
 
 def load_source(
@@ -243,7 +273,8 @@ def load_source(
 ) -> list[str]:
     """Load the tables of a source that the ledger does not yet hold; returns the tables written.
 
-    Several paths are one load, in path order.
+    Several paths are one load, in path order. A load that ``max_lines`` may have cut short is not entered in the ledger:
+    a later load reads the files again and replaces its rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     data_file = ",".join(paths)
@@ -261,7 +292,8 @@ def load_source(
     with staged_records(lines, source, todo, catalog) as records:
         line_count = records.count()
         load_records(records, source, store, load_id, todo, registry, catalog, on_duplicate=on_duplicate)
-    append_rows(spark.createDataFrame([(data_file, t) for t in todo], LEDGER_SCHEMA), store.ledger)
+    if max_lines is None or line_count < max_lines:
+        append_rows(spark.createDataFrame([(data_file, t) for t in todo], LEDGER_SCHEMA), store.ledger)
     end = datetime.now(timezone.utc)
     append_rows(summary_row(spark, system, data_file, start, end, todo, line_count, len(todo)), store.summary)
     return todo
@@ -310,9 +342,12 @@ def load_documents(
     keys = ["subreddit"] if collection in COMPUTED_KEY_TABLES else list(catalog.key(collection))
     documents = read_documents(lines, keys)
     load_id = load_name("documents", source, data_file)
-    quarantine(documents.filter(F.col("fault").isNotNull()), store.quarantine, load_id, collection)
+    faulty = documents.filter(F.col("fault").isNotNull()).select("fault", "value", *PLACE)
+    quarantine(faulty.withColumn("kind", F.lit(collection)), store.quarantine, load_id)
     write_documents(documents.filter(F.col("fault").isNull()), store.documents(collection), keys, load_id)
-    append_rows(spark.createDataFrame([(data_file, ledger_name)], LEDGER_SCHEMA), store.ledger)
+    line_count = lines.count()
+    if max_lines is None or line_count < max_lines:
+        append_rows(spark.createDataFrame([(data_file, ledger_name)], LEDGER_SCHEMA), store.ledger)
     end = datetime.now(timezone.utc)
-    append_rows(summary_row(spark, "documents", data_file, start, end, [], lines.count(), 1), store.summary)
+    append_rows(summary_row(spark, "documents", data_file, start, end, [], line_count, 1), store.summary)
     return True

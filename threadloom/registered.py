@@ -329,7 +329,27 @@ def _(spark, sf_dir):
        FROM pages WHERE contains(url, '/en/') AND NOT contains(url, 'ref=')""",
 )
 def _(spark, sf_dir):
-    return _cleaned(T.wiki_lines(spark, sf_dir), "subreddit_wikis", "wiki").drop("row_id")
+    """Wiki text cut to its documented length on demand."""
+    registry = cleaners.default_cleaners()
+    registry.register("wiki", cleaners.wiki_cleaner(content_length=scalars.WIKI_CONTENT_LENGTH))
+    return _cleaned(T.wiki_lines(spark, sf_dir), "subreddit_wikis", "wiki", registry).drop("row_id")
+
+
+@registered(
+    "wiki_full_text",
+    """SELECT replace(url, '/en/', '/r/en_wiki/') AS path, html AS content
+       FROM pages WHERE contains(url, '/en/') AND NOT contains(url, 'ref=')""",
+)
+def _(spark, sf_dir):
+    return _cleaned(T.wiki_lines(spark, sf_dir), "subreddit_wikis", "wiki").select("path", "content")
+
+
+@registered("rules_quarantine", "SELECT page_id AS row_id, 'bad_rules' AS fault FROM pages WHERE page_id % 2 = 0")
+def _(spark, sf_dir):
+    """Every second record has rules that are no list; none of them may vanish."""
+    rules = F.when(F.col("page_id") % 2 == 0, F.lit("none")).otherwise(F.to_json(F.array(F.struct(F.lit("Be kind").alias("short_name")))))
+    records = T.table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.col("url").alias("subreddit"), rules.alias("rules"))
+    return cleaners.rules_faults(records).select("row_id", "fault")
 
 
 @registered(
@@ -794,7 +814,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch_path(spark, "quarantine")
     faults = cleaners.wiki_faults(_parsed(T.wiki_lines(spark, sf_dir), "subreddit_wikis"))
-    sinks.quarantine(faults, path, "first", "wiki")
+    sinks.quarantine(faults.withColumn("kind", F.lit("wiki")), path, "first")
     return spark.read.parquet(path).select("row_id", "fault")
 
 

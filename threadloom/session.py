@@ -8,14 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row bound under which a derived table may be broadcast. The tables this is used on hold a path, an
-# offset or a short key per row, so the bound keeps a broadcast near 100 MB.
+# Row bound under which a derived table may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
-# Bytes of compressed columnar input per shuffle partition, and a ceiling that keeps shuffle
-# bookkeeping in bounds.
-SHUFFLE_BYTES = 64 * 1024**2
-MAX_SHUFFLE_PARTITIONS = 100_000
+# Bytes of a table's values under which it may be broadcast.
+BROADCAST_BYTES = 64 * 1024**2
 
 # Settings that can also be given to a running session. The method limit is the size up to which the JVM
 # compiles a method: a projection over a wide record beyond it would run interpreted, while below
@@ -29,6 +26,9 @@ SETTINGS = {
     **RUNTIME_SETTINGS,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffles start with many partitions, which adaptive execution merges to what their data needs: it can
+    # merge partitions but not add any.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -51,16 +51,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
-    """Raise the shuffle partition count to suit the input; adaptive execution merges what is too small.
-
-    A partition count fixed for small inputs would put gigabytes into each task of a large load.
-    """
-    wanted = min(input_bytes // SHUFFLE_BYTES, MAX_SHUFFLE_PARTITIONS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a local one is made only if none is set.
 
@@ -99,10 +89,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a small derived table and mark it for broadcast only if its row count allows it.
+def counted_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
+    """``df`` written once to the shared folder, marked for broadcast only if its rows and bytes allow it, and its row count.
 
-    Beyond the bound the table is returned without a hint and the join shuffles on its keys.
+    Beyond the bounds the table is returned without a hint and the join shuffles on its keys.
     """
-    df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    spark = df.sparkSession
+    path = scratch_path(spark, "small")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    text = [F.octet_length(F.col(f"`{c}`")) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    width = sum((F.coalesce(t.cast("long"), F.lit(0)) for t in text), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return (F.broadcast(df) if rows <= max_rows and size <= max_bytes else df), rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a small derived table and mark it for broadcast only if its size allows it."""
+    return counted_broadcast(df, max_rows)[0]

@@ -85,8 +85,10 @@ def drop_unfinished(spark: SparkSession, tables: Sequence[str], finished: DataFr
     return sorted(loose)
 
 
-def quarantine(rows: DataFrame, path: str, load_id: str, table: str) -> None:
-    """Keep rejected rows with the reason, the raw line and its place."""
-    rows.select(F.lit(table).alias("table"), "fault", "value", "file_path", "block_start", "row_id").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/{LOAD}={load_id}/kind={table}")
+def quarantine(rows: DataFrame, path: str, load_id: str) -> None:
+    """Keep the rejected rows of a load with the reason, the raw line and its place, in one write.
+
+    ``kind`` says what a row was rejected from: a table, or the lines of a source.
+    """
+    named = rows.withColumn("table", F.regexp_replace("kind", "^lines:", ""))
+    named.select("table", "kind", "fault", "value", "file_path", "block_start", "row_id").write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.catalog import DEFAULT_CATALOG, Catalog
 from threadloom.operators.cleaners import CleanerRegistry, default_cleaners
-from threadloom.plans.load import Store, load_records, staged_records
+from threadloom.plans.load import Store, load_name, load_records, staged_records, summary_row
+from threadloom.sinks.tables import append_load
 
 # Arrival order: older files first, then line order.
 ARRIVAL = ("modified", "file_path", "block_start", "row_id")
@@ -32,6 +35,11 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000, re
     )
 
 
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the stream that a checkpoint belongs to, which Spark writes there before the first batch."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def stream_source(
     lines: DataFrame,
     source: str,
@@ -44,18 +52,24 @@ def stream_source(
 ) -> StreamingQuery:
     """Load everything that has arrived, then stop; run again to load what arrived since.
 
-    The checkpoint remembers the files read. A micro-batch is staged once, and its writes carry the
-    batch number, so a batch that is run again replaces its own rows. First-seen authors are taken
-    inside the batch and then checked against the stored table: no state grows in memory.
+    The checkpoint remembers the files read. A micro-batch is staged once, and its writes carry the identity that
+    Spark keeps in the checkpoint and the batch number: a batch that is run again replaces its own rows, and never
+    those of another stream. First-seen authors are taken inside the batch and then checked against the stored
+    table: no state grows in memory. Each batch leaves one summary row.
     """
     registry = registry or default_cleaners()
     wanted = list(tables or catalog.sources[source].tables)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        start = datetime.now(timezone.utc)
         placed = batch.withColumn("row_id", F.monotonically_increasing_id())
-        load_id = f"batch-{batch_id:012d}"
+        load_id = f"{load_name('stream', source, stream_identity(batch.sparkSession, checkpoint))}-{batch_id:012d}"
         with staged_records(placed, source, wanted, catalog) as records:
+            line_count = records.count()
             load_records(records, source, store, load_id, wanted, registry, catalog, ARRIVAL, on_duplicate)
+        end = datetime.now(timezone.utc)
+        row = summary_row(batch.sparkSession, "stream", load_id, start, end, wanted, line_count, len(wanted))
+        append_load(row, store.stream_summary, load_id)
 
     return (
         lines.writeStream.foreachBatch(write)

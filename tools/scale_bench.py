@@ -29,7 +29,7 @@ def main() -> None:
     wanted = int(sys.argv[1]) if len(sys.argv) > 1 else 20_000_000
     cpus = sys.argv[2] if len(sys.argv) > 2 else "8"
     spark = build_session(
-        "scale", f"local[{cpus}]", spark__ui__enabled="false", spark__sql__shuffle__partitions=str(4 * int(cpus)),
+        "scale", f"local[{cpus}]", spark__ui__enabled="false", spark__sql__shuffle__partitions=str(4 * int(cpus)), spark__sql__adaptive__coalescePartitions__initialPartitionNum=str(4 * int(cpus)),
         spark__driver__memory="20g", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
