@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,14 +130,12 @@ def column_max_lengths(df: DataFrame) -> DataFrame:
     return longest.unpivot([], list(df.columns), "key", "max_length")
 
 
+def summed_sizes(listing: DataFrame) -> DataFrame:
+    """``name, size_bytes`` from a listing of files (``name, length``)."""
+    return listing.groupBy("name").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+
+
 def storage_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """``name, size_bytes`` of each stored table, from the file listing alone (no file is opened)."""
-    sizes = None
-    for name, path in tables.items():
-        one = (
-            list_files(spark, path)
-            .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
-            .select(F.lit(name).alias("name"), "size_bytes")
-        )
-        sizes = one if sizes is None else sizes.unionByName(one)
-    return sizes
+    listings = [list_files(spark, path).select(F.lit(name).alias("name"), "length") for name, path in tables.items()]
+    return summed_sizes(reduce(DataFrame.unionByName, listings))

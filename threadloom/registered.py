@@ -11,6 +11,7 @@ from threadloom import standins as T
 from threadloom.catalog import DEFAULT_CATALOG, Catalog, Source
 from threadloom.functions import nested, scalars
 from threadloom.operators import cleaners, exploration, keys, profile
+from threadloom.operators.lookups import array_lookup
 from threadloom.plans import load, results
 from threadloom.plans.runner import run_suite
 from threadloom.plans.suite import DOCUMENT_SUITE, SQL_SUITE, document_table, high_average_subreddits_joined, posts_with_comments
@@ -134,7 +135,7 @@ def _register_suite() -> None:
         )
     for name, query in DOCUMENT_SUITE.items():
         registered(f"{name}_document", _archive_sql(DOCUMENT_ORACLE[name]))(
-            lambda spark, sf_dir, q=query: _comparable(q.build(T.archive(spark, sf_dir, q.inputs)))
+            lambda spark, sf_dir, q=query: _comparable(q.build(T.document_archive(spark, sf_dir, q.inputs)))
         )
 
 
@@ -161,6 +162,17 @@ def _(spark, sf_dir):
     return _comparable(posts_with_comments(T.archive(spark, sf_dir), posts=None))
 
 
+@registered(
+    "lookup_array_parts",
+    _archive_sql("SELECT p.id, c.body FROM post p JOIN comment c ON c.link_id = p.name"),
+)
+def _(spark, sf_dir):
+    """One row for each match: however small the parts, every match is in one of them."""
+    tables = T.archive(spark, sf_dir, ("post", "comment"))
+    parts = array_lookup(tables["post"].select("id", "name"), tables["comment"], "name", "link_id", value="body", row_key="id", part_values=2)
+    return parts.select("id", F.explode("values").alias("body"))
+
+
 @registered("sql_table_read", _archive_sql("SELECT subreddit_id, max(score) AS best FROM post GROUP BY 1"))
 def _(spark, sf_dir):
     register_views({"post": T.posts(spark, sf_dir)})
@@ -852,6 +864,25 @@ def _(spark, sf_dir):
     )
 
 
+@registered(
+    "size_listing",
+    """SELECT source AS name, sum(n_chars)::BIGINT AS size_bytes, round(sum(n_chars) / 1073741824.0, 9) AS size_gb,
+              CASE WHEN sum(n_chars) < 1024 THEN format('{:.2f} bytes', sum(n_chars)::DOUBLE)
+                   WHEN sum(n_chars) < 1048576 THEN format('{:.2f} KB', round_even(sum(n_chars) / 1024.0, 2))
+                   WHEN sum(n_chars) < 1073741824 THEN format('{:.2f} MB', round_even(sum(n_chars) / 1048576.0, 2))
+                   ELSE format('{:.2f} GB', round_even(sum(n_chars) / 1073741824.0, 2)) END AS size_text
+       FROM documents GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """Sizes summed from a listing, here that of the documents by source."""
+    listing = T.table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("n_chars").alias("length"))
+    sizes = profile.summed_sizes(listing)
+    return sizes.select(
+        "name", "size_bytes", F.round(scalars.bytes_to_gigabytes(F.col("size_bytes")), 9).alias("size_gb"),
+        scalars.readable_size(F.col("size_bytes")).alias("size_text"),
+    )
+
+
 # ---------------------------------------------------------------- loads
 
 

@@ -11,7 +11,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.plans.suite import document_table
 from threadloom.session import scratch_path
+from threadloom.sinks.tables import write_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,26 @@ def archive(spark: SparkSession, sf_dir: str, names: Iterable[str] = tuple(TABLE
     return {name: TABLES[name](spark, sf_dir) for name in names}
 
 
+_COLLECTIONS: dict[tuple[str, str, str], str] = {}
+
+
+def document_archive(spark: SparkSession, sf_dir: str, names: Iterable[str] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The same tables read out of stored VARIANT documents. A collection is written once for each Spark application."""
+    found = {}
+    for name in names:
+        rows = TABLES[name](spark, sf_dir)
+        at = (spark.sparkContext.applicationId, sf_dir, name)
+        if at not in _COLLECTIONS:
+            path = scratch_path(spark, f"collection-{name}")
+            key = rows.columns[0]
+            documents = rows.select(key, F.parse_json(F.to_json(F.struct(*rows.columns))).alias("doc"))
+            write_documents(documents, path, [key], "standin")
+            _COLLECTIONS[at] = path
+        ddl = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+        found[name] = document_table(spark.read.parquet(_COLLECTIONS[at]), ddl)
+    return found
+
+
 def _line(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
