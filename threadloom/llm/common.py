@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def partition_count(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
-    """Shuffle partitions that suit the size the optimizer expects of ``df``, the session's number at least."""
+    """Shuffle partitions that suit the size the optimizer expects of ``df``, the session's number at least; that number
+    where nothing is known of the size, as of rows that come from the driver."""
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if expected >= 1 << 60:
+        return least
     return max(least, min(MAX_PARTITIONS, expected // task_bytes + 1))
 
 

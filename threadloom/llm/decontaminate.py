@@ -1,10 +1,11 @@
 """Training documents that hold benchmark items, by a BM25 index of the items with block-max WAND.
 
-The items are indexed once: each word's list of items, with the word's BM25 weight in the item as a share of the weight of the
-item's own words, cut into blocks with the largest weight of each. Every training text is read in passages that
+The items are indexed once, by pairs of neighbouring words, of which chance matches are rare (an item of one word by that
+word): each pair's list of items, with its BM25 weight in the item as a share of the weight of all the item's pairs, cut into
+blocks with the largest weight of each. Every training text is read in passages that
 overlap so that each place of an item's length lies whole within one, and every passage is a query: an item's score
-is the share of its weight that the passage holds. WAND takes the words' lists in step, by item, and skips items that
-the words met cannot bring to the threshold, and then blocks whose own maxima cannot. Passages whose words, all
+is the share of its weight that the passage holds. WAND takes the pairs' lists in step, by item, and skips items that
+the pairs met cannot bring to the threshold, and then blocks whose own maxima cannot. Passages whose pairs, all
 together, stay below the threshold are passed over at once. What is retrieved is verified by the word five-grams of the
 item's question and, where it has one, the words of its answer.
 
@@ -60,21 +61,44 @@ class ItemIndex:
         n = len(texts)
         self.longest = max(map(len, texts), default=0)
         mean = sum(map(len, texts)) / max(1, n)
-        df = Counter(w for words in texts for w in set(words))
-        lists: dict[bytes, list[tuple[int, float]]] = {}
-        for i, words in enumerate(texts):
+        self.words = {w: i + 1 for i, w in enumerate(sorted({w for words in texts for w in words}))}  # 0: no word of an item
+        lists: dict[int, list[tuple[int, float]]] = {}
+        counted = [Counter(self.keys_of(words, alone=len(words) == 1).tolist()) for words in texts]
+        df = Counter(k for counts in counted for k in counts)
+        for i, (words, counts) in enumerate(zip(texts, counted, strict=True)):
             weights = {
-                w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-                for w, tf in Counter(words).items()
+                k: math.log(1 + (n - df[k] + 0.5) / (df[k] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
+                for k, tf in counts.items()
             }
             whole = sum(weights.values())
-            for w, weight in weights.items():
-                lists.setdefault(w, []).append((i, weight / whole))
-        self.terms = {w: t + 1 for t, w in enumerate(lists)}  # 0: no word of an item
-        self.items = [[], *[[i for i, _ in found] for found in lists.values()]]
-        self.weights = [[], *[[x for _, x in found] for found in lists.values()]]
-        self.most = np.array([0.0, *[max(x for _, x in found) for found in lists.values()]])
-        self.block_most = [[], *[[max(x for _, x in found[b : b + POSTINGS_BLOCK]) for b in range(0, len(found), POSTINGS_BLOCK)] for found in lists.values()]]
+            for k, weight in weights.items():
+                lists.setdefault(k, []).append((i, weight / whole))
+        self.terms = {k: t + 1 for t, k in enumerate(sorted(lists))}  # 0: no term of an item
+        found = [lists[k] for k in sorted(lists)]
+        self.sorted_keys = np.array([*sorted(lists), 1 << 62], dtype=np.int64)
+        self.items = [[], *[[i for i, _ in f] for f in found]]
+        self.weights = [[], *[[x for _, x in f] for f in found]]
+        self.most = np.array([0.0, *[max(x for _, x in f) for f in found]])
+        self.block_most = [[], *[[max(x for _, x in f[b : b + POSTINGS_BLOCK]) for b in range(0, len(f), POSTINGS_BLOCK)] for f in found]]
+        self.alone = any(len(words) == 1 for words in texts)
+
+    def keys_of(self, words: list[bytes], alone: bool) -> np.ndarray:
+        """Keys of the pairs of neighbouring words, -1 where a word is in no item; ``alone``: of the words themselves."""
+        ids = np.fromiter(map(self.words.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        if alone:
+            return np.where(ids > 0, ids, -1)
+        return np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * (len(self.words) + 1) + ids[1:], -1)
+
+    def terms_of(self, words: list[bytes]) -> np.ndarray:
+        """Term that begins at each place of a text, 0 for none."""
+        def known(keys: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(self.sorted_keys, keys)
+            return np.where(self.sorted_keys[at] == keys, at + 1, 0)
+
+        pairs = np.append(known(self.keys_of(words, alone=False)), 0)
+        if not self.alone:
+            return pairs
+        return np.stack([pairs, known(self.keys_of(words, alone=True))])
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Items of at least ``threshold`` for the distinct ``terms``, by block-max WAND."""
@@ -129,15 +153,15 @@ class ItemIndex:
         """Verified items of a text: score, question overlap and answer overlap of each."""
         if not words or not self.longest:
             return {}
-        terms = np.fromiter(map(self.terms.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        terms = np.atleast_2d(self.terms_of(words))
         step = self.longest
         starts = np.arange(0, max(1, len(words) - step), step)
-        sums = np.concatenate([[0.0], np.cumsum(self.most[terms])])
+        sums = np.concatenate([[0.0], np.cumsum(self.most[terms].sum(axis=0))])
         ends = np.minimum(starts + 2 * step, len(words))
         out: dict[int, tuple[float, float, float]] = {}
         for i in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9).tolist():
             start, stop = int(starts[i]), int(ends[i])
-            distinct = np.unique(terms[start:stop])
+            distinct = np.unique(terms[:, start:stop])
             distinct = distinct[distinct > 0]
             if self.most[distinct].sum() < threshold - 1e-9:
                 continue
