@@ -113,6 +113,26 @@ def test_recall_with_real_trees():
     assert len(near) > 200 and len(shared) / len(near) >= 0.9
 
 
+def test_large_clique_is_linked_in_full(spark):
+    """A clique of distinct near copies of many leaves' size, among others, and rows in few dimensions, which are cut."""
+    random = np.random.default_rng(4)
+    clique = random.normal(size=64) + random.normal(size=(2500, 64)) * 0.1
+    flat = random.normal(size=(1500, 2)) @ random.normal(size=(2, 64))
+    rows = [(v, 1) for v in np.concatenate([clique, random.normal(size=(1500, 64))])] + [(v, 2) for v in flat]
+    rows = [(i, v.astype("f4").tolist(), label) for i, (v, label) in enumerate(rows)]
+    got = {r.vec_id: r for r in forest.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    for label in (1, 2):
+        ids = np.array([i for i, _, k in rows if k == label])
+        vectors = np.array([v for _, v, k in rows if k == label], dtype="f4").astype(float)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        near = vectors @ vectors.T >= forest.COSINE
+        assert [got[i].n_links for i in ids.tolist()] == (near.sum(axis=1) - 1).tolist()
+        assert near.sum() > 10 * len(ids)
+    tree = forest.grow(vectors, 100, random, [0])
+    leaves = [set(x) for x in forest.leaves_of(vectors, tree)]
+    assert tree.leaf < 0 and all(leaves[i] & leaves[j] for i, j in zip(*np.nonzero(near), strict=True))
+
+
 def test_pair_counted_once():
     a, b = forest.padded([[1, 5], [2, 7], [3]], -1), forest.padded([[5, 9], [2, 7], [4]], -2)
     assert forest.counted_here(a, b, 5).tolist()[0] is True

@@ -1,11 +1,14 @@
-"""Near-duplicate vectors by a forest of random-projection trees with overlapping halves.
+"""Near-duplicate vectors by random-projection trees with overlapping halves, which part no link.
 
 Vectors are only compared within a label. Equal vectors are one class first. On a bounded sample several trees are grown
-for each label: a node projects its vectors on a random direction and cuts at the median, and vectors close to the
-cut go to both halves, so that near ones are seldom parted. Every vector is then sent down all trees. Within a leaf all
-pairs are compared, in blocks of bounded size, by cosine in double precision; of the leaves that a pair shares only
-the first counts it, so links need not be listed to be counted. Each block reports how often its vectors are linked and the
-edges of a spanning forest of its links, whose union gives the groups.
+for each label, and the one that leaves the fewest pairs is taken: a node projects its unit vectors on some random
+directions and cuts where the halves have the fewest pairs. Linked vectors are at most twice ``MARGIN`` apart, and so are
+their projections; all within ``MARGIN`` of a cut go to both halves, so that every link lies whole in some leaf. A node
+whose best cut would spare too few pairs, because most of it is that close to the cut, stays a leaf of any size:
+vectors spread over many dimensions, and cliques of near copies, are compared in full. Every vector is then sent down
+its tree. Within a leaf all pairs are compared, in blocks of bounded size, by cosine in double precision; of the leaves
+that a pair shares only the first counts it, so links need not be listed to be counted. Each block reports how often its
+vectors are linked and the edges of a spanning forest of its links, whose union gives the groups.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and those without label, link
 with nothing; vectors of different length in one label never link; rows that repeat a vec_id are rows of their own; an
@@ -27,11 +30,15 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import components, map_arrow, send_package, small_batches, written
 
 COSINE = 0.98
-TREES = 5
+TREES = 5  # trees grown for a label, of which the best is used
 SAMPLE = 40_000
 LEAF = 300  # vectors that a leaf is meant to get
 SAMPLE_LEAF = 12  # sampled vectors that a leaf keeps at least
-SPILL = 0.08  # share of a node's vectors on each side of the cut that goes to both halves
+# Half the largest distance of linked unit vectors, with room for rounding.
+MARGIN = math.sqrt((1 - COSINE) / 2) + 1e-9
+DIRECTIONS = 16  # tried for a cut
+PAIRS_LEFT = 0.75  # most pairs that a cut may leave, as a share of the node's
+PAIRS_AT_ONCE = 100_000
 BLOCK = 2_000  # vectors of a block; two blocks are compared by one task
 
 
@@ -43,19 +50,40 @@ class Node:
     left: Node | None = None
     right: Node | None = None
     leaf: int = -1
+    pairs: int = 0  # of sampled vectors, in all leaves below
+
+
+def best_cut(sample: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, float] | None:
+    """Direction and place of the cut that leaves the fewest pairs in the overlapping halves; none if those are too many.
+
+    Half of the directions lead from one vector of the sample to another, along which it is spread most."""
+    n, half = len(sample), DIRECTIONS // 2
+    ends = random.integers(n, size=(2, DIRECTIONS - half))
+    directions = np.concatenate([random.normal(size=(half, sample.shape[1])), sample[ends[0]] - sample[ends[1]]])
+    sizes = np.linalg.norm(directions, axis=1)
+    directions = directions[sizes > 1e-6] / sizes[sizes > 1e-6, None]
+    least, best = PAIRS_LEFT, None
+    for direction in directions:
+        at = np.sort(sample @ direction)
+        cuts = np.quantile(at, np.linspace(0.1, 0.9, 33))
+        left = np.searchsorted(at, cuts + MARGIN, side="right") / n
+        right = 1 - np.searchsorted(at, cuts - MARGIN, side="left") / n
+        share = left**2 + right**2
+        k = int(np.argmin(share))
+        if share[k] <= least:
+            least, best = share[k], (direction, float(cuts[k]))
+    return best
 
 
 def grow(sample: np.ndarray, smallest: int, random: np.random.Generator, leaves: list[int]) -> Node:
     """A tree over unit vectors; ``leaves`` counts those given out."""
-    if len(sample) > 2 * smallest:
-        direction = random.normal(size=sample.shape[1])
-        direction /= np.linalg.norm(direction)
+    if len(sample) > 2 * smallest and (cut := best_cut(sample, random)):
+        direction, low, high = cut[0], cut[1] - MARGIN, cut[1] + MARGIN
         at = sample @ direction
-        low, middle, high = np.quantile(at, [0.5 - SPILL, 0.5, 0.5 + SPILL])
-        if at.min() < middle <= at.max() and (at < low).any() and (at > high).any():
-            return Node(direction, low, high, grow(sample[at < middle], smallest, random, leaves), grow(sample[at >= middle], smallest, random, leaves))
+        left, right = (grow(part, smallest, random, leaves) for part in (sample[at <= high], sample[at >= low]))
+        return Node(direction, low, high, left, right, pairs=left.pairs + right.pairs)
     leaves[0] += 1
-    return Node(leaf=leaves[0] - 1)
+    return Node(leaf=leaves[0] - 1, pairs=len(sample) ** 2)
 
 
 def leaves_of(vectors: np.ndarray, node: Node) -> list[list[int]]:
@@ -103,7 +131,8 @@ def packed_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def build_forest(classes: DataFrame, trees: int = TREES, seed: int = 7) -> dict[tuple, list[Node]]:
-    """Trees by label and vector length, grown on the ``SAMPLE`` vectors of smallest hash."""
+    """The best of ``trees`` trees by label and vector length, grown on the ``SAMPLE`` vectors of smallest hash. Every tree
+    keeps all links together, so one is enough."""
     sample = classes.orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("label", "vector").collect()
     drawn: dict[tuple, list[np.ndarray]] = {}
     for r in sample:
@@ -114,7 +143,8 @@ def build_forest(classes: DataFrame, trees: int = TREES, seed: int = 7) -> dict[
     for key, vectors in sorted(drawn.items()):
         random = np.random.default_rng([seed, len(vectors), key[1]])
         smallest = max(SAMPLE_LEAF, int(LEAF * share))
-        forest[key] = [grow(np.array(vectors), smallest, random, [0]) for _ in range(trees)]
+        grown = (grow(np.array(vectors), smallest, random, [0]) for _ in range(trees))
+        forest[key] = [min(grown, key=lambda tree: tree.pairs)]
     return forest
 
 
@@ -212,7 +242,9 @@ def compare_block(group: pd.DataFrame) -> pd.DataFrame:
             i, j = rows[i], right[j]
             if same:
                 i, j = i[i < j], j[i < j]
-            first = counted_here(leaves_a[i], leaves_b[j], here)
+            parts = range(0, len(i), PAIRS_AT_ONCE)
+            first = [counted_here(leaves_a[i[k : k + PAIRS_AT_ONCE]], leaves_b[j[k : k + PAIRS_AT_ONCE]], here) for k in parts]
+            first = np.concatenate([np.zeros(0, dtype=bool), *first])
             i, j = i[first], j[first]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -251,6 +283,8 @@ def link_vectors(embeddings: DataFrame, trees: int = TREES) -> DataFrame:
     # A block meets itself and every other block of its leaf, each two in one task.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    # Dealt out by the pair of blocks: the join's partitions by leaf would keep all pairs of a leaf in one task.
+    dealt = dealt.repartition(*leaf, "low", "high")
     report = written(dealt.groupBy(*leaf, "low", "high").applyInPandas(compare_block, REPORT), "links")
     groups = components(report.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = report.groupBy("node").agg(F.sum("links").alias("links"))
