@@ -170,6 +170,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs, nothing).filter("score > 0").count() == 0
 
 
+def test_toxic_words_that_clean_documents_quote(spark):
+    """Every toxic word stands in some clean documents, and rare ones in under 1 % of the toxic ones."""
+    rows = labelled(3000, 8)
+    rows = [(i, t + random.choice([" nastyone", " nastyother", " vileword"]) if not k and i % 11 == 0 else t, k) for i, t, k in rows]
+    rows += [(4000 + i, f"abc bcd cde rareinsult{chr(97 + i % 12) * 3}", 1) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert all(model.word_score(w) > 0 for w in (b"nastyone", b"nastyother", b"vileword", b"rareinsultaaa"))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    toxic, clean = ([scores[i] for i, t, k in rows if k == kind and (kind or i % 11)] for kind in (1, 0))
+    assert sum(toxic) / len(toxic) > 0.2 + sum(clean) / len(clean)
+
+
 def test_sum_over_segmentations():
     pieces = {"▁": (0.1,), "a": (0.2,), "b": (0.3,), "ab": (0.05,), "▁a": (0.15,), "": (0.01,)}
     model = language.Model(["x"], pieces, (0.001,)).ready()

@@ -34,8 +34,7 @@ SAMPLE = 40_000
 MODEL_UNITS = 50_000
 PREFIXES = (5, 4)
 PRIOR_SHARE = 0.2
-LEAST_RATIO = 0.9  # of the ratio that a unit of toxic documents alone has
-LEAST_SHARE = 0.01  # of the toxic documents, that a toxic unit has to stand in
+LEAST_DOCUMENTS = 3  # toxic ones, that a toxic unit has to stand in
 LEAST_Z = 3.0
 WORD_COST = 0.2
 SIGNIFICANT = 0.05
@@ -65,20 +64,19 @@ class Model:
         return -WORD_COST
 
 
-def significant_units(counts: DataFrame, other: int, toxic: int, least: int) -> DataFrame:
+def significant_units(counts: DataFrame, other: int, toxic: int) -> DataFrame:
     """(unit, ratio, z) of the units whose use differs beyond chance, for sums ``other`` and ``toxic`` of all counts.
 
     The log-odds ratio has a Dirichlet prior worth ``PRIOR_SHARE`` of the observations, dealt out like the units of
-    both kinds together. A toxic unit has to stand in ``least`` toxic documents.
+    both kinds together. A toxic unit has to stand in ``LEAST_DOCUMENTS`` toxic documents, and may stand in others: how
+    much that weighs is left to its ratio.
     """
     prior = (F.col("other") + F.col("toxic")) * PRIOR_SHARE
     weight = (other + toxic) * PRIOR_SHARE
     a, b = F.col("other") + prior, F.col("toxic") + prior
     ratio = F.log(b / (toxic + weight - b)) - F.log(a / (other + weight - a))
-    most = math.log((1 + PRIOR_SHARE) / PRIOR_SHARE) + math.log((other + weight) / (toxic + weight))
     found = counts.select("unit", "toxic", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / a + 1 / b)).alias("z"))
-    toxic_unit = (F.col("ratio") >= LEAST_RATIO * most) & (F.col("toxic") >= least)
-    return found.filter((F.col("z") >= LEAST_Z) & ((F.col("ratio") < 0) | toxic_unit)).drop("toxic")
+    return found.filter((F.col("z") >= LEAST_Z) & ((F.col("ratio") < 0) | (F.col("toxic") >= LEAST_DOCUMENTS))).drop("toxic")
 
 
 def decay_of(scores: Counter) -> float:
@@ -163,8 +161,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
     if not sums[0] or not sums[1]:
         counts.unpersist()
         return Model({}, 1.0)
-    kinds = dict(rows.groupBy("label").count().collect())
-    kept = significant_units(counts, sums[0], sums[1], max(3, int(LEAST_SHARE * kinds.get(1, 0))))
+    kept = significant_units(counts, sums[0], sums[1])
     units = {r.unit: max(-1.0, r.ratio) for r in kept.orderBy(F.desc("z"), "unit").limit(MODEL_UNITS).collect()}
     counts.unpersist()
     draft = Model(units, 1.0)
