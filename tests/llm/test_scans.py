@@ -234,3 +234,16 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in found} >= {(10, 1), (14, 2), (None, 1)}
     assert not {r.doc_id for r in found} & {11, 12, 13}
     assert decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_leaks_of_one_part(spark):
+    """Documents that hold most of an item, but none of its answer or none of its question."""
+    word = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    items = [(1, word("ask", 10) + "\n" + word("reply", 40)), (2, word("query", 45) + "\n" + word("end", 5)), (3, word("open", 20) + "\n" + word("close", 20))]
+    filler = "some other words that stand here for no reason " * 30
+    docs = [(10, filler + word("reply", 40)), (11, word("query", 45) + " " + filler), (12, filler + word("open", 20)), (13, filler + word("close", 4)), (14, filler)]
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(10, 1), (11, 2), (12, 3)}
+    by = {r.doc_id: r for r in found}
+    assert by[10].question_overlap == 0 and by[10].answer_overlap == 1 and by[10].item_overlap == pytest.approx(36 / 46)
+    assert by[11].question_overlap == 1 and by[11].answer_overlap == 0

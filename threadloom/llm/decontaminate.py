@@ -6,8 +6,9 @@ blocks with the largest weight of each. Every training text is read in passages
 overlap so that each place of an item's length lies whole within one, and every passage is a query: an item's score
 is the share of its weight that the passage holds. WAND takes the pairs' lists in step, by item, and skips items that
 the pairs met cannot bring to the threshold, and then blocks whose own maxima cannot. Passages whose pairs, all
-together, stay below the threshold are passed over at once. What is retrieved is verified by the word five-grams of the
-item's question and, where it has one, the words of its answer.
+together, stay below the threshold are passed over at once. What is retrieved is verified by word five-grams: a passage
+holds an item if it has much of the whole item or nearly all of its question, or some of the question together with
+some words of the answer. The three overlaps are columns, so that a stricter choice can be made later.
 
 An item's answer is its last line if it has several lines; the rest is its question.
 
@@ -34,6 +35,9 @@ from threadloom.llm.toxicity import words_of
 THRESHOLD = 0.4
 QUESTION_OVERLAP = 0.3
 ANSWER_OVERLAP = 0.3
+# Of the five-grams of the whole item, or of the question, that are enough by themselves.
+ITEM_OVERLAP = 0.5
+QUESTION_ALONE = 0.8
 GRAM = 5
 K1, B = 1.2, 0.75
 POSTINGS_BLOCK = 16
@@ -47,7 +51,7 @@ def grams(words: list[bytes]) -> set[tuple]:
 
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.questions, self.answers = [], [], []
+        self.ids, self.questions, self.answers, self.wholes = [], [], [], []
         texts = []
         for item, text in items:
             words = words_of(text)
@@ -57,6 +61,7 @@ class ItemIndex:
             self.ids.append(item)
             self.questions.append(grams([w for line in lines[:-1] for w in line] if len(lines) > 1 else words))
             self.answers.append(set(lines[-1]) if len(lines) > 1 else set())
+            self.wholes.append(grams(words))
             texts.append(words)
         n = len(texts)
         self.longest = max(map(len, texts), default=0)
@@ -149,8 +154,8 @@ class ItemIndex:
             cursor[1] += 1
         cursor[0] = items[cursor[1]] if cursor[1] < len(items) else len(self.ids)
 
-    def search(self, words: list[bytes], threshold: float) -> dict[int, tuple[float, float, float]]:
-        """Verified items of a text: score, question overlap and answer overlap of each."""
+    def search(self, words: list[bytes], threshold: float) -> dict[int, tuple[float, float, float, float]]:
+        """Verified items of a text: score and overlap of question, answer and whole item of each."""
         if not words or not self.longest:
             return {}
         terms = np.atleast_2d(self.terms_of(words))
@@ -158,7 +163,7 @@ class ItemIndex:
         starts = np.arange(0, max(1, len(words) - step), step)
         sums = np.concatenate([[0.0], np.cumsum(self.most[terms].sum(axis=0))])
         ends = np.minimum(starts + 2 * step, len(words))
-        out: dict[int, tuple[float, float, float]] = {}
+        out: dict[int, tuple[float, float, float, float]] = {}
         for i in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9).tolist():
             start, stop = int(starts[i]), int(ends[i])
             distinct = np.unique(terms[:, start:stop])
@@ -171,14 +176,16 @@ class ItemIndex:
                 held = held or (grams(passage) | {tuple(passage[k : k + n]) for n in range(1, GRAM) for k in range(len(passage))}, set(passage))
                 question = len(self.questions[item] & held[0]) / len(self.questions[item]) if self.questions[item] else 1.0
                 answer = len(self.answers[item] & held[1]) / len(self.answers[item]) if self.answers[item] else 1.0
-                if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
+                whole = len(self.wholes[item] & held[0]) / len(self.wholes[item])
+                both = question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP
+                if both or whole >= ITEM_OVERLAP or question >= QUESTION_ALONE:
                     best = out.get(item)
-                    if best is None or (question, score) > (best[1], best[0]):
-                        out[item] = (score, question, answer)
+                    if best is None or (whole, question, score) > (best[3], best[1], best[0]):
+                        out[item] = (score, question, answer, whole)
         return out
 
 
-FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, item_overlap double"
 
 
 def find(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,11 +207,11 @@ def find(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     rows += [(doc, known.ids[i], *scores) for i, scores in sorted(known.search(words_of(text), threshold).items())]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"],
                 )
 
         found = map_arrow(texts, run, FOUND)
