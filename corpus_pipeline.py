@@ -1,5 +1,9 @@
 """The training corpus from ``documents``: five stages, each over all that the one before it kept.
 
+A document is named by its doc_id together with its text. Rows that repeat both are one document and share its fate; rows that
+repeat the doc_id alone are different documents. A row without doc_id is a document by all its columns, so that only rows equal
+in every column are one.
+
 Every stage takes the columns of ``documents`` (null text is empty text, repeated rows and extra columns stay) and, but for
 the last, returns them. The order is: toxic documents go, documents without a recognised language go, one document of
 each group of near copies stays, documents that hold benchmark items go, and what is left is encoded.
@@ -35,18 +39,30 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return scored.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, never null: a 64-bit hash that names the document a row belongs to."""
+    by_id = F.xxhash64(F.lit(1), "doc_id", F.coalesce("text", F.lit("")))
+    by_row = F.xxhash64(F.lit(0), F.to_json(F.struct(*docs.columns)))
+    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), by_id).otherwise(by_row))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without words are in no group, and rows
-    that repeat an id are one document."""
-    groups = ngram_join.mark_groups(docs)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The document with the smallest id of each group of near copies, one without id only where all are; documents without
+    words are in no group."""
+    keyed = with_key(docs)
+    groups = ngram_join.mark_groups(keyed, "row_key").select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")).distinct()
+    named = groups.join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    kept = named.groupBy("group").agg(first.alias("first")).select("first.row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    keyed = with_key(docs)
+    named = keyed.select(F.col("row_key").alias("doc_id"), "text")
+    leaks = decontaminate.find(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

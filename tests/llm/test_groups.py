@@ -153,3 +153,21 @@ def test_pipeline(spark, sf):
     assert not any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in combinations(sets, 2))
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert not any(item in texts[i] for i in ids for item in items)
+
+
+def test_pipeline_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(2)
+    a, b, c, item = (" ".join(random.choices([f"{k}{i}" for i in range(300)], k=60)) for k in "abci")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    decided = lambda stage, rows: sorted(map(tuple, stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+    rows = [(None, item, "en", "x"), (None, a, "en", "x"), (1, item, "en", "x"), (1, b, "en", "x"), (2, c, "en", "x")]
+    assert decided(corpus_pipeline.drop_contaminated, rows) == sorted([rows[1], rows[3], rows[4]], key=str)
+    # A row without words and a group without ids put null among the kept ids before; id 5 stands for c and repeats b.
+    rows = [(None, "", "en", "x"), (None, a, "en", "x"), (None, a + " more", "en", "x"), (None, b, "en", "x"), (3, b, "en", "x"), (5, c, "en", "x"), (5, b + " more", "en", "x")]
+    rows += [(7, c + " more", "en", "x"), (5, c, "en", "x")]
+    got = decided(corpus_pipeline.keep_one_of_each_group, rows)
+    assert sum(t in (a, a + " more") for _, t, _, _ in got) == 1
+    assert [r for r in got if r[1] not in (a, a + " more")] == sorted([rows[0], rows[4], rows[5], rows[8]], key=str)
