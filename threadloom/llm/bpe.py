@@ -1,7 +1,7 @@
 """Exact byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a pre-token exactly one token can stand last in its BPE encoding. It is the one among the tokens
-that end there (found by the suffix automaton of the vocabulary) whose predecessor, the last token of the prefix
+that end there (found by an Aho-Corasick automaton of the vocabulary, in place of a suffix automaton) whose predecessor, the last token of the prefix
 before it, may stand beside it: no merge across their border would have come before the merges inside them. Storing
 the last token of each prefix gives the ids by following the pointers back; no merge loop runs over the text.
 
