@@ -205,6 +205,25 @@ def test_language(spark):
     assert language.predict(docs, language.train(docs.limit(0), PIECES)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_long_runs_and_many_languages(spark):
+    """Scripts without blanks, whose runs go on over full-width punctuation, and more than 64 languages."""
+    random.seed(6)
+    signs = {"zh": "数据获取一个的用是不有为时在件取定这他们我", "ja": "これはのですをしてにがとまるかれない中日"}
+    rows = [(i, "、".join("".join(random.choices(signs[k], k=random.randint(20, 90))) for _ in range(8)) + "。", k) for i in range(80) for k in [("ja", "zh")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in language.predict(docs, language.train(docs, PIECES)).collect()}
+    assert all(out[i] == k for i, _, k in rows)
+    run = "é" * 60 + "、" + "b" * 100
+    assert [len(w.decode()) for w in language.words_of(run)] == [48, 12, 48, 48, 4]
+    words = ["".join(random.choices("abcdefghijklmnop", k=7)) for _ in range(70)]
+    rows = [(10 * n + k, f"{words[n]} " * 5, f"l{n:02}") for n in range(70) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, PIECES)
+    assert model.languages == [f"l{n:02}" for n in range(70)]
+    table = language.WordTable(model)
+    assert all(language.predict_text(words[n], table)[0] == f"l{n:02}" for n in range(70))
+
+
 def test_block_max_wand():
     random.seed(3)
     vocabulary = [f"w{i}" for i in range(60)]

@@ -5,8 +5,11 @@ ways to cut it into pieces, which the forward algorithm gives in one pass over i
 over its words. The piece probabilities are fitted by expectation-maximisation: forward and backward sums give
 each piece's expected count in the words of a language.
 
+Words are cut at ASCII characters that are no letters. A run of more than ``LONG_WORD`` characters, as in scripts without
+blanks, is cut at Unicode punctuation and then after every ``LONG_WORD`` characters, for learning and prediction alike.
+
 Fitting uses at most ``sample`` labelled documents for each language, those of smallest hashed id, and of their
-words the ``MODEL_WORDS`` most frequent for each language; at most ``MOST_LANGUAGES`` languages, those with most documents.
+words the ``MODEL_WORDS`` most frequent for each language (equally frequent ones by hash); all languages are learned.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; null labels and null ids are not learned
 from; with nothing to learn from every text is ``und``; equal scores go to the first language in alphabetical order.
@@ -16,6 +19,7 @@ Repeated rows give repeated rows; other columns are kept, those named like an ad
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,11 +34,11 @@ from threadloom.llm.common import map_arrow, schema_with, with_columns
 
 SAMPLE = 4_000
 MODEL_WORDS = 6_000
-MOST_LANGUAGES = 64
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = "und"
 REMEMBERED = 400_000
+CELLS_REMEMBERED = 64 * REMEMBERED  # numbers of remembered words, one for each language
 LONG_WORD = 48
 START = "▁"
 
@@ -42,8 +46,20 @@ AS_LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Runs of letters and other characters beyond ASCII, lower-cased."""
-    return text.lower().encode().translate(AS_LETTERS).split() if text else []
+    """Runs of letters and other characters beyond ASCII, lower-cased, of at most ``LONG_WORD`` characters."""
+    words = text.lower().encode().translate(AS_LETTERS).split() if text else []
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [part for w in words for part in (parts_of(w) if len(w) > LONG_WORD else [w])]
+
+
+def parts_of(run: bytes) -> list[bytes]:
+    """A run of many characters in pieces; one of few characters whole."""
+    text = run.decode()
+    if len(text) <= LONG_WORD:
+        return [run]
+    parts = "".join(" " if unicodedata.category(c)[0] in "PZ" else c for c in text).split()
+    return [part[i : i + LONG_WORD].encode() for part in parts for i in range(0, len(part), LONG_WORD)]
 
 
 def has_letter(text: str) -> bool:
@@ -85,7 +101,7 @@ def fit_pieces(words: list[tuple[str, int]], automaton: ahocorasick.Automaton, k
 
     The empty piece stands for a character that no piece covers.
     """
-    cuts = [(len(w) + 1, cuts_of(w, automaton, known), n) for w, n in words if len(w) <= LONG_WORD]
+    cuts = [(len(w) + 1, cuts_of(w, automaton, known), n) for w, n in words]
     seen = {p for _, c, _ in cuts for _, _, p in c}
     probability = dict.fromkeys(seen, 1.0 / max(1, len(seen)))
     for _ in range(rounds):
@@ -142,21 +158,20 @@ def train(documents: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> M
     """Fit on text and language of documents outside the held-out fold; the driver gets at most ``MODEL_WORDS`` words
     and counts for each language, and the chosen ids are found by a top-n for each language."""
     known = documents.select("doc_id", "lang").dropna().filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not languages:
         return Model([], {}, ())
     smallest = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    chosen = known.filter(F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
     chosen = chosen.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= sample).select("doc_id").distinct()
-    rows = documents.select("doc_id", "lang", "text").dropna().join(F.broadcast(chosen), "doc_id").filter(F.col("lang").isin(languages))
+    rows = documents.select("doc_id", "lang", "text").dropna().join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
                 lang = lang.as_py()
-                seen.update((lang, w) for w in words_of(text.as_py()) if len(w) <= 4 * LONG_WORD)
+                seen.update((lang, w) for w in words_of(text.as_py()))
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,7 +183,7 @@ def train(documents: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> M
             )
 
     totals = map_arrow(rows, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
     frequent = totals.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= MODEL_WORDS).collect()
     words: dict[str, list[tuple[str, int]]] = {lang: [] for lang in languages}
     for r in frequent:
@@ -196,12 +211,13 @@ class WordTable:
 
     def __init__(self, model: Model):
         self.model, self.rows, self.known = model.ready(), np.zeros((1024, len(model.languages))), {}
+        self.most = min(REMEMBERED, CELLS_REMEMBERED // max(1, len(model.languages)))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         distinct = set(words)
         new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > self.most:
             known.clear()
             new = list(distinct)
         need = len(known) + len(new)
