@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,6 +77,19 @@ def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch.slice(start, BATCH_ROWS)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most ``most`` bytes of a text column, or one row that holds more."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start] - sizes[start]
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def map_batches(
     df: DataFrame, schema: StructType | str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]
 ) -> DataFrame:
