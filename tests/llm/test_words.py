@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -74,15 +75,30 @@ def test_any_word(word):
     assert byte_bpe.encode_word(word, ranks) == [ranks[p] for p in parts]
 
 
-def test_every_word_is_encoded_once(spark, monkeypatch, tmp_path):
-    """Of a word in many blocks one row reaches the encoder, and positions do not hold the words."""
-    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 50)
-    df = spark.createDataFrame([(i, "one two three one two") for i in range(200)], "i int, text string").repartition(3)
-    byte_bpe.encode_texts(df, RANKS, public_tokenizers.PATTERN, scratch=str(tmp_path / "blocks")).count()
-    blocks = spark.read.parquet(str(tmp_path / "blocks"))
-    lists = blocks.filter("kind = 1").select("distinct_values").collect()
-    assert len(lists) >= 67 and all(sorted(r.distinct_values) == [" one", " three", " two", "one"] for r in lists)
-    assert byte_bpe._unpack(byte_bpe._pack(__import__("numpy").arange(70_000))).tolist() == list(range(70_000))
+def test_only_words_are_shuffled(spark):
+    """Words go out and ids come back; the texts' positions stay where they are."""
+    df = spark.createDataFrame([(i, "one two three one two " * 50) for i in range(20)], "i int, text string").coalesce(1)
+    encoded = byte_bpe.encode_texts(df, RANKS, public_tokenizers.PATTERN)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert {len(r.ids) for r in encoded.collect()} == {len(tiktoken_ids("one two three one two " * 50))}
+
+
+def tiktoken_ids(text):
+    ranks = byte_bpe.ranks_of(RANKS)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=30), max_size=6), st.integers(0, 300))
+def test_packed_positions(texts, scale):
+    number, known = {}, 0
+    for text in texts:
+        positions = np.array([number.setdefault(x * scale, len(number)) for x in text], dtype=np.int64)
+        assert byte_bpe._unpack(byte_bpe._pack(positions, known)).tolist() == positions.tolist()
+        known = len(number)
+    many = np.arange(70_000)
+    assert byte_bpe._unpack(byte_bpe._pack(many, 0)).tolist() == byte_bpe._unpack(byte_bpe._pack(many, 70_000)).tolist() == many.tolist()
 
 
 # ---------------------------------------------------------------- runs
@@ -161,11 +177,11 @@ def test_common_extensions():
     for _ in range(40):
         words = text_with_repeats(rng) or ["a"]
         number = {w: i + 2 for i, w in enumerate(dict.fromkeys(words))}
-        sequence = __import__("numpy").array([number[w] for w in words] + [1])
+        sequence = np.array([number[w] for w in words] + [1])
         pairs = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words))][:3000]
         if not pairs:
             continue
-        i, j = (__import__("numpy").array(x) for x in zip(*pairs, strict=True))
+        i, j = (np.array(x) for x in zip(*pairs, strict=True))
         got = periodic.CoverLce(sequence).extend(i, j)
         for x, y, common in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
             want = 0

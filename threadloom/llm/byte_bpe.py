@@ -1,11 +1,11 @@
-"""Byte-level BPE over a whole corpus: every distinct word is encoded once, and every distinct token decoded once.
+"""Byte-level BPE over a whole corpus: every distinct word is encoded once.
 
 Texts are taken in blocks of bounded size. A block keeps, for each text, the positions of its pre-tokens in the list of
-the block's distinct ones, so that positions stay packed and only distinct words travel: they are exploded, the distinct ones of the whole corpus
-are encoded, and the ids are joined back and meet the positions of their block. Decoding is the same the other way round, with the distinct ids of a
-block joined with the table of token bytes. A frequent word costs one row for each block and not one for each occurrence.
+the block's distinct ones, so that positions stay packed and in their place and only distinct words travel: dealt by a hash of the word they meet
+in one task, which encodes each of them once, and their ids go back to their blocks and meet the positions. A frequent word costs one entry for each
+block and not one for each occurrence. Decoding joins exploded ids with the table of token bytes and puts rows together by position.
 
-What blocks are made of is written to the shared folder once, since block numbers must not change when a task is run again.
+Blocks are written to the shared folder once, since their numbers must not change when a task is run again.
 
 Defined cases: null text is empty; empty text has no ids; null ids decode to empty bytes, and ids that are no token to nothing; repeated
 rows give repeated rows; a text is taken whole, and one that is larger than a block is a block; an empty table gives an empty one;
@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import struct
+import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -27,18 +29,18 @@ import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import byte_slices, list_array, map_arrow, partition_count, send_package
+from threadloom.llm.common import byte_slices, list_array, map_arrow, partition_count
 from threadloom.session import BROADCAST_BYTES, scratch_path
 
-# Bytes of text, and number of ids, in a block.
-BLOCK_BYTES = 4 * 1024**2
-BLOCK_IDS = 1 << 20
+# Bytes of text in a block.
+BLOCK_BYTES = 16 * 1024**2
 
-# Bytes of block rows that a task of the last join should get.
+# Input bytes for a task that encodes words or puts texts together, and the cells for words that such a task takes: several, so that tasks are even.
 TASK_BYTES = 16 * 1024**2
+CELLS_PER_TASK = 4
 
 # Words up to this length are merged by looking at all their pairs, longer ones with a heap.
 SHORT_WORD = 48
@@ -101,192 +103,211 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 # ---------------------------------------------------------------- blocks
 
-def _pack(positions: np.ndarray) -> bytes:
-    """Positions in the block's list; most are small, so the high bytes are kept apart from the low ones."""
-    if not len(positions):
-        return b""
-    wide = positions.astype("<u4").view(np.uint8).reshape(-1, 4)
-    width = next(w for w in (1, 2, 3, 4) if not wide[:, w:].any())
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(wide[:, :width].T.tobytes())
+def _pack(positions: np.ndarray, known: int) -> bytes:
+    """Positions of a text in its block's list, of which ``known`` entries are older than the text.
+
+    A word met for the first time stands next in the list and is written as 0, any other as its place plus 1; low and high bytes are kept apart.
+    """
+    highest = np.maximum.accumulate(np.concatenate([[known - 1], positions]))
+    marked = np.where(positions > highest[:-1], 0, positions + 1)
+    planes = marked.astype("<u4").view(np.uint8).reshape(-1, 4)
+    width = next(w for w in (1, 2, 3, 4) if not planes[:, w:].any())
+    return struct.pack("<BI", width, known) + zstandard.ZstdCompressor(level=1).compress(planes[:, :width].T.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    if not packed:
-        return np.zeros(0, dtype=np.int64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    width, known = struct.unpack("<BI", packed[:5])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[5:]), np.uint8).reshape(width, -1)
     wide = np.zeros((planes.shape[1], 4), dtype=np.uint8)
-    wide[:, : packed[0]] = planes.T
-    return wide.reshape(-1).view("<u4").astype(np.int64)
+    wide[:, :width] = planes.T
+    marked = wide.reshape(-1).view("<u4").astype(np.int64)
+    return np.where(marked == 0, known - 1 + np.cumsum(marked == 0), marked - 1)
 
 
-Parts = tuple[np.ndarray, np.ndarray, pa.Array]
+def _joined(values: list[bytes]) -> tuple[bytes, bytes]:
+    """Byte strings one after the other, and their lengths, both compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return squeeze(b"".join(values)), squeeze(np.array([len(v) for v in values], dtype="<u4").tobytes())
 
 
-def _through_blocks(
-    df: DataFrame,
-    column: str,
-    slices: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    split: Callable[[pa.Array], Parts],
-    value_type: str,
-    look_up: Callable[[DataFrame], DataFrame],
-    assemble: Callable[[list[np.ndarray], pa.Array], pa.Array],
-    added: str,
-    added_type: str,
-    scratch: str | None,
-) -> DataFrame:
-    """``df`` with ``column`` replaced by ``added``, made of what ``look_up`` knows of the column's distinct values.
+def _parted(data: bytes, lengths: bytes) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    data, ends = expand(data), np.cumsum(np.frombuffer(expand(lengths), "<u4")).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    ``split`` gives for the column of a block all positions in its distinct values, their number for each row, and the values.
-    ``look_up`` turns (block, at, value) into (block, at, found); ``assemble`` makes the new column of the positions of each row
-    and what was found.
-    """
-    kept = [f for f in df.schema.fields if f.name not in (column, added)]
-    # Numbered names cannot clash with those of the block.
-    names = [f"c{i}" for i in range(len(kept))]
-    rows = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)], F.col(f"`{column}`").alias("value"))
-    columns = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
-    schema = ", ".join(filter(None, ["kind int, block bigint, packed binary", f"distinct_values array<{value_type}>", columns]))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches):
-            positions, lengths, values = split(batch.column("value"))
-            ends = np.cumsum(lengths)
-            packed = [_pack(positions[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            arrays = [batch.column(n) for n in names]
-            size, list_type = batch.num_rows, pa.list_(values.type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, number)), pa.array(packed, pa.binary()), pa.nulls(size, list_type), *arrays],
-                names=["kind", "block", "packed", "distinct_values", *names],
-            )
-            every = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([1], pa.int32()), pa.array([number]), pa.nulls(1, pa.binary()), every, *[pa.nulls(1, a.type) for a in arrays]],
-                names=["kind", "block", "packed", "distinct_values", *names],
-            )
-            number += 1
+CELL = "block bigint, cell int, at binary, data binary, lengths binary"
+_CELL_TYPES = [("block", pa.int64()), ("cell", pa.int32()), ("at", pa.binary()), ("data", pa.binary()), ("lengths", pa.binary())]
 
-    spark = df.sparkSession
-    path = scratch or scratch_path(spark, "blocks")
-    map_arrow(rows, pack, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    # Two reads: as one, the two sides would have the same columns for the analyzer.
-    texts, values = (spark.read.schema(schema).parquet(path).filter(F.col("kind") == kind) for kind in (0, 1))
-    texts = texts.select("block", "packed", *names)
-    values = values.select("block", F.posexplode("distinct_values").alias("at", "value"))
-    found = look_up(values).select("block", "at", "found")
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("at")
-        at = right.column("at").to_numpy().astype(np.int64)
-        known = right.column("found").combine_chunks()
-        if len(at) and at[-1] != len(at) - 1:
-            raise ValueError("a value of a block is missing")
-        new = assemble([_unpack(p) for p in left.column("packed").to_pylist()], known)
-        return pa.table([*[left.column(n) for n in names], new], names=[*names, "added"])
-
-    out_schema = ", ".join(filter(None, [columns, f"added {added_type}"]))
-    tasks = partition_count(texts, TASK_BYTES)
-    send_package(spark)
-    met = (
-        texts.repartition(tasks, "block").groupBy("block")
-        .cogroup(found.repartition(tasks, "block").groupBy("block"))
-        .applyInArrow(meet, out_schema)
-    )
-    return met.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)], F.col("added").alias(added))
-
-
-# ---------------------------------------------------------------- texts to ids
+def _cells(block: int, number: dict[str, int], cells: int) -> list[tuple]:
+    """The block's words dealt into cells by a hash of the word, each with the words' places in the block's list."""
+    found = defaultdict(list)
+    for word, at in number.items():
+        raw = word.encode()
+        found[zlib.crc32(raw) % cells].append((raw, at))
+    out = []
+    for cell, words in sorted(found.items()):
+        words.sort()
+        out.append((block, cell, np.array([at for _, at in words], dtype="<u4").tobytes(), *_joined([w for w, _ in words])))
+    return out
+
 
 def encode_texts(
-    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", scratch: str | None = None
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", block_bytes: int | None = None
 ) -> DataFrame:
     """``df`` with the token ids (array of int) of each whole text in place of the text.
 
-    ``path`` is a file of ranked tokens, ``pattern`` what words are cut by. ``scratch`` is the folder for the blocks, which may be removed once
-    the result has been read.
+    ``path`` is a file of ranked tokens, ``pattern`` what words are cut by. The blocks are written to the shared folder as a table bucketed
+    by block, so that the positions are not shuffled: only the words go out by their hash and the ids come back by their block.
     """
+    spark = df.sparkSession
+    kept = [f for f in df.schema.fields if f.name not in (text, ids)]
+    # Numbered names cannot clash with those of the block.
+    names = [f"c{i}" for i in range(len(kept))]
+    columns = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
+    schema = f"kind int, {CELL}, packed binary{columns}"
+    tasks, most = partition_count(df, TASK_BYTES), block_bytes or BLOCK_BYTES
+    cells = CELLS_PER_TASK * tasks
 
-    def split(column: pa.Array) -> Parts:
-        find, number = regex.compile(pattern).findall, defaultdict(count().__next__)
-        positions, lengths = [], []
-        for value in column.to_pylist():
-            found = find(value) if value else []
-            positions.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-            lengths.append(len(found))
-        return np.concatenate([np.zeros(0, np.int64), *positions]), np.array(lengths, dtype=np.int64), pa.array(list(number), pa.string())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        for batch in byte_slices(batches, "text", most):
+            number: dict[str, int] = defaultdict(count().__next__)
+            packed = []
+            for value in batch.column("text").to_pylist():
+                found, known = find(value) if value else [], len(number)
+                packed.append(_pack(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), known))
+            size, others = batch.num_rows, [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, block)), *[pa.nulls(size, t) for _, t in _CELL_TYPES[1:]], pa.array(packed, pa.binary()), *others],
+                names=["kind", *[n for n, _ in _CELL_TYPES], "packed", *names],
+            )
+            rows = _cells(block, number, cells)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(len(rows), np.int32)), *[pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * 5, _CELL_TYPES, strict=True)],
+                 pa.nulls(len(rows), pa.binary()), *[pa.nulls(len(rows), o.type) for o in others]],
+                names=["kind", *[n for n, _ in _CELL_TYPES], "packed", *names],
+            )
+            block += 1
+
+    rows = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)], F.col(f"`{text}`").alias("text"))
+    folder = scratch_path(spark, "word-blocks")
+    table = "word_blocks_" + folder[-32:]
+    writer = map_arrow(rows, pack, schema).write.partitionBy("kind").bucketBy(tasks, "block")
+    writer.format("parquet").option("path", folder).option("compression", "zstd").saveAsTable(table)
+    stored = spark.table(table)
+    texts = stored.filter("kind = 0").select("block", "packed", *names)
+    words = stored.filter("kind = 1").select(*[n for n, _ in _CELL_TYPES])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(path)
-        for batch in byte_slices(batches, "value", BLOCK_BYTES):
-            found = [encode_word(w, ranks) for w in batch.column("value").cast(pa.binary()).to_pylist()]
-            flat = np.fromiter((i for f in found for i in f), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("value"), list_array(flat, [len(f) for f in found])], names=["value", "found"])
-
-    def look_up(values: DataFrame) -> DataFrame:
-        words = map_arrow(values.select("value").distinct(), encode, "value string, found array<int>")
-        return values.join(words, "value")
-
-    return _through_blocks(
-        df, text, lambda batches: byte_slices(batches, "value", BLOCK_BYTES), split, "string", look_up, _gather_ids, ids, "array<int>", scratch
-    )
-
-
-def _gather(rows: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a flat array of the runs that the rows' positions name, and how many there are for each row."""
-    all_rows = np.concatenate([np.zeros(0, np.int64), *rows])
-    number = sizes[all_rows]
-    places = np.arange(number.sum()) + np.repeat(starts[all_rows] - (np.cumsum(number) - number), number)
-    ends = np.cumsum([0, *map(len, rows)])
-    total = np.concatenate([[0], np.cumsum(number)])
-    return places, total[ends[1:]] - total[ends[:-1]]
-
+        """All blocks' rows of a word are in one task, which encodes it the first time it comes."""
+        ranks, done = ranks_of(path), {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                found = []
+                for word in _parted(row["data"], row["lengths"]):
+                    known = done.get(word)
+                    if known is None:
+                        known = done[word] = np.array(encode_word(word, ranks), dtype="<u4").tobytes()
+                    found.append(known)
+                out.append((row["block"], row["cell"], row["at"], *_joined(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * 5, _CELL_TYPES, strict=True)], names=[n for n, _ in _CELL_TYPES])
+
+    encoded = map_arrow(words.repartition(tasks, "cell"), encode, CELL)
 
-def _gather_ids(rows: list[np.ndarray], known: pa.Array) -> pa.Array:
-    sizes = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = known.flatten().to_numpy(zero_copy_only=False)
-    places, lengths = _gather(rows, np.cumsum(sizes) - sizes, sizes)
-    return list_array(flat[places].astype(np.int32), lengths)
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Put the block's words into the order of its list, and gather their ids by the positions of each text."""
+        at, found = [np.zeros(0, "<u4")], []
+        for row in right.to_pylist():
+            at.append(np.frombuffer(row["at"], "<u4"))
+            found += _parted(row["data"], row["lengths"])
+        order = np.argsort(np.concatenate(at))
+        found = [found[i] for i in order]
+        sizes = np.array([len(f) // 4 for f in found], dtype=np.int64)
+        flat, starts = np.frombuffer(b"".join(found), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
+        lists, lengths = [np.zeros(0, np.int32)], []
+        for packed in left.column("packed").to_pylist():
+            positions = _unpack(packed)
+            number = sizes[positions]
+            places = np.arange(number.sum()) + np.repeat(starts[positions] - (np.cumsum(number) - number), number)
+            lists.append(flat[places])
+            lengths.append(len(places))
+        new = list_array(np.concatenate(lists), lengths)
+        return pa.table([*[left.column(n) for n in names], new], names=[*names, "ids"])
+
+    met = texts.groupBy("block").cogroup(encoded.repartition(tasks, "block").groupBy("block")).applyInArrow(meet, f"{columns[2:]}{', ' if columns else ''}ids array<int>")
+    return met.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)], F.col("ids").alias(ids))
 
 
 # ---------------------------------------------------------------- ids to bytes
 
-def token_table(df: DataFrame, path: str) -> DataFrame:
-    """(value, found): id and bytes of every token; marked for broadcast if it is as small as vocabularies are."""
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, bytes) of every token. A vocabulary is small by its nature, and its size is checked before it is broadcast."""
     ranks = ranks_of(path)
-    rows = pa.table({"value": pa.array(list(ranks.values()), pa.int32()), "found": pa.array(list(ranks), pa.binary())})
-    table = df.sparkSession.createDataFrame(rows)
-    return F.broadcast(table) if rows.nbytes <= BROADCAST_BYTES else table
+    rows = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
+    if rows.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"a vocabulary of {rows.nbytes} bytes is too large to broadcast")
+    return F.broadcast(spark.createDataFrame(rows))
 
 
-def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", scratch: str | None = None) -> DataFrame:
-    """``df`` with the bytes of each row's token ids in place of the ids."""
+def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the bytes of each row's token ids in place of the ids.
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Ids are exploded with their positions and joined with the broadcast token table. All of this stays in the task that
+    has the row, in order, so a row is put together again without a shuffle; an order that was not kept would be noticed.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    names = [f"c{i}" for i in range(len(kept))]
+    rows = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)], F.col(f"`{ids}`").alias("ids"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    tokens = rows.select("row", *names, F.posexplode_outer("ids").alias("at", "id"))
+    # Only the first token of a row carries its other columns.
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    tokens = tokens.select("row", F.coalesce("at", F.lit(0)).alias("at"), "id", *[F.when(first, F.col(n)).alias(n) for n in names])
+    joined = tokens.join(token_table(df.sparkSession, path), "id", "left").select("row", "at", "bytes", *names)
+    columns = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept, strict=True))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The row that the last batch may have ended in the middle of: its number, its next position, its columns, its bytes so far.
+        row, position, others, parts = None, 0, None, []
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("value")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            start = 0
-            while start < batch.num_rows:
-                before = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_IDS, "right")))
-                yield batch.slice(start, stop - start)
-                start = stop
-
-    def split(column: pa.Array) -> Parts:
-        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
-        values, positions = np.unique(flat, return_inverse=True)
-        return positions.astype(np.int64), lengths, pa.array(values.astype(np.int32))
-
-    def look_up(values: DataFrame) -> DataFrame:
-        return values.join(token_table(df, path), "value", "left")
-
-    return _through_blocks(df, ids, slices, split, "int", look_up, _gather_bytes, decoded, "binary", scratch)
-
-
-def _gather_bytes(rows: list[np.ndarray], known: pa.Array) -> pa.Array:
-    known = [k or b"" for k in known.to_pylist()]
-    sizes = np.array([len(k) for k in known], dtype=np.int64)
-    flat = np.frombuffer(b"".join(known), np.uint8)
-    places, lengths = _gather(rows, np.cumsum(sizes) - sizes, sizes)
-    data, ends = flat[places].tobytes(), np.cumsum(lengths).tolist()
-    return pa.array([data[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)], pa.binary())
+            if not batch.num_rows:
+                continue
+            rows_, at = (batch.column(c).to_numpy() for c in ("row", "at"))
+            starts = np.flatnonzero(at == 0)
+            begins = np.append(starts, batch.num_rows)
+            lead = int(begins[0])
+            if lead and (row is None or (rows_[:lead] != row).any() or at[0] != position):
+                raise ValueError("the tokens of a row are out of order")
+            sizes = np.diff(begins)
+            if (at[lead:] != np.arange(lead, batch.num_rows) - np.repeat(starts, sizes)).any() or (rows_[lead:] != np.repeat(rows_[starts], sizes)).any():
+                raise ValueError("the tokens of a row are out of order")
+            tokens_ = batch.column("bytes")
+            lengths = pc.fill_null(pc.binary_length(tokens_), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, ends = b"".join(pc.drop_null(tokens_).to_pylist()), np.concatenate([[0], np.cumsum(lengths)])
+            if lead:
+                parts.append(data[: ends[lead]])
+                position += lead
+            done_others, done = [], []
+            if len(starts):
+                if row is not None:
+                    done_others.append(others)
+                    done.append(b"".join(parts))
+                cuts = ends[begins]
+                done += [data[a:b] for a, b in zip(cuts[:-2].tolist(), cuts[1:-1].tolist(), strict=True)]
+                done_others.append(batch.take(pa.array(starts[:-1])).select(names))
+                row, position, parts = int(rows_[starts[-1]]), int(sizes[-1]), [data[cuts[-2] : cuts[-1]]]
+                others = batch.slice(int(starts[-1]), 1).select(names)
+                yield _rows_of(done_others, done, names)
+        if row is not None:
+            yield _rows_of([others], [b"".join(parts)], names)
+
+    out = map_arrow(joined, gather, f"{columns}decoded binary")
+    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)], F.col("decoded").alias(decoded))
+
+
+def _rows_of(others: list[pa.RecordBatch], decoded: list[bytes], names: list[str]) -> pa.RecordBatch:
+    arrays = [pa.concat_arrays([b.column(n) for b in others]) for n in names]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(decoded, pa.binary())], names=[*names, "decoded"])

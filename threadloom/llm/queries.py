@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, byte_bpe, collocations, decontaminate, forest, hilbert, html_text, language, licenses, ngram_join, periodic, token_store, toxicity
 from threadloom.llm.common import map_batches, schema_with, table, with_columns
-from threadloom.session import drop_scratch, scratch_path
+from threadloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,11 +162,8 @@ def with_id_digest(df: DataFrame) -> DataFrame:
 
 @registered("op12_byte_bpe")
 def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, blocks = table(spark, sf_dir, "documents", "doc_id", "text"), scratch_path(spark, "word-blocks")
-    encoded = byte_bpe.encode_texts(documents, RANKED_TOKENS, public_tokenizers.PATTERN, scratch=blocks)
+    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), RANKED_TOKENS, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(with_id_digest(encoded), RANKED_TOKENS)
-    # Decoding has put the ids into blocks of its own, so those of the words have been read.
-    drop_scratch(spark, blocks)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
