@@ -3,7 +3,7 @@
 Texts are taken in blocks of bounded size. A block keeps, for each text, the positions of its pre-tokens in the list of
 the block's distinct ones, so that positions stay packed and in their place and only distinct words travel: dealt by a hash of the word they meet
 in one task, which encodes each of them once, and their ids go back to their blocks and meet the positions. A frequent word costs one entry for each
-block and not one for each occurrence. Decoding joins exploded ids with the table of token bytes and puts rows together by position.
+block and not one for each occurrence. Decoding joins the ids with the table of token bytes.
 
 Blocks are written to the shared folder once, since their numbers must not change when a task is run again.
 
@@ -29,11 +29,12 @@ import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from threadloom.llm.common import byte_slices, list_array, map_arrow, partition_count
-from threadloom.session import BROADCAST_BYTES, scratch_path
+from threadloom.session import scratch_path
 
 # Bytes of text in a block.
 BLOCK_BYTES = 16 * 1024**2
@@ -42,6 +43,9 @@ BLOCK_BYTES = 16 * 1024**2
 TASK_BYTES = 16 * 1024**2
 CELLS_PER_TASK = 4
 
+# Ids decoded at a time, or those of one row that has more.
+DECODED_IDS = 1 << 20
+
 # Words up to this length are merged by looking at all their pairs, longer ones with a heap.
 SHORT_WORD = 48
 
@@ -243,71 +247,53 @@ def encode_texts(
 
 # ---------------------------------------------------------------- ids to bytes
 
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, bytes) of every token. A vocabulary is small by its nature, and its size is checked before it is broadcast."""
-    ranks = ranks_of(path)
-    rows = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
-    if rows.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"a vocabulary of {rows.nbytes} bytes is too large to broadcast")
-    return F.broadcast(spark.createDataFrame(rows))
+class TokenBytes:
+    """The token-byte table: bytes of all tokens one after the other, with the place and length of each by id."""
+
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        self.sizes = np.zeros(max(ranks.values()) + 2, dtype=np.int64)
+        ordered = sorted(ranks.items(), key=lambda item: item[1])
+        self.sizes[[i for _, i in ordered]] = [len(token) for token, _ in ordered]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(token for token, _ in ordered), np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, one after the other, and how many each has: none for an id that is no token (the last entry stands for these)."""
+        ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, len(self.sizes) - 1)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.joined[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)], sizes
+
+
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes of each row's token ids in place of the ids.
 
-    Ids are exploded with their positions and joined with the broadcast token table. All of this stays in the task that
-    has the row, in order, so a row is put together again without a shuffle; an order that was not kept would be noticed.
+    All ids of a batch are joined with the token-byte table at once. The table is as small as vocabularies are, so every worker holds it and
+    the join is made where the rows are, without a shuffle, as a broadcast join would be.
     """
-    kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
-    names = [f"c{i}" for i in range(len(kept))]
-    rows = df.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)], F.col(f"`{ids}`").alias("ids"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    tokens = rows.select("row", *names, F.posexplode_outer("ids").alias("at", "id"))
-    # Only the first token of a row carries its other columns.
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    tokens = tokens.select("row", F.coalesce("at", F.lit(0)).alias("at"), "id", *[F.when(first, F.col(n)).alias(n) for n in names])
-    joined = tokens.join(token_table(df.sparkSession, path), "id", "left").select("row", "at", "bytes", *names)
-    columns = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, kept, strict=True))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The row that the last batch may have ended in the middle of: its number, its next position, its columns, its bytes so far.
-        row, position, others, parts = None, 0, None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows_, at = (batch.column(c).to_numpy() for c in ("row", "at"))
-            starts = np.flatnonzero(at == 0)
-            begins = np.append(starts, batch.num_rows)
-            lead = int(begins[0])
-            if lead and (row is None or (rows_[:lead] != row).any() or at[0] != position):
-                raise ValueError("the tokens of a row are out of order")
-            sizes = np.diff(begins)
-            if (at[lead:] != np.arange(lead, batch.num_rows) - np.repeat(starts, sizes)).any() or (rows_[lead:] != np.repeat(rows_[starts], sizes)).any():
-                raise ValueError("the tokens of a row are out of order")
-            tokens_ = batch.column("bytes")
-            lengths = pc.fill_null(pc.binary_length(tokens_), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, ends = b"".join(pc.drop_null(tokens_).to_pylist()), np.concatenate([[0], np.cumsum(lengths)])
-            if lead:
-                parts.append(data[: ends[lead]])
-                position += lead
-            done_others, done = [], []
-            if len(starts):
-                if row is not None:
-                    done_others.append(others)
-                    done.append(b"".join(parts))
-                cuts = ends[begins]
-                done += [data[a:b] for a, b in zip(cuts[:-2].tolist(), cuts[1:-1].tolist(), strict=True)]
-                done_others.append(batch.take(pa.array(starts[:-1])).select(names))
-                row, position, parts = int(rows_[starts[-1]]), int(sizes[-1]), [data[cuts[-2] : cuts[-1]]]
-                others = batch.slice(int(starts[-1]), 1).select(names)
-                yield _rows_of(done_others, done, names)
-        if row is not None:
-            yield _rows_of([others], [b"".join(parts)], names)
-
-    out = map_arrow(joined, gather, f"{columns}decoded binary")
-    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)], F.col("decoded").alias(decoded))
-
-
-def _rows_of(others: list[pa.RecordBatch], decoded: list[bytes], names: list[str]) -> pa.RecordBatch:
-    arrays = [pa.concat_arrays([b.column(n) for b in others]) for n in names]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(decoded, pa.binary())], names=[*names, "decoded"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for whole in batches:
+            lengths = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, start = np.cumsum(lengths), 0
+            while start < whole.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - lengths[start] + DECODED_IDS, "right")))
+                batch = whole.slice(start, stop - start)
+                flat = pc.fill_null(batch.column(ids).flatten(), -1).to_numpy(zero_copy_only=False)
+                data, sizes = table.join(flat)
+                total = np.concatenate([[0], np.cumsum(sizes)])
+                cuts = total[np.concatenate([[0], np.cumsum(lengths[start:stop])])].astype(np.int32)
+                new = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                kept = [n for n in batch.schema.names if n not in (ids, decoded)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], new], names=[*kept, decoded])
+                start = stop
+
+    columns = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    return map_arrow(df, rows, StructType([*columns, StructField(decoded, BinaryType())]))
