@@ -40,11 +40,11 @@ from threadloom.session import scratch_path
 BLOCK_BYTES = 16 * 1024**2
 
 # Input bytes for a task that encodes words or puts texts together, and the cells for words that such a task takes: several, so that tasks are even.
-TASK_BYTES = 16 * 1024**2
+TASK_BYTES = 8 * 1024**2
 CELLS_PER_TASK = 4
 
 # Ids decoded at a time, or those of one row that has more.
-DECODED_IDS = 1 << 20
+DECODED_IDS = 1 << 18
 
 # Words up to this length are merged by looking at all their pairs, longer ones with a heap.
 SHORT_WORD = 48
@@ -231,6 +231,7 @@ def encode_texts(
         found = [found[i] for i in order]
         sizes = np.array([len(f) // 4 for f in found], dtype=np.int64)
         flat, starts = np.frombuffer(b"".join(found), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
+        del order
         lists, lengths = [np.zeros(0, np.int32)], []
         for packed in left.column("packed").to_pylist():
             positions = _unpack(packed)
@@ -271,29 +272,30 @@ def token_bytes(path: str) -> TokenBytes:
     return TokenBytes(path)
 
 
+def decoded_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str = "ids", decoded: str = "decoded") -> Iterator[pa.RecordBatch]:
+    """The batches with the bytes of each row's ids in place of the ids, some rows at a time."""
+    table = token_bytes(path)
+    for whole in batches:
+        lengths = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(lengths), 0
+        while start < whole.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - lengths[start] + DECODED_IDS, "right")))
+            batch = whole.slice(start, stop - start)
+            flat = pc.fill_null(batch.column(ids).flatten(), -1).to_numpy(zero_copy_only=False)
+            data, sizes = table.join(flat)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            cuts = total[np.concatenate([[0], np.cumsum(lengths[start:stop])])].astype(np.int32)
+            new = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+            kept = [n for n in batch.schema.names if n not in (ids, decoded)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], new], names=[*kept, decoded])
+            start = stop
+
+
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes of each row's token ids in place of the ids.
 
     All ids of a batch are joined with the token-byte table at once. The table is as small as vocabularies are, so every worker holds it and
     the join is made where the rows are, without a shuffle, as a broadcast join would be.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
-        for whole in batches:
-            lengths = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, start = np.cumsum(lengths), 0
-            while start < whole.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] - lengths[start] + DECODED_IDS, "right")))
-                batch = whole.slice(start, stop - start)
-                flat = pc.fill_null(batch.column(ids).flatten(), -1).to_numpy(zero_copy_only=False)
-                data, sizes = table.join(flat)
-                total = np.concatenate([[0], np.cumsum(sizes)])
-                cuts = total[np.concatenate([[0], np.cumsum(lengths[start:stop])])].astype(np.int32)
-                new = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-                kept = [n for n in batch.schema.names if n not in (ids, decoded)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], new], names=[*kept, decoded])
-                start = stop
-
     columns = [f for f in df.schema.fields if f.name not in (ids, decoded)]
-    return map_arrow(df, rows, StructType([*columns, StructField(decoded, BinaryType())]))
+    return map_arrow(df, lambda batches: decoded_batches(batches, path, ids, decoded), StructType([*columns, StructField(decoded, BinaryType())]))

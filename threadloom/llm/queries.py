@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, byte_bpe, collocations, decontaminate, forest, hilbert, html_text, language, licenses, ngram_join, periodic, token_store, toxicity
-from threadloom.llm.common import map_batches, schema_with, table, with_columns
+from threadloom.llm.common import map_arrow, table, with_columns
 from threadloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,23 +147,25 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents", "text", "lang")).drop("cut")
 
 
-def with_id_digest(df: DataFrame) -> DataFrame:
-    """``n_tokens`` and the digest of the ids as little-endian unsigned 32-bit integers."""
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+def digested_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With ``n_tokens`` and the digest of the ids as little-endian unsigned 32-bit integers."""
+    for batch in batches:
         ids = batch.column("ids")
         lengths = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(lengths)
         digests = [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends, lengths, strict=True)]
-        return with_columns(batch, n_tokens=pa.array(lengths), ids_sha256=pa.array(digests, pa.string()))
-
-    return map_batches(df, schema_with(df, n_tokens="bigint", ids_sha256="string"), rows)
+        yield with_columns(batch, n_tokens=pa.array(lengths), ids_sha256=pa.array(digests, pa.string()))
 
 
 @registered("op12_byte_bpe")
 def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), RANKED_TOKENS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_ids(with_id_digest(encoded), RANKED_TOKENS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Digest and decoding in one worker.
+        yield from byte_bpe.decoded_batches(digested_batches(batches), RANKED_TOKENS)
+
+    decoded = map_arrow(encoded, rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary")
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
