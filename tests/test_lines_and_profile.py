@@ -77,7 +77,7 @@ def test_fingerprint_is_order_sensitive_and_split_independent(spark, dump):
 def test_line_counts(spark, dump):
     paths = [dump("a", ["x", "", "y"]), dump("b", [""]), dump("empty", [])]
     counts = {os.path.basename(r.path): r.line_count for r in profile.line_counts(spark, paths).collect()}
-    assert counts == {"a": 3, "b": 1}
+    assert counts == {"a": 3, "b": 1, "empty": 0}
 
 
 def test_find_plain_files(spark, dump, tmp_path):
@@ -89,17 +89,18 @@ def test_find_plain_files(spark, dump, tmp_path):
 
 
 def test_change_detection(spark, dump, tmp_path):
-    paths = {n: dump(n, [n, "line"]) for n in ("kept", "edited", "removed", "touched")}
+    paths = {n: dump(n, [n, "line"]) for n in ("kept", "edited", "removed", "touched", "emptied")}
     old = profile.file_manifest(spark, list(paths.values()))
     old_rows = spark.createDataFrame(old.collect(), old.schema)
     dump("edited", ["edited", "another"])
     os.utime(paths["touched"], (1, 1))
-    now = [paths["kept"], paths["edited"], paths["touched"], dump("added", ["a"])]
+    dump("emptied", [])
+    now = [paths["kept"], paths["edited"], paths["touched"], paths["emptied"], dump("added", ["a"])]
     new = profile.update_manifest(spark, old_rows, now)
     status = {os.path.basename(r.path): r.status for r in profile.compare_manifests(old_rows, new).collect()}
-    assert status == {"kept": "unchanged", "touched": "unchanged", "edited": "changed", "removed": "gone", "added": "new"}
+    assert status == {"kept": "unchanged", "touched": "unchanged", "edited": "changed", "emptied": "changed", "removed": "gone", "added": "new"}
     refreshed = {os.path.basename(r.path): r.line_count for r in profile.refresh_manifest(old_rows, new).collect()}
-    assert refreshed == {"kept": 2, "touched": 2, "edited": 2, "added": 1}
+    assert refreshed == {"kept": 2, "touched": 2, "edited": 2, "emptied": 0, "added": 1}
 
 
 def test_fingerprint_method_holds_for_every_file(spark, dump):
@@ -109,6 +110,8 @@ def test_fingerprint_method_holds_for_every_file(spark, dump):
     os.utime(path, (1, 1))
     (later,) = profile.file_manifest(spark, path).collect()
     (moved,) = profile.file_manifest(spark, path, method=profile.PARTIAL).collect()
+    (empty,) = profile.file_manifest(spark, dump("empty", [])).collect()
+    assert (empty.line_count, empty.length) == (0, 0)
     assert (content.line_count, content.hash_method, metadata.hash_method) == (2, "content", "metadata")
     assert content.hash == later.hash and metadata.hash != moved.hash
 

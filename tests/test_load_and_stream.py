@@ -31,7 +31,7 @@ MONTH_TWO = [post("e", "bob later", "t2_2"), post("f", "cid", "t2_3"), post("g",
 
 
 def read(spark, store, table):
-    return sinks.read_table(spark, store.table(table))
+    return load.read_loaded(spark, store, table)
 
 
 def authors(spark, store):
@@ -52,11 +52,11 @@ def test_batch_load(spark, dump, tmp_path):
     assert authors(spark, store) == FIRST_AUTHORS
     assert [r.id for r in read(spark, store, "distinguished_post").collect()] == ["c"]
 
-    reasons = {(r.table, r.fault) for r in spark.read.parquet(store.quarantine).collect()}
+    reasons = {(r.table, r.fault) for r in load.read_quarantine(spark, store).collect()}
     assert reasons == {("submissions", "malformed_json"), ("post", "key_missing"), ("author", "key_missing")}
-    entries = load.ledger_entries(spark.read.parquet(store.ledger)).collect()
+    entries = load.ledger_entries(load.ledger(spark, store)).collect()
     assert {r.file: r.success_tables for r in entries} == {f: ["author", "distinguished_post", "post"] for f in (one, two)}
-    summary = {r.data_file: r for r in spark.read.parquet(store.summary).collect()}
+    summary = {r.data_file: r for r in load.summary(spark, store).collect()}
     assert summary[one].line_count == 7 and summary[two].line_count == 3 and summary[one].writes == 3
     assert summary[one].time_elapsed_seconds == summary[one].end_time - summary[one].start_time
 
@@ -96,7 +96,7 @@ def test_broken_rules_are_kept_in_quarantine(spark, dump, tmp_path):
         {"subreddit": "", "rules": [{}]}, "broken {", {"subreddit": "c", "rules": None},
     ]
     load.load_source(spark, "subreddit_rules", dump("rules", lines), store)
-    kept = spark.read.parquet(store.quarantine).collect()
+    kept = load.read_quarantine(spark, store).collect()
     assert {(r.kind, r.fault) for r in kept} == {("lines:subreddit_rules", "malformed_json"), ("subreddit_rules", "bad_rules"), ("subreddit_rules", "key_missing")}
     assert [r.subreddit for r in read(spark, store, "subreddit_rules").collect()] == ["a"]
 
@@ -119,14 +119,14 @@ def test_two_streams_into_one_store(spark, dump, tmp_path):
         stream_source(stream, "submissions", store, str(tmp_path / f"checkpoint{n}"), registry=registry).awaitTermination()
     assert sorted(r.id for r in read(spark, store, "post").collect()) == list("abcdefg")
     assert authors(spark, store) == FIRST_AUTHORS
-    assert sorted(r.line_count for r in spark.read.parquet(store.stream_summary).collect()) == [3, 7]
+    assert sorted(r.line_count for r in load.summary(spark, store).collect()) == [3, 7]
 
 
 def test_failed_load_can_be_repeated(spark, dump, tmp_path):
     store = load.Store(str(tmp_path / "store"))
     path = dump("RS", MONTH_TWO)
     load.load_source(spark, "submissions", path, store)
-    os.rename(store.ledger, str(tmp_path / "lost-ledger"))
+    os.rename(store.commits, str(tmp_path / "lost-commits"))
     load.load_source(spark, "submissions", path, store)
     assert sorted(r.id for r in read(spark, store, "post").collect()) == ["e", "f", "g"]
     assert authors(spark, store) == [("t2_2", "bob later"), ("t2_3", "cid")]
@@ -138,7 +138,7 @@ def test_repeated_key(spark, dump, tmp_path):
     strict = load.Store(str(tmp_path / "strict"))
     with pytest.raises(load.DuplicateKeyError):
         load.load_source(spark, "submissions", path, strict)
-    assert [r.fault for r in spark.read.parquet(strict.quarantine).filter("table = 'post'").collect()] == ["key_repeated"]
+    assert [r.fault for r in load.read_quarantine(spark, strict).filter("table = 'post'").collect()] == ["key_repeated"]
 
     lenient = load.Store(str(tmp_path / "lenient"))
     load.load_source(spark, "submissions", path, lenient, on_duplicate="quarantine")
@@ -146,7 +146,7 @@ def test_repeated_key(spark, dump, tmp_path):
     load.load_source(spark, "submissions", again, lenient, on_duplicate="quarantine")
     stored = read(spark, lenient, "post").orderBy("id").collect()
     assert [(r.id, r.title) for r in stored] == [("a", "first"), ("b", None), ("c", None)]
-    kept = spark.read.parquet(lenient.quarantine).filter("fault = 'key_repeated'").collect()
+    kept = load.read_quarantine(spark, lenient).filter("fault = 'key_repeated'").collect()
     assert len(kept) == 2 and any('"title":"second"' in r.value for r in kept)
 
 
@@ -159,7 +159,7 @@ def test_wiki_and_rules_load(spark, dump, tmp_path):
     load.load_source(spark, "subreddit_wikis", dump("wikis", wiki), store)
     assert [r.path for r in read(spark, store, "wiki").collect()] == ["/r/s/a"]
     assert read(spark, store, "revision_wiki").count() == 2
-    assert spark.read.parquet(store.quarantine).filter("fault = 'bad_date'").count() == 1
+    assert load.read_quarantine(spark, store).filter("fault = 'bad_date'").count() == 1
     rules = [{"subreddit": "s", "rules": [{"priority": i, "short_name": "n", "description": "d"} for i in range(3)]}]
     load.load_source(spark, "subreddit_rules", dump("rules", rules), store)
     assert read(spark, store, "subreddit_rules").count() == 3
@@ -170,7 +170,7 @@ def test_document_load(spark, dump, tmp_path):
     path = dump("RS", MONTH_ONE)
     assert load.load_documents(spark, "submissions", path, store)
     assert not load.load_documents(spark, "submissions", path, store)
-    stored = sinks.read_table(spark, store.documents("post"))
+    stored = load.read_collection(spark, store, "post")
     names = stored.select(F.expr("variant_get(doc, '$.author', 'string')").alias("a")).collect()
     assert len(names) == 5 and {"ann", "bob"} <= {r.a for r in names}
 

@@ -125,6 +125,11 @@ FOREIGN_KEYS: dict[str, dict[str, str]] = {
 }
 
 
+# Tables that keep the first row of a key, and tables whose key is not a field of the raw record.
+FIRST_SEEN = frozenset({"author"})
+COMPUTED_KEYS: dict[str, tuple[str, ...]] = {"subreddit_rules": ("subreddit",)}
+
+
 @dataclass(frozen=True)
 class Source:
     """One kind of dump file: the tables it feeds and the collection it is kept in as documents."""
@@ -165,6 +170,10 @@ class Catalog:
     columns: Mapping[str, str] = field(default_factory=lambda: COLUMNS)
     keys: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: KEYS)
     sources: Mapping[str, Source] = field(default_factory=lambda: SOURCES)
+    # Tables that keep the first row of a key; in all others a repeated key is an error.
+    first_seen: frozenset[str] = FIRST_SEEN
+    # Tables whose key is made by their cleaner, with the raw fields that stand for it in whole documents.
+    computed_keys: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: COMPUTED_KEYS)
 
     def schema(self, table: str) -> T.StructType:
         return T.StructType.fromDDL(self.columns[table])
@@ -172,6 +181,10 @@ class Catalog:
     def key(self, table: str) -> tuple[str, ...]:
         return self.keys[table]
 
+    def document_key(self, collection: str) -> tuple[str, ...]:
+        """Raw fields that documents of a collection are laid out by."""
+        return self.computed_keys.get(collection, self.keys[collection])
+
     def raw_fields(self, source: str, tables: Sequence[str] | None = None) -> list[str]:
         """Every raw field the given tables (all of the source by default) can use, keys first."""
         spec = self.sources[source]

@@ -112,17 +112,25 @@ def wiki_cleaner(pattern: str = S.WIKI_PATH_PATTERN, content_length: int | None
 
 
 class CleanerRegistry:
-    """Cleaner per table; a table without one is passed through."""
+    """Cleaner per table; a table without one is passed through.
 
-    def __init__(self, cleaners: Mapping[str, Cleaner] | None = None):
-        self._cleaners = dict(cleaners or {})
+    A table may also have a finder of faulty records, which gives the records its cleaner drops as unreadable, with the reason in ``fault``.
+    """
+
+    def __init__(self, cleaners: Mapping[str, Cleaner] | None = None, faults: Mapping[str, Cleaner] | None = None):
+        self._cleaners, self._faults = dict(cleaners or {}), dict(faults or {})
 
-    def register(self, table: str, cleaner: Cleaner) -> None:
+    def register(self, table: str, cleaner: Cleaner, faults: Cleaner | None = None) -> None:
         self._cleaners[table] = cleaner
+        if faults is not None:
+            self._faults[table] = faults
 
     def get(self, table: str) -> Cleaner:
         return self._cleaners.get(table, keep)
 
+    def faults(self, table: str) -> Cleaner | None:
+        return self._faults.get(table)
+
 
 def default_cleaners(ignored: DataFrame | None = None) -> CleanerRegistry:
     """Built-in cleaners. Tables not named here keep every record."""
@@ -135,7 +143,8 @@ def default_cleaners(ignored: DataFrame | None = None) -> CleanerRegistry:
             "removed": clean_removed,
             "subreddit_rules": clean_rules,
             "wiki": wiki_cleaner(),
-        }
+        },
+        {"subreddit_rules": rules_faults, "wiki": wiki_faults},
     )
 
 

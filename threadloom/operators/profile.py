@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.nested import leaf_lengths
+from threadloom.sources.byte_ranges import blocks_of, list_every_file, read_blocks
 from threadloom.sources.ndjson import list_files, read_lines
 from threadloom.sources.numbering import first_lines
 
@@ -18,9 +19,10 @@ PARTIAL = "metadata"
 
 
 def line_counts(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True) -> DataFrame:
-    """``path`` and ``line_count`` of every file that has content."""
-    lines = read_lines(spark, paths, recursive)
-    return lines.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("line_count"))
+    """``path`` and ``line_count`` of every file, 0 for an empty one. Line ends are counted in the bytes; no line becomes a row."""
+    files = list_every_file(spark, paths, recursive)
+    counts = read_blocks(blocks_of(files)).groupBy("path").agg(F.sum("line_starts").alias("line_count"))
+    return files.select("path").join(counts, "path", "left").fillna(0, "line_count")
 
 
 def content_fingerprints(lines: DataFrame) -> DataFrame:
@@ -65,9 +67,14 @@ def _metadata_hash() -> Column:
 def file_manifest(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, method: str = FULL) -> DataFrame:
     """``path, line_count, hash, hash_method, length, modified`` of every file, all files read once.
 
-    ``method`` holds for every file: by ``content``, or by ``metadata``, that is size and time.
+    ``method`` holds for every file: by ``content``, or by ``metadata``, that is size and time. An empty file has no lines and the fingerprint of no lines.
     """
     files = list_files(spark, paths, recursive)
+    empty = list_every_file(spark, paths, recursive).filter("length = 0")
+    empty = empty.select(
+        "path", F.lit(0).cast("bigint").alias("line_count"), (_metadata_hash() if method == PARTIAL else F.md5(F.lit("0-0-0"))).alias("hash"),
+        F.lit(method).alias("hash_method"), "length", "modified",
+    )
     content = content_fingerprints(read_lines(spark, paths, recursive)).withColumnRenamed("hash", "content_hash")
     return files.join(content, "path").select(
         "path",
@@ -76,7 +83,7 @@ def file_manifest(spark: SparkSession, paths: str | Sequence[str], recursive: bo
         F.lit(method).alias("hash_method"),
         "length",
         "modified",
-    )
+    ).unionByName(empty)
 
 
 def update_manifest(
@@ -87,7 +94,7 @@ def update_manifest(
     Other entries are reused with their count, and entries of files that are gone are dropped.
     """
     same_file = ["path", "length", "modified"]
-    files = list_files(spark, paths, recursive)
+    files = list_every_file(spark, paths, recursive)
     kept = old.join(files, same_file, "left_semi")
     # File names only, which the driver holds anyway to plan a scan of these files.
     stale = [r["path"] for r in files.join(old, same_file, "left_anti").select("path").collect()]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -896,22 +898,94 @@ def _loaded(spark: SparkSession, sf_dir: str) -> load.Store:
 
 @registered("load_posts", ORACLE["normalise_post"])
 def _(spark, sf_dir):
-    posts = sinks.read_table(spark, _loaded(spark, sf_dir).table("post"))
+    posts = load.read_loaded(spark, _loaded(spark, sf_dir), "post")
     return posts.select("id", "name", "title", "score", "created_utc", "content_categories")
 
 
 @registered("load_authors", ORACLE["clean_author"])
 def _(spark, sf_dir):
-    authors = sinks.read_table(spark, _loaded(spark, sf_dir).table("author"))
+    authors = load.read_loaded(spark, _loaded(spark, sf_dir), "author")
     return authors.withColumn("author_premium", F.when(F.col("author_premium"), "yes").otherwise("no"))
 
 
 @registered("load_summary", "SELECT count(*) AS line_count, 'author,distinguished_post,post' AS tables, 3 AS writes FROM orders")
 def _(spark, sf_dir):
-    summary = spark.read.parquet(_loaded(spark, sf_dir).summary)
+    summary = load.summary(spark, _loaded(spark, sf_dir))
     return summary.select("line_count", F.array_join(F.array_sort("tables"), ",").alias("tables"), "writes")
 
 
+def _two_dumps(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Submissions as two dumps: orders with an even key, then those with an odd one."""
+    lines = T.submission_lines(spark, sf_dir)
+    return [T.write_dump(lines.filter(F.col("row_id") % 2 == n), f"submissions-{n}") for n in (0, 1)]
+
+
+@registered(
+    "load_snapshot",
+    """SELECT moment, "table", n FROM (
+         SELECT 'post' AS "table", (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS even, (SELECT count(*) FROM orders) AS every
+         UNION ALL SELECT 'author', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 0),
+                          (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus <> 'P')
+         UNION ALL SELECT 'distinguished_post', (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0),
+                          (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')) t,
+       LATERAL (VALUES ('killed', even), ('resumed', every), ('first version', even)) AS m(moment, n)""",
+)
+def _(spark, sf_dir):
+    """A load that dies at its last table shows no row of the others; run again, it shows all tables at once, and the snapshot before it stays readable."""
+    store, (first, second) = load.Store(scratch_path(spark, "snapshots")), _two_dumps(spark, sf_dir)
+    load.load_source(spark, "submissions", first, store)
+    broken = cleaners.default_cleaners()
+    broken.register("distinguished_post", lambda rows: rows.filter(F.when(F.rand(1) >= 0, F.raise_error(F.lit("killed"))).isNull()))
+    try:
+        load.load_source(spark, "submissions", second, store, broken, on_duplicate="keep")
+    except PySparkException:
+        pass
+
+    def counts(moment: str, version: int | None = None) -> list[DataFrame]:
+        tables = DEFAULT_CATALOG.sources["submissions"].tables
+        rows = [(t, load.read_loaded(spark, store, t, version=version)) for t in tables]
+        return [r.agg(F.lit(moment).alias("moment"), F.lit(t).alias("table"), F.count("*").alias("n")) for t, r in rows]
+
+    killed = counts("killed")
+    load.load_source(spark, "submissions", second, store)
+    return keys.append_loads(*killed, *counts("resumed"), *counts("first version", 1))
+
+
+@registered(
+    "resume_quarantine",
+    """SELECT 'submissions' AS "table", 'malformed_json' AS fault, count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW'
+       UNION ALL SELECT 'post', 'bad_value:score', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'
+       UNION ALL SELECT 'author', 'key_missing', count(*) FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus = 'P'""",
+)
+def _(spark, sf_dir):
+    """Posts are loaded alone and the other tables of the dump later: what the first load set aside stays, and nothing is set aside twice."""
+    store = load.Store(scratch_path(spark, "resumed"))
+    lines = T.submission_lines(spark, sf_dir)
+    value = F.regexp_replace("value", '"score":[0-9]+', '"score":"many"')
+    value = F.when(F.contains("value", F.lit('"title":"1-URGENT')), value).otherwise(F.col("value"))
+    value = F.when(F.contains("value", F.lit('"title":"5-LOW')), F.expr("substring(value, 1, length(value) - 1)")).otherwise(value)
+    dump = T.write_dump(lines.withColumn("value", value), "submissions-faulty")
+    posts = replace(DEFAULT_CATALOG, sources={"submissions": replace(DEFAULT_CATALOG.sources["submissions"], tables=("post",))})
+    load.load_source(spark, "submissions", dump, store, catalog=posts)
+    load.load_source(spark, "submissions", dump, store)
+    return load.read_quarantine(spark, store).groupBy("table", "fault").agg(F.count("*").alias("n"))
+
+
+@registered(
+    "load_known_keys",
+    "SELECT 't3_' || o_orderkey AS name, o_orderkey % 2 AS later_copies FROM orders",
+)
+def _(spark, sf_dir):
+    """Odd orders are loaded, then all: the key filters of the first load find its keys, which are set aside in the second."""
+    store, (_, odd) = load.Store(scratch_path(spark, "known")), _two_dumps(spark, sf_dir)
+    load.load_source(spark, "submissions", odd, store)
+    load.load_source(spark, "submissions", T.write_dump(T.submission_lines(spark, sf_dir), "submissions-all"), store, on_duplicate="quarantine")
+    posts = load.read_loaded(spark, store, "post").select("name", F.lit(0).alias("copies"))
+    aside = load.read_quarantine(spark, store).filter("fault = 'key_repeated' AND table = 'post'")
+    copies = aside.select(F.get_json_object("value", "$.name").alias("name"), F.lit(1).alias("copies"))
+    return posts.unionByName(copies).groupBy("name").agg(F.sum("copies").cast("bigint").alias("later_copies"))
+
+
 @registered(
     "load_ledger",
     """SELECT o_orderpriority AS file, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS success_tables
@@ -937,7 +1011,7 @@ def _(spark, sf_dir):
     rules = T.write_dump(T.rule_lines(spark, sf_dir), "rules")
     load.load_archive(spark, {"subreddit_wikis": [wikis], "subreddit_rules": [rules]}, store)
     counts = [
-        sinks.read_table(spark, store.table(t)).agg(F.lit(t).alias("table"), F.count("*").alias("n"))
+        load.read_loaded(spark, store, t).agg(F.lit(t).alias("table"), F.count("*").alias("n"))
         for t in ("wiki", "revision_wiki", "subreddit_rules")
     ]
     return keys.append_loads(*counts)
@@ -981,13 +1055,13 @@ def _streamed(spark: SparkSession, sf_dir: str) -> load.Store:
 
 @registered("stream_load", ORACLE["normalise_post"])
 def _(spark, sf_dir):
-    posts = sinks.read_table(spark, _streamed(spark, sf_dir).table("post"))
+    posts = load.read_loaded(spark, _streamed(spark, sf_dir), "post")
     return posts.select("id", "name", "title", "score", "created_utc", "content_categories")
 
 
 @registered("stream_first_seen", ORACLE["clean_author"].replace(", ' User_' || o_custkey || chr(9) AS author,\n              CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS author_premium", ""))
 def _(spark, sf_dir):
-    return sinks.read_table(spark, _streamed(spark, sf_dir).table("author")).select("author_fullname")
+    return load.read_loaded(spark, _streamed(spark, sf_dir), "author").select("author_fullname")
 
 
 @registered("stream_any_per_key", "SELECT DISTINCT event_type FROM events")

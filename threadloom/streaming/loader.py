@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import json
+import sys
+import time
 from collections.abc import Sequence
-from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from threadloom.catalog import DEFAULT_CATALOG, Catalog
 from threadloom.operators.cleaners import CleanerRegistry, default_cleaners
-from threadloom.plans.load import Store, load_name, load_records, staged_records, summary_row
-from threadloom.sinks.tables import append_load
+from threadloom.operators.keys import first_seen
+from threadloom.plans.load import Store, counted_lines, load_name, load_records, staged_records
+from threadloom.sinks import commits as log
+
+# Send the processor to the executors with the plan, so that they need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Arrival order: older files first, then line order.
 ARRIVAL = ("modified", "file_path", "block_start", "row_id")
@@ -52,24 +60,24 @@ def stream_source(
 ) -> StreamingQuery:
     """Load everything that has arrived, then stop; run again to load what arrived since.
 
-    The checkpoint remembers the files read. A micro-batch is staged once, and its writes carry the identity that
+    The checkpoint remembers the files read. A micro-batch is staged once and published by one commit, which carries the identity that
     Spark keeps in the checkpoint and the batch number: a batch that is run again replaces its own rows, and never
     those of another stream. First-seen authors are taken inside the batch and then checked against the stored
-    table: no state grows in memory. Each batch leaves one summary row.
+    table: no state grows in memory. The commit is also the summary row of the batch.
     """
     registry = registry or default_cleaners()
     wanted = list(tables or catalog.sources[source].tables)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        start = datetime.now(timezone.utc)
-        placed = batch.withColumn("row_id", F.monotonically_increasing_id())
-        load_id = f"{load_name('stream', source, stream_identity(batch.sparkSession, checkpoint))}-{batch_id:012d}"
+        spark = batch.sparkSession
+        version = log.last_version(spark, store.commits)
+        load_id = f"{load_name('stream', source, stream_identity(spark, checkpoint))}.{batch_id:012d}"
+        commit = log.Commit(load_id, "stream", load_id, time.time())
+        placed, counted = counted_lines(batch.withColumn("row_id", F.monotonically_increasing_id()))
         with staged_records(placed, source, wanted, catalog) as records:
-            line_count = records.count()
-            load_records(records, source, store, load_id, wanted, registry, catalog, ARRIVAL, on_duplicate)
-        end = datetime.now(timezone.utc)
-        row = summary_row(batch.sparkSession, "stream", load_id, start, end, wanted, line_count, len(wanted))
-        append_load(row, store.stream_summary, load_id)
+            commit.line_count = counted.get["lines"]
+            load_records(records, source, store, commit, wanted, registry, catalog, ARRIVAL, on_duplicate)
+            log.publish(spark, store.commits, commit, version)
 
     return (
         lines.writeStream.foreachBatch(write)
@@ -79,6 +87,79 @@ def stream_source(
     )
 
 
+class FirstArrivals(StatefulProcessor):
+    """Per key the row that arrived first, kept in state until the key has been idle for the time to live.
+
+    A row is sent when its key is new, and again when an earlier row of a known key comes late: with the higher ``revision``, the later
+    one holds. State is one small row for each key, never the rows.
+    """
+
+    def __init__(self, schema: str, time_to_live_ms: int | None):
+        self.schema, self.time_to_live_ms = schema, time_to_live_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "place string, revision bigint", self.time_to_live_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for batch in rows:
+            at = batch["place"].idxmin() if len(batch) else None
+            if at is not None and (best is None or batch["place"][at] < best["place"].iloc[0]):
+                best = batch.loc[[at]]
+        known = self.first.get() if self.first.exists() else None
+        if best is not None and (known is None or best["place"].iloc[0] < known[0]):
+            revision = 0 if known is None else known[1] + 1
+            self.first.update((best["place"].iloc[0], revision))
+            yield best.drop(columns="place").assign(revision=revision)
+
+    def close(self) -> None:
+        pass
+
+
+def first_arrivals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], time_to_live: str | None = None) -> DataFrame:
+    """The stream ``rows`` reduced to the first row of each key in the given order, over all micro-batches, with ``revision``.
+
+    ``order`` must sort as text after ``cast("string")`` with equal widths, or be numbers and times. A row that belongs before the one sent is
+    sent with the next revision; ``latest_revisions`` reads what was sent. ``time_to_live``, such as ``90 days``, forgets idle keys and so
+    bounds the state; a key that comes back later counts as new. Needs the RocksDB state store.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    millis = None if time_to_live is None else int(spark.sql(f"SELECT INTERVAL {time_to_live} AS i").first()[0].total_seconds() * 1000)
+    kinds = dict(rows.dtypes)
+
+    def sortable(name: str) -> Column:
+        if kinds[name] == "string":
+            return F.col(name)
+        number = F.unix_micros(F.col(name)) if kinds[name] == "timestamp" else F.col(name).cast("bigint")
+        return F.lpad((number.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+
+    # One text for the place, its parts ended by a character below all that occur in paths.
+    placed = rows.withColumn("place", F.concat_ws("\x01", *[sortable(c) for c in order]))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", revision bigint"
+    processor = FirstArrivals(out, millis)
+    return placed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if millis else "None")
+
+
+def stream_first_arrivals(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, time_to_live: str | None = None
+) -> StreamingQuery:
+    """Append the first row of each key, and corrections of it, to a Parquet table; stops when all that has arrived is read."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return (
+        first_arrivals(rows, keys, order, time_to_live)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_revisions(sent: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows a stream of first arrivals has sent, the last for each key."""
+    return first_seen(sent, keys, [F.desc("revision")]).drop("revision")
+
+
 def stream_any_per_key(lines: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
     """One row per key, whichever arrives first in the running state, appended to a Parquet table.
 
