@@ -141,7 +141,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample:
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on labelled documents. Units are counted in the tasks and summed in a shuffle; only units that can pass
     the test of chance, ``MODEL_UNITS`` at most, reach the driver."""
-    rows = labelled_sample(documents, labels, label, sample).dropna().dropDuplicates(["text"]).select("text", F.col("label").cast("int"))
+    # A text that is labelled both ways counts as toxic, whatever the order of its rows.
+    rows = labelled_sample(documents, labels, label, sample).dropna().groupBy("text").agg(F.max("label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
