@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, decontaminate, language, ngram_join, toxicity
-from threadloom.llm.common import table
+from threadloom.llm.common import table, written
 from threadloom.llm.queries import PIECES, TOKENIZER
 from threadloom.session import scratch_path
 
@@ -25,18 +25,28 @@ from threadloom.session import scratch_path
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def text_and_row(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns in one, so that none clashes with what an operator adds and no text goes to Python twice."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", (F.struct(*others) if others else F.lit(None).cast("struct<none: int>")).alias("row"))
+
+
+def with_row(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return scored.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("text", F.struct(*docs.columns).alias("row")), model)
-    return scored.filter("predicted = 0").select("row.*")
+    return with_row(toxicity.score(text_and_row(docs), model).filter("predicted = 0"), docs)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model recognises; text without letters has none."""
     model = language.train(docs, PIECES)
-    scored = language.predict(docs.select("text", F.struct(*docs.columns).alias("row")), model)
-    return scored.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    scored = language.predict(text_and_row(docs), model)
+    return with_row(scored.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -67,7 +77,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digest of the text decoded from them."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "text", "lang", "source"), TOKENIZER).drop("text")
+    # Written in between, so that a task has one Python worker at a time.
+    encoded = written(bpe.encode_texts(docs.select("doc_id", "text", "lang", "source"), TOKENIZER).drop("text"), "encoded")
     decoded = bpe.decode_ids(encoded, TOKENIZER)
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
