@@ -266,3 +266,24 @@ def test_leaks_of_one_part(spark):
     by = {r.doc_id: r for r in found}
     assert by[10].question_overlap == 0 and by[10].answer_overlap == 1 and by[10].item_overlap == pytest.approx(36 / 46)
     assert by[11].question_overlap == 1 and by[11].answer_overlap == 0
+
+
+def test_toxicity_model_does_not_depend_on_row_order(spark):
+    """Equal texts labelled both ways count as toxic, wherever their rows stand."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(rng.choices(["calm", "kind", "tree", "lake"], k=12) + (["vile", "scum"] if toxic else []))))
+        labels.append((i, int(toxic)))
+    for k in range(40):
+        rows += [(1000 + 2 * k, f"vile scum both ways {k}"), (1001 + 2 * k, f"vile scum both ways {k}")]
+        labels += [(1000 + 2 * k, 1), (1001 + 2 * k, 0)]
+    models = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 1)
+        models.append(toxicity.train(documents, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert models[0].units and all(m.units == models[0].units and m.decay == models[0].decay for m in models)
+    every = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(t or i >= 1000)) for i, t in labels], "doc_id long, toxic int"))
+    assert every.units == models[0].units
