@@ -80,7 +80,7 @@ def test_first_arrivals_over_batches(spark, tmp_path):
         rows = stream_lines(spark, str(folder), files_per_batch=1).select(
             F.split("value", " ")[0].alias("user"), F.split("value", " ")[1].cast("bigint").alias("at"), F.split("value", " ")[2].alias("word")
         )
-        stream_first_arrivals(rows, ["user"], ["at", "word"], out, str(tmp_path / "state"), "90 days").awaitTermination()
+        stream_first_arrivals(rows, ["user"], ["at", "word"], out, str(tmp_path / "state")).awaitTermination()
         return {r.user: (r["at"], r.word) for r in latest_revisions(spark.read.parquet(out), ["user"]).collect()}
 
     arrive("one", ["ann 5 five", "ann 7 seven", "bob 3 three", "bob 3 also"], 0)

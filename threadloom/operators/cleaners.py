@@ -170,7 +170,7 @@ def apply_skip_rule(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter(~key_fault(keys) & (F.col("filled") > len(keys)))
 
 
-def project(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG, extra: Sequence[str] = ()) -> DataFrame:
+def project(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG, extra: Sequence[str | Column] = ()) -> DataFrame:
     """The table's columns in their declared types; a field the record lacks is NULL."""
     present = set(rows.columns)
 
@@ -182,18 +182,29 @@ def project(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG, ext
     return rows.select(*[column(f) for f in catalog.schema(table).fields], *extra)
 
 
-def lost_values(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
-    """Rows with a value its declared type cannot hold, with the column names in ``fault``.
-
-    Such a value is stored as NULL, and the row is reported here instead of being changed in silence.
-    """
+def _lost_names(rows: DataFrame, table: str, catalog: Catalog) -> list[Column]:
+    """For each typed column its name where the row has a value there that the type cannot hold."""
     present = set(rows.columns)
     typed = {f.name: f.dataType.simpleString() for f in catalog.schema(table).fields if f.name in present}
-    names = [
+    return [
         F.expr(f"CASE WHEN `{n}` IS NOT NULL AND {S.coercion_sql(n, k)} IS NULL THEN '{n}' END")
         for n, k in typed.items()
         if k != "string"
     ]
+
+
+def loses_values(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """Whether a row has a value its declared type cannot hold."""
+    names = _lost_names(rows, table, catalog)
+    return F.coalesce(*names).isNotNull() if names else F.lit(False)
+
+
+def lost_values(rows: DataFrame, table: str, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+    """Rows with a value its declared type cannot hold, with the column names in ``fault``.
+
+    Such a value is stored as NULL, and the row is reported here instead of being changed in silence.
+    """
+    names = _lost_names(rows, table, catalog)
     if not names:
         return rows.limit(0).withColumn("fault", F.lit(""))
     joined = F.concat_ws(",", *names)

@@ -26,6 +26,7 @@ from threadloom.operators.cleaners import (
     default_cleaners,
     key_fault,
     left_out,
+    loses_values,
     lost_values,
     project,
 )
@@ -39,6 +40,8 @@ from threadloom.sources.line_index import first_lines_of
 from threadloom.sources.ndjson import MALFORMED, PLACE, parse_records, read_documents, read_lines
 
 LEDGER_SCHEMA = "file string, `table` string"
+# Marks rows with a value their type cannot hold, on the way to the files.
+LOST = "_lost"
 QUARANTINE_SCHEMA = (
     "`table` string, kind string, fault string, value string, file_path string, block_start bigint, row_id bigint"
 )
@@ -262,7 +265,6 @@ def load_records(
         keys = list(catalog.key(table))
         cleaned = sound.transform(registry.get(table))
         kept[table] = apply_skip_rule(cleaned, keys)
-        reject(_rejected(lost_values(kept[table], table, catalog), F.col("fault"), fields), table)
         faults = registry.faults(table)
         if faults is not None:
             reject(_rejected(faults(sound), F.col("fault"), fields), table)
@@ -271,6 +273,7 @@ def load_records(
         else:
             reject(_rejected(sound.filter(key_fault(keys)), F.lit("key_missing"), fields), table)
 
+    sound_rows = dict(kept)
     stored = StoredKeys(spark, store, commit.load_id, tables, catalog)
     checked = [t for t in tables if t not in catalog.first_seen and on_duplicate != "keep"]
     repeated_in = None
@@ -287,6 +290,9 @@ def load_records(
             repeated_in = repeated_in or table
     failed = on_duplicate == "fail" and repeated_in
 
+    def reject_lost(table: str) -> None:
+        reject(_rejected(lost_values(sound_rows[table], table, catalog), F.col("fault"), fields), table)
+
     for table in [] if failed else tables:
         keys = list(catalog.key(table))
         if table in catalog.first_seen:
@@ -294,10 +300,18 @@ def load_records(
             typed = first_seen(project(kept[table], table, catalog, order), keys, order).drop(*order)
             known = stored.known(kept[table], table)
             if known is not None:
-                typed = typed.join(known, key_text(keys) == F.col("key"), "left_anti")
+                typed = typed.join(known.select(F.col("key").alias("_known")), key_text(keys) == F.col("_known"), "left_anti")
+            reject_lost(table)
+            part, _ = _write_part(typed, table, store.table(table), keys, commit)
         else:
-            typed = project(kept[table], table, catalog)
-        commit.parts.append(_write_part(typed, table, store.table(table), keys, commit))
+            # Whether any value is lost is seen while the rows are written; only then are they looked for.
+            typed = project(kept[table], table, catalog, [loses_values(kept[table], table, catalog).alias(LOST)])
+            part, lost = _write_part(typed, table, store.table(table), keys, commit)
+            if lost or kept[table] is not sound_rows[table]:
+                reject_lost(table)
+        commit.parts.append(part)
+    for table in tables if failed else []:
+        reject_lost(table)
     if commit.parts:
         _write_filters(spark, store, commit, catalog)
     quarantine(reduce(DataFrame.unionByName, rejected), store.quarantine, f"{commit.load_id}-{commit.run}")
@@ -305,14 +319,16 @@ def load_records(
         raise DuplicateKeyError(f"{repeated_in}: a key occurs more than once, see {store.quarantine}")
 
 
-def _write_part(rows: DataFrame, name: str, root: str, keys: Sequence[str], commit: Commit) -> Part:
-    """Write rows in key order; their number and key range are taken while they are written."""
+def _write_part(rows: DataFrame, name: str, root: str, keys: Sequence[str], commit: Commit) -> tuple[Part, int]:
+    """Write rows in key order; their number, their key range and how many have ``LOST`` set are taken while they are written."""
     seen = Observation()
     first = F.col(keys[0]).cast("string")
-    observed = with_key_layout(rows, keys).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(first).alias("low"), F.max(first).alias("high"))
-    observed.write.mode("overwrite").parquet(f"{root}/{commit.folder}")
+    lost = F.count_if(F.col(LOST)) if LOST in rows.columns else F.count_if(F.lit(False))
+    laid_out = with_key_layout(rows, keys)
+    observed = laid_out.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(first).alias("low"), F.max(first).alias("high"), lost.alias("lost"))
+    observed.drop(LOST).write.mode("overwrite").parquet(f"{root}/{commit.folder}")
     found = seen.get
-    return Part(name, commit.folder, found["rows"], found["low"], found["high"])
+    return Part(name, commit.folder, found["rows"], found["low"], found["high"]), found["lost"]
 
 
 def _write_filters(spark: SparkSession, store: Store, commit: Commit, catalog: Catalog) -> None:
@@ -421,7 +437,7 @@ def load_documents(
         faulty = documents.filter(F.col("fault").isNotNull()).select("fault", "value", *PLACE)
         quarantine(faulty.withColumn("kind", F.lit(collection)), store.quarantine, f"{commit.load_id}-{commit.run}")
         sound = documents.filter(F.col("fault").isNull()).select(*keys, "doc")
-        commit.parts.append(_write_part(sound, name, store.documents(collection), keys, commit))
+        commit.parts.append(_write_part(sound, name, store.documents(collection), keys, commit)[0])
         log.publish(spark, store.commits, commit, version)
     finally:
         drop_scratch(spark, staged)

@@ -21,10 +21,6 @@ def append_load(df: DataFrame, path: str, load_id: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -38,14 +38,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
-    return customers.select(_tagged("t2_", "c_custkey").alias("author_fullname"), F.col("c_name").alias("author"))
+    """Customers with a debt have a key that no post has."""
+    key = F.when(F.col("c_acctbal") >= 0, _tagged("t2_", "c_custkey")).otherwise(_tagged("x2_", "c_custkey"))
+    return table(spark, sf_dir, "customer").select(key.alias("author_fullname"), F.col("c_name").alias("author"))
 
 
 def subreddits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != "MACHINERY")
-    return customers.select(
-        _tagged("t5_", "c_custkey").alias("name"),
+    """Customers of one segment have a name that no post has."""
+    return table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_mktsegment") != "MACHINERY", _tagged("t5_", "c_custkey")).otherwise(_tagged("x5_", "c_custkey")).alias("name"),
         F.concat_ws("_", "c_mktsegment", F.col("c_custkey").cast("string")).alias("display_name"),
     )
 
@@ -211,6 +212,13 @@ def write_event_dump(spark: SparkSession, sf_dir: str, files: int | None = None)
     return path
 
 
+def write_plain_dump(lines: DataFrame, label: str) -> str:
+    """Lines as files without an extension, as dumps are published; returns the folder."""
+    path = scratch_path(lines.sparkSession, label)
+    lines.rdd.map(lambda r: r["value"]).saveAsTextFile(path)
+    return path
+
+
 def write_dump(lines: DataFrame, label: str) -> str:
     """Lines as an NDJSON dump in line order; returns the folder."""
     path = scratch_path(lines.sparkSession, label)

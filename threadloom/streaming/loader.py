@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import sys
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.catalog import DEFAULT_CATALOG, Catalog
 from threadloom.operators.cleaners import CleanerRegistry, default_cleaners
@@ -18,11 +20,9 @@ from threadloom.operators.keys import first_seen
 from threadloom.plans.load import Store, counted_lines, load_name, load_records, staged_records
 from threadloom.sinks import commits as log
 
-# Send the processor to the executors with the plan, so that they need not have the package on their path.
+# Send the state function to the executors with the plan, so that they need not have the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 # Arrival order: older files first, then line order.
 ARRIVAL = ("modified", "file_path", "block_start", "row_id")
 
@@ -87,43 +87,14 @@ def stream_source(
     )
 
 
-class FirstArrivals(StatefulProcessor):
-    """Per key the row that arrived first, kept in state until the key has been idle for the time to live.
-
-    A row is sent when its key is new, and again when an earlier row of a known key comes late: with the higher ``revision``, the later
-    one holds. State is one small row for each key, never the rows.
-    """
-
-    def __init__(self, schema: str, time_to_live_ms: int | None):
-        self.schema, self.time_to_live_ms = schema, time_to_live_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "place string, revision bigint", self.time_to_live_ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        best = None
-        for batch in rows:
-            at = batch["place"].idxmin() if len(batch) else None
-            if at is not None and (best is None or batch["place"][at] < best["place"].iloc[0]):
-                best = batch.loc[[at]]
-        known = self.first.get() if self.first.exists() else None
-        if best is not None and (known is None or best["place"].iloc[0] < known[0]):
-            revision = 0 if known is None else known[1] + 1
-            self.first.update((best["place"].iloc[0], revision))
-            yield best.drop(columns="place").assign(revision=revision)
-
-    def close(self) -> None:
-        pass
-
-
 def first_arrivals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], time_to_live: str | None = None) -> DataFrame:
     """The stream ``rows`` reduced to the first row of each key in the given order, over all micro-batches, with ``revision``.
 
     ``order`` must sort as text after ``cast("string")`` with equal widths, or be numbers and times. A row that belongs before the one sent is
-    sent with the next revision; ``latest_revisions`` reads what was sent. ``time_to_live``, such as ``90 days``, forgets idle keys and so
-    bounds the state; a key that comes back later counts as new. Needs the RocksDB state store.
+    sent with the next revision; ``latest_revisions`` reads what was sent. State is one small row for each key, never the rows. ``time_to_live``,
+    such as ``90 days``, forgets idle keys and so bounds the state; a key that comes back later counts as new.
     """
-    spark, schema = rows.sparkSession, rows.schema
+    spark = rows.sparkSession
     millis = None if time_to_live is None else int(spark.sql(f"SELECT INTERVAL {time_to_live} AS i").first()[0].total_seconds() * 1000)
     kinds = dict(rows.dtypes)
 
@@ -135,24 +106,39 @@ def first_arrivals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], t
 
     # One text for the place, its parts ended by a character below all that occur in paths.
     placed = rows.withColumn("place", F.concat_ws("\x01", *[sortable(c) for c in order]))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", revision bigint"
-    processor = FirstArrivals(out, millis)
-    return placed.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if millis else "None")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", revision bigint"
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for frame in frames:
+            at = frame["place"].idxmin() if len(frame) else None
+            if at is not None and (best is None or frame["place"][at] < best["place"].iloc[0]):
+                best = frame.loc[[at]]
+        place, revision = state.get if state.exists else (None, -1)
+        if best is not None and (place is None or best["place"].iloc[0] < place):
+            place, revision = best["place"].iloc[0], revision + 1
+            yield best.drop(columns="place").assign(revision=revision)
+        state.update((place, revision))
+        if millis is not None:
+            state.setTimeoutDuration(millis)
+
+    timeout = GroupStateTimeout.NoTimeout if millis is None else GroupStateTimeout.ProcessingTimeTimeout
+    return placed.groupBy(*keys).applyInPandasWithState(advance, out, "place string, revision bigint", "append", timeout)
 
 
 def stream_first_arrivals(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, time_to_live: str | None = None
 ) -> StreamingQuery:
-    """Append the first row of each key, and corrections of it, to a Parquet table; stops when all that has arrived is read."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (
-        first_arrivals(rows, keys, order, time_to_live)
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append the first row of each key, and corrections of it, to a Parquet table.
+
+    Without ``time_to_live`` it stops when all that has arrived is read. With it the query runs on until it is stopped, since Spark looks for
+    idle keys in further batches for ever.
+    """
+    writer = first_arrivals(rows, keys, order, time_to_live).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if time_to_live is None else writer.trigger(processingTime="1 minute")).start()
 
 
 def latest_revisions(sent: DataFrame, keys: Sequence[str]) -> DataFrame:
