@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import scratch_path
 from threadloom.sources.byte_ranges import BLOCK_BYTES, blocks_of, list_every_file, read_blocks
 
 BLOCKS = "blocks"
@@ -23,7 +24,15 @@ GROUP = 1024
 MANIFEST_COLUMNS = ("path", "length", "modified", "number", "size", "line_starts", "digest", "bytes_read")
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder, so that what it reads is read once, and seen in one state, however often it is used."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _read(blocks: DataFrame) -> DataFrame:
+    """What reading the blocks gave, with the size and time of their files."""
     found = read_blocks(blocks).select("path", "number", "size", "line_starts", "digest", "checked", "bytes_read")
     files = blocks.select("path", "length", "modified").distinct()
     return found.join(files, "path")
@@ -43,7 +52,7 @@ def block_manifest(
     With ``old``, an earlier manifest in a stored table, files of the same size and time are taken over, longer ones are read from their old end, and others anew;
     files that are gone lose their rows. ``bytes_read`` counts what this call has read.
     """
-    files = list_every_file(spark, roots)
+    files = _kept(list_every_file(spark, roots), "listing")
     if old is None or full:
         return _read(blocks_of(files, block_bytes=block_bytes)).select(*MANIFEST_COLUMNS).unionByName(_empty_entries(files).select(*MANIFEST_COLUMNS))
     old = old.withColumn("bytes_read", F.lit(0).cast("bigint"))
@@ -51,14 +60,14 @@ def block_manifest(
     files = files.join(before, "path", "left")
     same = (F.col("length") == F.col("old_length")) & (F.col("modified") == F.col("old_modified"))
     state = F.when(same, "same").when((F.col("old_length") > 0) & (F.col("length") > F.col("old_length")), "grown").otherwise("other")
-    files = files.withColumn("state", F.coalesce(state, F.lit("other")))
+    files = _kept(files.withColumn("state", F.coalesce(state, F.lit("other"))), "file-states")
     taken = old.join(files.filter("state = 'same'").select("path"), "path", "left_semi")
     anew = _read(blocks_of(files.filter("state = 'other'"), block_bytes=block_bytes))
 
     # The block that holds the last old byte, and how much of it is old.
     grown = files.filter("state = 'grown'").withColumn("turn", F.expr(f"(old_length - 1) div {block_bytes}"))
     tail = blocks_of(grown, "turn", block_bytes).withColumn("check", F.when(F.col("number") == F.col("turn"), F.col("old_length") - F.col("turn") * block_bytes))
-    tail = _read(tail)
+    tail = _kept(_read(tail), "grown-ends")
     turns = old.select("path", "number", F.col("digest").alias("old_digest")).join(grown.select("path", F.col("turn").alias("number")), ["path", "number"])
     kept = tail.filter(F.col("checked").isNotNull()).join(turns, ["path", "number"]).filter(F.col("checked") == F.col("old_digest")).select("path")
     head = old.drop("length", "modified").join(grown.select("path", "length", "modified", "turn"), "path").filter(F.col("number") < F.col("turn"))
