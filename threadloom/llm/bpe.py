@@ -12,17 +12,16 @@ to nothing; bytes that are no UTF-8 decode to the replacement character.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threadloom.llm.common import list_array, map_batches, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, held, list_array, map_arrow, map_batches, schema_with, with_columns
 from threadloom.llm.pretokens import PieceEncoder, added_tokens
 
 
@@ -117,10 +116,12 @@ class PrefixBpe:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    bpe = PrefixBpe(path)
-    return PieceEncoder(lambda pieces: [np.array(ids, dtype="<u4").tobytes() for ids in bpe.encode(pieces)], added_tokens(path))
+    def build() -> PieceEncoder:
+        bpe = PrefixBpe(path)
+        return PieceEncoder(lambda pieces: [np.array(ids, dtype="<u4").tobytes() for ids in bpe.encode(pieces)], added_tokens(path))
+
+    return held("bpe", ("encoder", path), build)
 
 
 class TokenBytes:
@@ -147,9 +148,8 @@ class TokenBytes:
         return self.joined[places].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def decoder(path: str) -> TokenBytes:
-    return TokenBytes(path)
+    return held("bpe", ("decoder", path), lambda: TokenBytes(path))
 
 
 def decode(ids: Iterable[int], path: str) -> str:
@@ -159,12 +159,13 @@ def decode(ids: Iterable[int], path: str) -> str:
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of each whole text as ``ids`` (array of int). No shuffle; a task holds one batch."""
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = encoder(path).encode(batch.column(text).to_pylist())
-        flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
-        return with_columns(batch, **{ids: list_array(flat, [len(r) // 4 for r in raw])})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, text, SLICE_BYTES):
+            raw = encoder(path).encode(batch.column(text).to_pylist())
+            flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
+            yield with_columns(batch, **{ids: list_array(flat, [len(r) // 4 for r in raw])})
 
-    return map_batches(df, schema_with(df, **{ids: "array<int>"}), rows)
+    return map_arrow(df, rows, schema_with(df, **{ids: "array<int>"}))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -23,8 +23,27 @@ MAX_PARTITIONS = 20_000
 # Rows handled at a time in a Python worker.
 BATCH_ROWS = 500
 
+# Bytes of text handled at a time; a longer text is a slice of its own.
+SLICE_BYTES = 2 * 1024**2
+
 _SENT_TO: set[str] = set()
 
+# What a Python worker keeps between tasks: the operator it belongs to, and its values by name.
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str, name: object, build: Callable[[], object]) -> object:
+    """A worker's own value of an operator, built at first use. Workers serve one operator after the other, so what other
+    operators left behind is dropped."""
+    if operator not in _HELD:
+        _HELD.clear()
+        _HELD[operator] = {}
+        pa.default_memory_pool().release_unused()
+    values = _HELD[operator]
+    if name not in values:
+        values[name] = build()
+    return values[name]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_arrow, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, map_arrow, schema_with, with_columns
 
 SAMPLE = 4_000
 MODEL_WORDS = 6_000
@@ -250,7 +250,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(sent.value)
-        for batch in batches:
+        for batch in byte_slices(batches, text, SLICE_BYTES):
             found = [predict_text(t.as_py(), table) for t in batch.column(text)]
             yield with_columns(batch, lang_pred=pa.array([f[0] for f in found], pa.string()), score=pa.array([f[1] for f in found], pa.float64()))
 

@@ -16,7 +16,6 @@ gives an empty store.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_arrow, partition_count, small_batches
+from threadloom.llm.common import SLICE_BYTES, byte_slices, held, map_arrow, partition_count
 from threadloom.llm.pretokens import PieceEncoder, added_tokens
 
 SAMPLED = 64
@@ -96,9 +95,12 @@ class EliasFano:
         return (high | self._low(0, self.count)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
     """Ids from the tokenizers library, asked once for each piece of text that it encodes on its own."""
+    return held("token_store", path, lambda: build_encoder(path))
+
+
+def build_encoder(path: str) -> PieceEncoder:
     import tokenizers
 
     library = tokenizers.Tokenizer.from_file(path)
@@ -147,7 +149,7 @@ def write_store(
                 names=["part", "block", "before", "n_docs", "n_ids", "width", "doc_ids", "ends", "ids"],
             )
 
-        for batch in small_batches(batches):
+        for batch in byte_slices(batches, "text", SLICE_BYTES):
             part = batch.column(2)[0].as_py()
             for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 names.append(name)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_arrow, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, map_arrow, schema_with, with_columns
 from threadloom.llm.licenses import AS_WORDS
 
 SAMPLE = 40_000
@@ -220,7 +220,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = sent.value
         cache = WordScores(learned)
-        for batch in batches:
+        for batch in byte_slices(batches, text, SLICE_BYTES):
             found = [score_text(t.as_py(), learned, cache) for t in batch.column(text)]
             scores = [f[0] for f in found]
             yield with_columns(
