@@ -11,7 +11,8 @@ each group of near copies stays, documents that hold benchmark items go, and wha
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +96,32 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 # brute-force versions instead.
 ORACLE_SQL: str | None = None
 
+# Rows and bytes sent to Python at a time while the stages run: what an executor holds outside its heap grows with them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024**2)}
+
+
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """The settings ``BATCHES`` while the stages run; the session's own come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
+    try:
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with small_arrow_batches(spark):
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
