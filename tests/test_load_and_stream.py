@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadloom.catalog import Catalog, Source
 from threadloom.operators.cleaners import default_cleaners
 from threadloom.plans import load
+from threadloom.registered import QUERIES
 from threadloom.session import checkpoint_root, drop_scratch
 from threadloom.sinks import tables as sinks
 from threadloom.sources.lists import default_ignore_list
@@ -283,3 +284,15 @@ def test_read_lines_orders_by_place(spark, dump):
     path = dump("o", [str(i) for i in range(100)])
     rows = read_lines(spark, path).orderBy("file_path", "block_start", "row_id").collect()
     assert [r.value for r in rows] == [str(i) for i in range(100)]
+
+
+def test_archive_of_pages_that_share_addresses(spark, tmp_path):
+    tables = "/root/testdata/sf0.001"
+    pages, documents = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("pages", "documents"))
+    twice = pages.unionByName(pages.withColumn("page_id", F.col("page_id") + pages.count()))
+    twice.write.parquet(str(tmp_path / "pages.parquet"))
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    counts = {r.table: r.n for r in QUERIES["load_archive"](spark, str(tmp_path)).collect()}
+    good = twice.filter(F.contains("url", F.lit("/en/")) & ~F.contains("url", F.lit("ref=")))
+    rules = documents.select(F.explode(F.split("text", "\n", -1)))
+    assert counts == {"wiki": good.count(), "revision_wiki": twice.count(), "subreddit_rules": rules.count()}
