@@ -1,10 +1,13 @@
+import glob
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import registered
 from threadloom.operators import manifest, profile
+from threadloom.session import checkpoint_root
 from threadloom.sources import byte_ranges, line_index
 from threadloom.sources.ndjson import read_lines
 
@@ -121,3 +124,15 @@ def test_a_file_that_grew_is_read_from_its_old_end(spark, raw, tmp_path):
     assert now["rewritten"].bytes_read >= len(data)
     status = {os.path.basename(r.path): r.status for r in profile.compare_manifests(manifest.file_manifest_of(blocks), manifest.file_manifest_of(updated)).collect()}
     assert status == {"grown": "changed", "kept": "unchanged", "rewritten": "changed", "emptied": "changed", "filled": "changed", "edge": "changed", "gone": "gone", "new": "new"}
+
+
+def test_files_that_grow_become_more_and_not_longer(spark, monkeypatch):
+    monkeypatch.setattr(registered, "GROWING_LINES", 100)
+    tables = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{tables}/events.parquet").count()
+    before = set(glob.glob(f"{checkpoint_root(spark)}/growing-*"))
+    found = [r.asDict() for r in registered.QUERIES["manifest_append"](spark, tables).collect()]
+    assert found == [{"hash_method": "blocks", "lines": lines, "same_hash": 1, "tail_only": 1}]
+    for root in set(glob.glob(f"{checkpoint_root(spark)}/growing-*")) - before:
+        counts = spark.read.text(root).groupBy("part").count().collect()
+        assert len(counts) == -(-lines // 100) and all(r["count"] <= 100 for r in counts)
