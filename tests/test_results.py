@@ -2,10 +2,12 @@ import json
 
 import pytest
 
+from threadloom import standins
 from threadloom.functions import scalars as S
 from threadloom.plans import results
 from threadloom.plans.runner import run_suite
 from threadloom.plans.suite import SQL_SUITE
+from threadloom.sinks.tables import with_key_layout
 from pyspark.sql import functions as F
 
 
@@ -96,3 +98,19 @@ def test_readable_size(spark, size, text):
 def test_display_time(spark):
     row = spark.sql("SELECT timestamp '2025-01-02 03:04:05' AS t").select(S.display_time(F.col("t"))).first()
     assert row[0] == "02 January 2025 03:04.05"
+
+
+def test_rows_are_laid_out_before_they_become_documents(spark, monkeypatch):
+    laid_out = []
+
+    def layout(rows, keys):
+        laid_out.append((rows.dtypes, keys))
+        return with_key_layout(rows, keys)
+
+    monkeypatch.setattr(standins, "_COLLECTIONS", {})
+    monkeypatch.setattr(standins, "with_key_layout", layout)
+    tables = "/root/testdata/sf0.001"
+    rows = standins.posts(spark, tables)
+    stored = standins.document_archive(spark, tables, ["post"])["post"]
+    assert laid_out == [(rows.dtypes, ["id"])]
+    assert sorted(map(str, stored.collect())) == sorted(map(str, rows.collect()))
