@@ -102,6 +102,28 @@ def test_token_store(spark, library, tmp_path):
     assert token_store.documents_of(token_store.read_store(spark, str(tmp_path / "empty"))).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \t\n\x85\u3000aA9é.'s😀"), max_size=20) | st.text(max_size=30), max_size=6))
+def test_chunks_joined_for_the_library(texts):
+    if not hasattr(test_chunks_joined_for_the_library, "own"):
+        test_chunks_joined_for_the_library.own = token_store.LibraryEncoder(PATH)
+    own = test_chunks_joined_for_the_library.own
+    own.chunks.clear()
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [ids_of(own.library, t) for t in texts]
+
+
+def test_library_gets_many_chunks_at_a_time(library):
+    own, sent = token_store.LibraryEncoder(PATH), []
+    encode_all = own._encode_all
+    own._encode_all = lambda texts: sent.extend(texts) or encode_all(texts)
+    texts = [" ".join(f"w{i}x" for i in range(4000)), "w1x w2x new", *TEXTS]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [ids_of(library, t) for t in texts]
+    assert len(sent) < 50
+    own.joined = False
+    own.chunks.clear()
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [ids_of(library, t) for t in texts]
+
+
 @pytest.mark.parametrize(("axes", "bits"), [(2, 3), (3, 2), (3, 1), (4, 2)])
 def test_curve_visits_neighbours(spark, axes, bits):
     cells = spark.range(1 << (axes * bits)).select(

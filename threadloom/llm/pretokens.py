@@ -32,21 +32,18 @@ class _Memory(dict):
     """Ids by text: what comes first stays, later entries make room for newer ones."""
 
     def __init__(self):
-        self.recent: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        return self.recent[key]
+        self.recent: list[str] = []
 
     def put(self, values: dict[str, bytes]) -> None:
-        room = KEPT - len(self)
-        if room > 0:
-            self.update(itertools.islice(values.items(), room))
-        if room < len(values):
-            self.recent.update(itertools.islice(values.items(), max(0, room), None))
+        room = KEPT - (len(self) - len(self.recent))
+        self.recent += itertools.islice(values, max(0, room), None)
+        self.update(values)
 
     def make_room(self) -> None:
         if len(self.recent) > KEPT_FOR_A_WHILE:
-            self.recent.clear()
+            for text in self.recent:
+                del self[text]
+            self.recent = []
 
 
 class PieceEncoder:
@@ -70,11 +67,9 @@ class PieceEncoder:
     def _learn(self, chunks: set[str]) -> None:
         self.chunks.make_room()
         self.pieces.make_room()
-        known, recent = self.chunks, self.chunks.recent
-        new = [c for c in chunks if c not in known and c not in recent]
+        new = chunks - self.chunks.keys()
         split = {c: self.split(c[: -len(FIRST)] if c.endswith(FIRST) else " " + c) for c in new}
-        known, recent = self.pieces, self.pieces.recent
-        pieces = sorted(p for p in set().union(*split.values()) if p not in known and p not in recent)
+        pieces = sorted(set().union(*split.values()) - self.pieces.keys())
         self.pieces.put(dict(zip(pieces, self.encode_pieces(pieces), strict=True)))
         get = self.pieces.__getitem__
         self.chunks.put({c: b"".join(map(get, found)) for c, found in split.items()})

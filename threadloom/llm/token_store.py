@@ -22,14 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.bpe import printable_bytes
 from threadloom.llm.common import SLICE_BYTES, byte_slices, held, map_arrow, partition_count
-from threadloom.llm.pretokens import PieceEncoder, added_tokens
+from threadloom.llm.pretokens import FIRST, PieceEncoder, added_tokens
 
 SAMPLED = 64
 BLOCK_IDS = 1 << 20
+# Chunks that the library gets as one text.
+RUN = 500
 
 
 class EliasFano:
@@ -95,23 +99,57 @@ class EliasFano:
         return (high | self._low(0, self.count)).astype(np.int64)
 
 
-def library_encoder(path: str) -> PieceEncoder:
-    """Ids from the tokenizers library, asked once for each piece of text that it encodes on its own."""
-    return held("token_store", path, lambda: build_encoder(path))
+class LibraryEncoder(PieceEncoder):
+    """Ids from the tokenizers library, asked once for each chunk of text.
 
+    New chunks are joined again, so that the library cuts and encodes many at a time: it, too, puts a boundary before each blank that
+    another character than white space follows. As all bytes are tokens, the bytes of the ids tell where a chunk ends. The first chunk of
+    a text has no such blank and goes alone, as all do where an added token holds a blank or a byte is no token.
+    """
 
-def build_encoder(path: str) -> PieceEncoder:
-    import tokenizers
-
-    library = tokenizers.Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
-
+    def __init__(self, path: str):
+        import tokenizers
+
+        super().__init__(self._encode_all, added_tokens(path))
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        vocabulary, plain = self.library.get_vocab(with_added_tokens=False), printable_bytes()
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a character for each byte
+        self.joined = all(c in vocabulary for c in plain) and not any(" " in a for a in self.added)
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_joined(self, chunks: list[str]) -> Iterator[bytes]:
+        runs = [" " + " ".join(chunks[i : i + RUN]) for i in range(0, len(chunks), RUN)]
+        raw = b"".join(self._encode_all(runs))
+        ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy().astype(np.int64) + 1)
+        at = np.cumsum(self.sizes[np.frombuffer(raw, dtype="<u4")])
+        stops = np.searchsorted(at, ends)
+        if not np.array_equal(at[stops], ends):
+            raise RuntimeError("the library's tokens do not end where the chunks do")
+        start = 0
+        for stop in (4 * (stops + 1)).tolist():
+            yield raw[start:stop]
+            start = stop
+
+    def _learn(self, chunks: set[str]) -> None:
+        self.chunks.make_room()
+        new = chunks - self.chunks.keys()
+        joined = [c for c in new if not c.endswith(FIRST)] if self.joined else []
+        alone = list(new.difference(joined))
+        if joined:
+            self.chunks.put(dict(zip(joined, self._encode_joined(joined), strict=True)))
+        texts = [c.removesuffix(FIRST) if c.endswith(FIRST) else " " + c for c in alone]
+        self.chunks.put(dict(zip(alone, self._encode_all(texts), strict=True)))
+
+
+def library_encoder(path: str) -> LibraryEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor run side by side already
-    return PieceEncoder(encode, added_tokens(path))
+    return held("token_store", path, lambda: LibraryEncoder(path))
 
 
 BLOCKS = "part int, block int, before long, n_docs int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
