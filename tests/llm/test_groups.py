@@ -66,6 +66,37 @@ def test_join_is_that_of_all_pairs(spark):
     assert len(set(want.values())) < len(rows) - 20
 
 
+def test_near_copies_that_do_not_link(spark, monkeypatch):
+    """Copies of one text with so many changes that most do not link, some of them linked by changes they share: all links are found, and
+    few of the pairs are compared."""
+    random.seed(11)
+    base = [f"v{random.randint(0, 3000)}" for _ in range(140)]
+    edits = [[(random.randrange(140), f"x{random.randint(0, 9**9)}") for _ in range(random.randint(2, 6))] for _ in range(25)]
+    texts = [" ".join(base)]
+    for _ in range(220):
+        copy = list(base)
+        for i, word in random.choice(edits) if random.random() < 0.4 else []:
+            copy[i] = word
+        for _ in range(random.randint(0, 9)):
+            copy[random.randrange(140)] = f"y{random.randint(0, 9**9)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    compared, verified = [], ngram_join._verified
+
+    def counted(documents, found, pairs, **more):
+        compared.append(pairs.count())
+        return verified(documents, found, pairs, **more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.mark_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert 20 < len(set(want.values())) < 180
+    assert compared[0] <= ngram_join.PIVOTS * len(rows) and sum(compared) < 600, compared
+
+
 def test_empty_join(spark):
     assert ngram_join.mark_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -7,10 +7,14 @@ passages many texts share fall outside. The lists of sets by token are kept by s
 blocks of a list whose sizes cannot match, and places from where too little of the sets is left, are skipped.
 
 Sets in one list are often near copies of each other, and then one set's answers follow from another's. Each
-list has a pivot, and every set is first compared with the pivots of its lists. What links to a common pivot is joined
-already and its pairs need no comparison; and since 1 - Jaccard is a metric, two sets whose distances to the
-pivot differ by more than 0.2 cannot link. Only pairs that neither settles are compared in the second step. Links within
-a group are thus not all listed, but none between different groups is lost.
+list has a pivot, the set that shares its first tokens with most others, and every set is first compared with the pivots it shares
+most lists with. What links to a common pivot is joined already and its pairs need no comparison; and since 1 - Jaccard is a metric,
+two sets whose distances to the pivot differ by more than 0.2 cannot link. Links within a group are thus not all listed, but none
+between different groups is lost.
+
+Sets near one pivot, their centre, share most tokens with each other, so the lists would pair all of them. They are joined by their
+differences from the centre instead: the difference of two sets is that of their differences, and those are small and
+mostly each set's own. The lists are left with pairs of sets that have different centres.
 
 Defined cases: null and empty texts and those without words have size 0 and are linked with nothing; fewer than five
 words are one shingle, the whole sequence; equal non-empty sets are linked; rows that repeat a doc_id are kept and stand in the
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import components, map_arrow, partition_count, send_package, small_batches, written
@@ -37,6 +41,9 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of at least 4/5
 SKETCH_BITS = 20
 CELL_BITS = 23
+# Pivots that a set is compared with, and the least similarity of a set to its centre.
+PIVOTS = 2
+CENTRED = 0.5
 # Partners of a set that are compared in one place.
 PARTNERS = 500
 SLICE = 1 << 12
@@ -228,6 +235,10 @@ def _block(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 + BLOCK_STEP)))
 
 
+def _prefix_length(n: Column) -> Column:
+    return n - F.ceil(n * NUMERATOR / DENOMINATOR - 1e-9) + 1
+
+
 def _left(size: Column, place: Column) -> Column:
     """Tokens from the place on: no more than these can be common with another set that has this token in common first."""
     return size - place
@@ -245,34 +256,85 @@ def _enough(common: Column, a: Column, b: Column) -> Column:
 
 
 def _pivot_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of each set with the pivots of its lists' coarse blocks, where it shares enough lists with one."""
+    """Pairs of each set with the pivots that it shares most lists with. The pivot of a list's coarse block is the set whose first
+    tokens stand in the longest lists: of near copies the one with the fewest changes."""
     coarse = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25)))
     rows = lists.select("token", "key", "size", coarse.alias("block"))
-    pivots = rows.groupBy("token", "block").agg(F.min(F.struct("size", "key")).alias("pivot"))
-    rows = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1)))
-    pairs = rows.join(pivots, ["token", "block"]).filter(F.col("key") != F.col("pivot.key"))
-    pairs = pairs.groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
-    return pairs.agg(F.count(F.lit(1)).alias("common")).filter(_enough(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b")
+    members = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
+    shared = F.sum("members") / _prefix_length(F.first("size"))
+    weights = rows.join(members, "token").groupBy("key").agg(shared.alias("weight"))
+    rows = rows.join(weights, "key")
+    pivots = rows.groupBy("token", "block").agg(F.max(F.struct("weight", "key")).alias("pivot"))
+    rows = rows.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    pairs = rows.drop("weight").join(pivots, ["token", "block"]).filter(F.col("key") != F.col("pivot.key"))
+    pairs = pairs.groupBy("pivot", F.col("key").alias("b"), "size").agg(F.count(F.lit(1)).alias("common"))
+    pairs = pairs.filter((F.col("common") > 1) | (4 * F.col("common") >= _prefix_length(F.col("size"))))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("common"), F.desc("pivot")))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).select(F.col("pivot.key").alias("a"), "b")
+
+
+def _centres(answers: DataFrame) -> DataFrame:
+    """(key, centre): of the pivots that a set is near to, the one that most sets are near to; a pivot may be its own."""
+    near = answers.filter(F.col("similarity") >= CENTRED)
+    balls = near.groupBy(F.col("a").alias("centre")).agg(F.count(F.lit(1)).alias("members"))
+    members = near.select(F.col("a").alias("centre"), F.col("b").alias("key")).join(balls, "centre").select("key", "members", "centre")
+    members = members.union(balls.select(F.col("centre").alias("key"), "members", "centre"))
+    return members.groupBy("key").agg(F.max(F.struct("members", "centre")).alias("most")).select("key", "most.centre")
+
+
+def _centred_pairs(answers: DataFrame, groups: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of different groups with one centre that can link.
+
+    Sets link if their differences from the centre differ in no more than ``allowed`` tokens, a ninth of their sizes' sum, and so have
+    at least half of what their differences' sizes exceed that in common. For a set that the centre does not link that is no less
+    than its difference without a quarter of its size. A set that the centre links can only meet those that it does not
+    link, and then has over 4/9 of its own difference in common. First tokens follow from these bounds, rare ones first.
+    """
+    rows = answers.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("size_b").alias("size"), "linked", "delta").join(centres, ["key", "centre"])
+    rows = rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("group", "key"))
+    mixed = rows.groupBy("centre").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("centre")
+    rows = rows.join(mixed, "centre").withColumn("n", F.size("delta"))
+    least = F.when(F.col("linked"), F.floor(F.col("n") * 4 / 9 + 1e-9) + 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") - F.col("size") / 4 - 1e-9)))
+    rows = rows.select("centre", "key", "group", "size", "n", (F.col("n") - least + 1).alias("first"), F.explode("delta").alias("token"))
+    counts = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("count"))
+    nth = F.row_number().over(Window.partitionBy("centre", "key").orderBy("count", "token"))
+    rows = rows.join(counts.filter("count > 1"), ["centre", "token"], "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    # ``left``: the token itself and those behind it. Tokens that only one set has settle no pair.
+    rows = rows.withColumn("nth", nth).filter((F.col("nth") <= F.col("first")) & (F.col("count") > 1)).withColumn("left", F.col("n") - F.col("nth") + 1)
+    a, b = (rows.select("centre", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "group", "size", "n", "left")]) for side in "ab")
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    allowed = F.floor((size_a + size_b) / (NUMERATOR + DENOMINATOR) + 1e-9)
+    met = a.join(b, ["centre", "token"]).filter(
+        (F.col("key_a") < F.col("key_b"))
+        & (F.col("group_a") != F.col("group_b"))
+        & (DENOMINATOR * F.least(size_a, size_b) >= NUMERATOR * F.greatest(size_a, size_b))
+        & (2 * F.least("left_a", "left_b") >= F.col("n_a") + F.col("n_b") - allowed)
+    )
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _other_pairs(lists: DataFrame, answers: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs in one list that the answers for pivots have not settled.
+    """Pairs that the answers for pivots have not settled: those in one list with different centres, and those with one centre.
 
     A set meets only the blocks of its list from its own size up to the largest size that its place allows: with ``left``
     tokens to go, sets of more than 9/4 * left - size tokens cannot have enough in common.
     """
+    centres = written(_centres(answers), "centres")
     rows = lists.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("group", "key"))
-    mixed = rows.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
+    rows = rows.join(centres, "key", "left").withColumn("centre", F.coalesce("centre", "key"))
+    ends = [f(c).alias(f"{end}_{c}") for c in ("group", "centre") for f, end in ((F.min, "low"), (F.max, "high"))]
+    mixed = rows.groupBy("token").agg(*ends).filter("low_group <> high_group AND low_centre <> high_centre").select("token")
     rows = rows.join(mixed, "token").withColumn("left", _left(F.col("size"), F.col("place")))
     size = F.col("size")
     reach = F.least(F.floor(size * DENOMINATOR / NUMERATOR + 1e-9), F.floor(F.col("left") * (NUMERATOR + DENOMINATOR) / NUMERATOR + 1e-9) - size)
     a = rows.filter(reach >= size).select(
-        "token", F.col("key").alias("a"), F.col("group").alias("group_a"), size.alias("size_a"), reach.alias("reach"),
+        "token", F.col("key").alias("a"), F.col("group").alias("group_a"), F.col("centre").alias("centre_a"), size.alias("size_a"), reach.alias("reach"),
         F.explode(F.sequence(_block(size), _block(reach))).alias("block"),
     )
-    b = rows.select("token", F.col("key").alias("b"), F.col("group").alias("group_b"), size.alias("size_b"), F.col("left").alias("left_b"), _block(size).alias("block"))
+    b = rows.select("token", F.col("key").alias("b"), F.col("group").alias("group_b"), F.col("centre").alias("centre_b"), size.alias("size_b"), F.col("left").alias("left_b"), _block(size).alias("block"))
     met = a.join(b, ["token", "block"]).filter(
         (F.col("group_a") != F.col("group_b"))
+        & (F.col("centre_a") != F.col("centre_b"))
         & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))))
         & (F.col("size_b") <= F.col("reach"))
         & (F.col("left_b") >= _needed(F.col("size_a"), F.col("size_b")))
@@ -283,6 +345,7 @@ def _other_pairs(lists: DataFrame, answers: DataFrame, groups: DataFrame) -> Dat
     b_rows = lists.select(F.col("key").alias("b"), "token")
     common = pairs.join(a_rows, "a").join(b_rows, ["b", "token"]).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"))
     pairs = common.filter(_enough(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b")
+    pairs = pairs.union(_centred_pairs(answers, groups, centres))
     # 1 - similarity is a metric: distances to one pivot that differ by more than the largest one allowed rule a pair out.
     far = answers.select(F.col("a").alias("pivot"), "b", (1 - F.col("similarity")).alias("distance"))
     d_a = far.select("pivot", F.col("b").alias("a"), F.col("distance").alias("distance_a"))
@@ -325,11 +388,12 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the fingerprints and the similarity of their sets.
+def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame, deltas: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with the fingerprints and the similarity of their sets, and with ``deltas`` the tokens that only one of
+    the two has, where they are near.
 
-    Of each set that a pair needs one document is chosen, and a presence table of fixed size keeps nearly all other texts
-    from giving theirs; the join that follows is exact. A set goes once to each first set that it is paired with, where
+    Of each set that a pair needs one document is chosen, and presence tables of fixed size keep nearly all other texts
+    from being cut and from giving theirs; the join that follows is exact. A set goes once to each first set that it is paired with, where
     the pairs are compared as a stream behind that set; a first set with many partners stands in several places. Tokens are
     sent in 48 bits, of which no two of a pair's are equal by chance but once in a hundred million pairs.
     """
@@ -337,17 +401,18 @@ def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
     pairs = written(pairs, "pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     chosen = sets.join(keys, "key", "left_semi").groupBy("key", "print").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc_id"))
-    table = spark.sparkContext.broadcast(_cells(chosen, "key", "doc_id"))
+    chosen = written(chosen, "chosen")
+    tables = spark.sparkContext.broadcast((_cells(chosen, "doc_id"), _cells(chosen, "key", "doc_id")))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = table.value
+        asked, wanted = tables.value
         for batch in small_batches(batches):
             out: dict[bytes, tuple[int, bytes]] = {}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                shingles = shingle_set(text)
-                if len(shingles):
+                doc = -1 if doc is None else doc
+                if _in_cells(asked, doc) and len(shingles := shingle_set(text)):
                     key = short(mark := fingerprint(shingles))
-                    if _in_cells(wanted, key, -1 if doc is None else doc):
+                    if _in_cells(wanted, key, doc):
                         out[mark] = (key, _packed(shingles))
             if out:
                 columns = [*zip(*out.values(), strict=True)]
@@ -378,14 +443,16 @@ def _verified(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
                 for mark, other in first.items():
                     n = len(np.intersect1d(other, tokens))
                     together = len(other) + len(tokens) - n
-                    out.append((row["at"], row["key"], mark, row["print"], n / together, DENOMINATOR * n >= NUMERATOR * together))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.bool_()]
+                    delta = np.setxor1d(other, tokens).astype(np.int64) if deltas and n >= CENTRED * together else None
+                    out.append((row["at"], row["key"], mark, row["print"], n / together, DENOMINATOR * n >= NUMERATOR * together, len(tokens), delta))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "print_a", "print_b", "similarity", "linked"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "print_a", "print_b", "similarity", "linked", "size_b", "delta"]
             )
 
-    out = map_arrow(sent, compare, "a long, b long, print_a binary, print_b binary, similarity double, linked boolean")
+    schema = "a long, b long, print_a binary, print_b binary, similarity double, linked boolean, size_b long, delta array<long>"
+    out = map_arrow(sent, compare, schema)
     return written(out.dropDuplicates(["print_a", "print_b"]), "verified")
 
 
@@ -399,7 +466,7 @@ def mark_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = rows.filter("kind = 'set'").select("doc_id", "n_shingles", "print", "key")
     levels = rank_levels(_summed_counts(rows.filter("kind = 'count'")))
     lists = written(_lists(_index(documents, levels)), "lists")
-    first = _verified(documents, sets, _pivot_pairs(lists))
+    first = _verified(documents, sets, _pivot_pairs(lists), deltas=True)
     near = first.filter("linked")
     groups = components(near.select("a", "b"))
     second = _verified(documents, sets, _other_pairs(lists, first, groups))
