@@ -156,3 +156,14 @@ def test_shards(spark, tmp_path):
     assert Counter(back.select("doc_id", "text", "lang", "source").collect()) == Counter(plain.collect())
     empty = hilbert.document_metadata(plain.limit(0))
     assert hilbert.assign_shards(empty, hilbert.document_place(empty), ["doc_id", "text_crc32", "size"]).count() == 0
+
+
+def test_decoding_after_encoding_keeps_no_encoder():
+    from threadloom.llm import common
+
+    bpe.encoder(PATH).encode(["some words", "<|endoftext|>"])
+    assert bpe.decoder(PATH).decode(np.array([50256])) == "<|endoftext|>" and "bpe" in common._HELD
+    assert bpe.decoder(PATH, "bpe_decoding").decode(np.array([50256])) == "<|endoftext|>"
+    assert set(common._HELD) == {"bpe_decoding"}
+    common.drop_held()
+    assert not common._HELD

@@ -148,8 +148,8 @@ class TokenBytes:
         return self.joined[places].tobytes().decode("utf-8", "replace")
 
 
-def decoder(path: str) -> TokenBytes:
-    return held("bpe", ("decoder", path), lambda: TokenBytes(path))
+def decoder(path: str, operator: str = "bpe") -> TokenBytes:
+    return held(operator, ("decoder", path), lambda: TokenBytes(path))
 
 
 def decode(ids: Iterable[int], path: str) -> str:
@@ -168,11 +168,12 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
     return map_arrow(df, rows, schema_with(df, **{ids: "array<int>"}))
 
 
-def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text of each row's token ids as ``text``; null ids give empty text."""
+def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", after_encoding: bool = False) -> DataFrame:
+    """``df`` with the text of each row's token ids as ``text``; null ids give empty text. ``after_encoding``: no task encodes any
+    more, so workers drop what encoding has left in them."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists, known = batch.column(ids), decoder(path)
+        lists, known = batch.column(ids), decoder(path, "bpe_decoding" if after_encoding else "bpe")
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
         texts = [known.decode(flat[start:end]) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
         return with_columns(batch, **{text: pa.array(texts, pa.string())})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import zipfile
@@ -32,14 +35,21 @@ _SENT_TO: set[str] = set()
 _HELD: dict[str, dict] = {}
 
 
+def drop_held(operator: str | None = None) -> None:
+    """Drop what a worker keeps, unless it belongs to ``operator``, and give the memory back to the system."""
+    if _HELD and operator not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(operator: str, name: object, build: Callable[[], object]) -> object:
     """A worker's own value of an operator, built at first use. Workers serve one operator after the other, so what other
     operators left behind is dropped."""
-    if operator not in _HELD:
-        _HELD.clear()
-        _HELD[operator] = {}
-        pa.default_memory_pool().release_unused()
-    values = _HELD[operator]
+    drop_held(operator)
+    values = _HELD.setdefault(operator, {})
     if name not in values:
         values[name] = build()
     return values[name]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import components, map_arrow, partition_count, send_package, small_batches, written
+from threadloom.llm.common import components, drop_held, map_arrow, partition_count, send_package, small_batches, written
 from threadloom.session import scratch_path
 
 SHINGLE = 5
@@ -112,6 +112,7 @@ def _sets_and_counts(documents: DataFrame, target: str) -> None:
     fixed size, written to ``target`` by kind of row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         shift = np.uint64(64 - SKETCH_BITS)
 
