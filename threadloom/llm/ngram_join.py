@@ -263,7 +263,7 @@ def _pivot_pairs(lists: DataFrame) -> DataFrame:
     rows = lists.select("token", "key", "size", coarse.alias("block"))
     members = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
     shared = F.sum("members") / _prefix_length(F.first("size"))
-    weights = rows.join(members, "token").groupBy("key").agg(shared.alias("weight"))
+    weights = written(rows.join(members, "token").groupBy("key").agg(shared.alias("weight")), "weights")
     rows = rows.join(weights, "key")
     pivots = rows.groupBy("token", "block").agg(F.max(F.struct("weight", "key")).alias("pivot"))
     rows = rows.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
@@ -302,6 +302,7 @@ def _centred_pairs(answers: DataFrame, groups: DataFrame, centres: DataFrame) ->
     rows = rows.join(counts.filter("count > 1"), ["centre", "token"], "left").withColumn("count", F.coalesce("count", F.lit(1)))
     # ``left``: the token itself and those behind it. Tokens that only one set has settle no pair.
     rows = rows.withColumn("nth", nth).filter((F.col("nth") <= F.col("first")) & (F.col("count") > 1)).withColumn("left", F.col("n") - F.col("nth") + 1)
+    rows = written(rows.select("centre", "token", "key", "group", "size", "n", "left"), "differences")
     a, b = (rows.select("centre", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "group", "size", "n", "left")]) for side in "ab")
     size_a, size_b = F.col("size_a"), F.col("size_b")
     allowed = F.floor((size_a + size_b) / (NUMERATOR + DENOMINATOR) + 1e-9)
@@ -340,11 +341,11 @@ def _other_pairs(lists: DataFrame, answers: DataFrame, groups: DataFrame) -> Dat
         & (F.col("size_b") <= F.col("reach"))
         & (F.col("left_b") >= _needed(F.col("size_a"), F.col("size_b")))
     )
-    pairs = met.select("a", "b", "size_a", "size_b").distinct()
-    # Common first tokens of the pairs met, counted over all lists: each pair once, a set's lists are few.
-    a_rows = lists.select(F.col("key").alias("a"), "token")
-    b_rows = lists.select(F.col("key").alias("b"), "token")
-    common = pairs.join(a_rows, "a").join(b_rows, ["b", "token"]).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"))
+    pairs = written(met.select("a", "b", "size_a", "size_b").distinct(), "met")
+    # Common first tokens of the pairs met, counted over all lists: a row for each pair, with its two sets' first tokens.
+    first = lists.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    common = pairs.join(first.toDF("a", "tokens_a"), "a").join(first.toDF("b", "tokens_b"), "b")
+    common = common.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
     pairs = common.filter(_enough(F.col("common"), F.col("size_a"), F.col("size_b"))).select("a", "b")
     pairs = pairs.union(_centred_pairs(answers, groups, centres))
     # 1 - similarity is a metric: distances to one pivot that differ by more than the largest one allowed rule a pair out.
