@@ -17,7 +17,7 @@ beside text and language are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import byte_slices, map_arrow, partition_count, send_package, written
+from threadloom.llm.common import byte_slices, drop_held, give_back, map_arrow, partition_count, send_package, small_batches, written
 
 # The punctuation and line ends that phrases do not cross.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -34,7 +34,12 @@ UNKNOWN = "und"
 
 LONGEST = 3
 SHARDS = 3
+# Text handled at a time: much where its distinct hashes are sent, so that they are few; less where phrases are counted, which
+# tasks add up before the shuffle anyway.
 SLICE_BYTES = 24 * 1024**2
+COUNTED_BYTES = 8 * 1024**2
+# Rows that a worker hands out at a time.
+SENT_ROWS = 1 << 17
 # Input bytes for a task that sums hashes: they come to about a quarter of a million words and a million hashes.
 HASH_TASK_BYTES = 4 * 1024**2
 
@@ -54,50 +59,69 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Chunk:
     """Words of some texts as numbers, one sequence for each group; number 0 ends a piece."""
 
-    def __init__(self, texts: list[bytes | None], groups: list):
+    def __init__(self, texts: Iterable[bytes | None], groups: Iterable):
         number: dict[bytes, int] = defaultdict(count(1).__next__)
         parts = defaultdict(list)
         for text, group in zip(texts, groups, strict=True):
             if text:
                 words = text.translate(_TO).replace(_END, b" \xff ").split()
-                parts[group].append(np.fromiter((0 if w == _END else number[w] for w in words), np.int64, len(words)))
+                parts[group].append(np.fromiter((0 if w == _END else number[w] for w in words), np.int32, len(words)))
         self.words = [_END, *number]
-        self.sequences = {g: np.concatenate([x for p in found for x in (p, _ZERO)]) for g, found in parts.items()}
+        del number
+        self.sequences = {g: np.concatenate([x for p in parts.pop(g) for x in (p, _ZERO)]) for g in list(parts)}
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
 
     def phrases(self, group, size: int) -> list[np.ndarray]:
         """The numbers of the first, second, ... words of all phrases of a size."""
         sequence = self.sequences[group]
         columns = [sequence[i : len(sequence) - size + 1 + i] for i in range(size)]
-        whole = np.logical_and.reduce([c > 0 for c in columns])
+        whole = columns[0] > 0
+        for column in columns[1:]:
+            whole &= column > 0
         return [c[whole] for c in columns]
 
     def phrase_hashes(self, columns: list[np.ndarray], lang: str) -> np.ndarray:
         """Hashes of phrases; those of unlike sizes or languages start from unlike values."""
         value = np.full(len(columns[0]), xxhash.xxh3_64_intdigest(lang, seed=len(columns)), np.uint64)
         for column in columns:
-            value = (value ^ self.hashes[column]) * _MIX
+            value ^= self.hashes[column]
+            value *= _MIX
             value ^= value >> np.uint64(29)
         return value
 
 
-_ZERO = np.zeros(1, dtype=np.int64)
+_ZERO = np.zeros(1, dtype=np.int32)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterator[Chunk]:
-    for batch in byte_slices(batches, "text", SLICE_BYTES):
-        keys = [batch.column(g).to_pylist() for g in groups]
-        yield Chunk(batch.column("text").cast(pa.binary()).to_pylist(), list(zip(*keys, strict=True)))
+def _chunks(batches: Iterator[pa.RecordBatch], groups: list[str], most: int) -> Iterator[Chunk]:
+    """Chunks of at most ``most`` bytes of text, or of one longer text; only the one handed out is held."""
+    for batch in byte_slices(batches, "text", most):
+        rows = list(small_batches(iter([batch])))
+        texts = (t for r in rows for t in r.column("text").cast(pa.binary()).to_pylist())
+        yield Chunk(texts, (k for r in rows for k in zip(*[r.column(g).to_pylist() for g in groups], strict=True)))
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and how often each occurs; ``values`` is sorted in place, so that no copy is held beside it."""
+    values.sort()
+    starts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    starts = np.concatenate([np.zeros(min(1, len(values)), dtype=np.int64), starts])
+    return values[starts], np.diff(starts, append=len(values))
 
 
 def local_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, hash, times) of all phrases of one to three words in each chunk."""
-    for chunk in _chunks(batches, ["lang", "shard"]):
+    drop_held()
+    for chunk in _chunks(batches, ["lang", "shard"], SLICE_BYTES):
         for (lang, shard), size in ((g, s) for g in chunk.sequences for s in range(1, LONGEST + 1)):
-            found, times = np.unique(chunk.phrase_hashes(chunk.phrases((lang, shard), size), lang), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), shard, np.int32)), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["shard", "hash", "times"]
-            )
+            found, times = _counted(chunk.phrase_hashes(chunk.phrases((lang, shard), size), lang))
+            for at in range(0, len(found), SENT_ROWS):
+                part = slice(at, at + SENT_ROWS)
+                shards = pa.array(np.full(len(found[part]), shard, np.int32))
+                yield pa.RecordBatch.from_arrays([shards, pa.array(found[part].view(np.int64)), pa.array(times[part])], names=["shard", "hash", "times"])
+            del found, times
+        del chunk
+    give_back()
 
 
 def candidate_hashes(df: DataFrame, support: int, shards: int) -> DataFrame:
@@ -139,41 +163,51 @@ def bit_table(candidates: DataFrame) -> bytes:
     return bytes(table)
 
 
+def known_phrases(batches: Iterator[pa.RecordBatch], table: bytes, most: int = COUNTED_BYTES) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, times) of the phrases in each chunk that the bit table knows, and with null for phrase the number of words."""
+    drop_held()
+    marked, bits = np.frombuffer(table, np.uint8), (len(table) * 8).bit_length() - 1
+
+    def counted(lang: str, phrases: list, times: np.ndarray) -> pa.RecordBatch:
+        text = pa.array(phrases, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), text, pa.array(times)], names=["lang", "phrase", "times"])
+
+    def found_in(chunk: Chunk, lang: str, size: int) -> Iterator[pa.RecordBatch]:
+        words, columns = chunk.words, chunk.phrases((lang,), size)
+        if size == 1:
+            yield counted(lang, [None], np.array([len(columns[0])], dtype=np.int64))
+        place = chunk.phrase_hashes(columns, lang) >> np.uint64(64 - bits)
+        hit = (marked[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
+        columns = [c[hit == 1] for c in columns]
+        del place, hit
+        # Equal phrases have equal numbers, so these are added up without a hash.
+        key, keys = columns[0].astype(np.int64), []
+        for column in columns[1:]:
+            known, key = np.unique(key, return_inverse=True)
+            keys.append(known)
+            key = key * len(words) + column
+        found, times = _counted(key)
+        parts, rest = [], found
+        for known in reversed(keys):
+            parts.append(rest % len(words))
+            rest = known[rest // len(words)]
+        parts.append(rest)
+        phrases = [b" ".join([words[i] for i in p]) for p in zip(*[p.tolist() for p in reversed(parts)], strict=True)]
+        yield counted(lang, phrases, times)
+
+    for chunk in _chunks(batches, ["lang"], most):
+        for (lang,), size in ((g, s) for g in chunk.sequences for s in range(1, LONGEST + 1)):
+            yield from found_in(chunk, lang, size)
+        del chunk
+    give_back()
+
+
 def phrase_counts(df: DataFrame, table: bytes) -> DataFrame:
     """(lang, phrase, times) of all phrases the bit table knows, and for each language, with null for phrase, the number of its words."""
-    shared, bits = df.sparkSession.sparkContext.broadcast(table), (len(table) * 8).bit_length() - 1
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.frombuffer(shared.value, np.uint8)
-
-        def counted(lang: str, phrases: list, times: np.ndarray) -> pa.RecordBatch:
-            text = pa.array(phrases, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), text, pa.array(times)], names=["lang", "phrase", "times"])
-
-        for chunk in _chunks(batches, ["lang"]):
-            words = chunk.words
-            for (lang,) in chunk.sequences:
-                for size in range(1, LONGEST + 1):
-                    columns = chunk.phrases((lang,), size)
-                    if size == 1:
-                        yield counted(lang, [None], np.array([len(columns[0])], dtype=np.int64))
-                    place = chunk.phrase_hashes(columns, lang) >> np.uint64(64 - bits)
-                    hit = (marked[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
-                    columns = [c[hit == 1] for c in columns]
-                    # Equal phrases have equal numbers, so these are added up without a hash.
-                    key, keys = columns[0], []
-                    for column in columns[1:]:
-                        known, key = np.unique(key, return_inverse=True)
-                        keys.append(known)
-                        key = key * len(words) + column
-                    found, times = np.unique(key, return_counts=True)
-                    parts, rest = [], found
-                    for known in reversed(keys):
-                        parts.append(rest % len(words))
-                        rest = known[rest // len(words)]
-                    parts.append(rest)
-                    phrases = [b" ".join([words[i] for i in p]) for p in zip(*[p.tolist() for p in reversed(parts)], strict=True)]
-                    yield counted(lang, phrases, times.astype(np.int64))
+        yield from known_phrases(batches, shared.value)
 
     return map_arrow(df, rows, "lang string, phrase string, times bigint").groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
 

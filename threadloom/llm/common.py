@@ -35,14 +35,19 @@ _SENT_TO: set[str] = set()
 _HELD: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Give a worker's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_held(operator: str | None = None) -> None:
     """Drop what a worker keeps, unless it belongs to ``operator``, and give the memory back to the system."""
     if _HELD and operator not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def held(operator: str, name: object, build: Callable[[], object]) -> object:
