@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, hilbert, token_store
+from threadloom.llm import bpe, common, hilbert, token_store
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,17 @@ def test_small_memory(monkeypatch, library):
             assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(part)] == [ids_of(library, t) for t in part]
 
 
+def test_workers_keep_a_bounded_part_of_the_words():
+    """300 000 distinct words leave no more in a worker than the bounds of the encoder and the last batch; before, all stayed."""
+    common._HELD.pop("bpe", None)
+    own, rng = bpe.encoder(PATH), random.Random(8)
+    words = [f"{i:x}" for i in rng.sample(range(16**5, 16**6), 300_000)]
+    ids = [own.encode([" ".join(words[i : i + 10_000])])[0] for i in range(0, len(words), 10_000)]
+    assert own.encode([" ".join(words[:10_000])])[0] == ids[0] and bpe.decode(np.frombuffer(ids[3], "<u4"), PATH) == " ".join(words[30_000:40_000])
+    assert len(own.chunks) <= bpe.KEPT + bpe.KEPT_FOR_A_WHILE + 10_001 < 270_000
+    common._HELD.pop("bpe", None)
+
+
 def test_decoding_any_ids():
     assert bpe.decode([-1, 10**6], PATH) == ""
     assert bpe.decode([50256], PATH) == "<|endoftext|>"

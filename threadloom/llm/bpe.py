@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threadloom.llm.common import SLICE_BYTES, byte_slices, held, list_array, map_arrow, map_batches, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, give_back, held, list_array, map_arrow, map_batches, schema_with, with_columns
 from threadloom.llm.pretokens import PieceEncoder, added_tokens
 
 
-# Results of pair tests that a worker keeps.
-PAIRS_KEPT = 400_000
+# What a worker keeps: results of pair tests, and ids of pieces and of chunks, for good and for a while. An executor holds that once for
+# each of its cores, beside a heap that earlier stages of the pipeline have grown.
+PAIRS_KEPT = 200_000
+KEPT, KEPT_FOR_A_WHILE = 200_000, 50_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -119,7 +121,8 @@ class PrefixBpe:
 def encoder(path: str) -> PieceEncoder:
     def build() -> PieceEncoder:
         bpe = PrefixBpe(path)
-        return PieceEncoder(lambda pieces: [np.array(ids, dtype="<u4").tobytes() for ids in bpe.encode(pieces)], added_tokens(path))
+        ids_of = lambda pieces: [np.array(ids, dtype="<u4").tobytes() for ids in bpe.encode(pieces)]
+        return PieceEncoder(ids_of, added_tokens(path), KEPT, KEPT_FOR_A_WHILE)
 
     return held("bpe", ("encoder", path), build)
 
@@ -164,6 +167,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
             raw = encoder(path).encode(batch.column(text).to_pylist())
             flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
             yield with_columns(batch, **{ids: list_array(flat, [len(r) // 4 for r in raw])})
+        give_back()
 
     return map_arrow(df, rows, schema_with(df, **{ids: "array<int>"}))
 

@@ -31,16 +31,17 @@ FIRST = "\x00 \x00"
 class _Memory(dict):
     """Ids by text: what comes first stays, later entries make room for newer ones."""
 
-    def __init__(self):
+    def __init__(self, kept: int, kept_for_a_while: int):
+        self.kept, self.kept_for_a_while = kept, kept_for_a_while
         self.recent: list[str] = []
 
     def put(self, values: dict[str, bytes]) -> None:
-        room = KEPT - (len(self) - len(self.recent))
+        room = self.kept - (len(self) - len(self.recent))
         self.recent += itertools.islice(values, max(0, room), None)
         self.update(values)
 
     def make_room(self) -> None:
-        if len(self.recent) > KEPT_FOR_A_WHILE:
+        if len(self.recent) > self.kept_for_a_while:
             for text in self.recent:
                 del self[text]
             self.recent = []
@@ -52,9 +53,12 @@ class PieceEncoder:
     Texts come in batches. What a batch has that is not remembered is encoded first, in one call.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int]):
+    def __init__(
+        self, encode_pieces: Callable[[list[str]], list[bytes]], added: dict[str, int], kept: int | None = None, kept_for_a_while: int | None = None
+    ):
         self.encode_pieces, self.split = encode_pieces, regex.compile(PATTERN).findall
-        self.pieces, self.chunks = _Memory(), _Memory()
+        bounds = KEPT if kept is None else kept, KEPT_FOR_A_WHILE if kept_for_a_while is None else kept_for_a_while
+        self.pieces, self.chunks = _Memory(*bounds), _Memory(*bounds)
         self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in added.items()}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
