@@ -97,6 +97,26 @@ def test_near_copies_that_do_not_link(spark, monkeypatch):
     assert compared[0] <= ngram_join.PIVOTS * len(rows) and sum(compared) < 600, compared
 
 
+def test_what_the_join_sends_is_small(spark):
+    """Sets take less than 5.4 bytes a token, counts as many bytes as the largest needs, and no row is repeated for the blocks of its list."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 800, 70_000):
+        tokens = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (ngram_join._unpacked(ngram_join._packed(tokens)) == tokens >> np.uint64(16)).all()
+    assert len(ngram_join._packed(tokens[::90].copy())) < 5.4 * len(tokens[::90])
+    for most, width in ((255, 1), (256, 2), (1 << 16, 4), (1 << 32, 8)):
+        part = np.arange(ngram_join.SLICE) % 200
+        part[7] = most
+        raw = ngram_join._narrow(part)
+        assert len(raw) == width * ngram_join.SLICE and (ngram_join._wide(raw) == part).all()
+    # Sizes whose blocks are 17 (two sets), 18 and 20: the pivot of a block is met from the block itself and from the ones beside it.
+    lists = spark.createDataFrame([(t, k, s, t) for t in (1, 2, 3) for k, s in ((11, 45), (12, 46), (13, 60), (14, 90))], "token long, key long, size long, place long")
+    pairs = ngram_join._pivot_pairs(lists)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    assert sorted(map(tuple, pairs.collect())) == [(12, 11), (12, 13), (13, 11), (13, 12)]
+
+
 def test_empty_join(spark):
     assert ngram_join.mark_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -107,6 +107,15 @@ def prefix_length(n: int) -> int:
 # ---------------------------------------------------------------- classes and token counts
 
 
+def _narrow(part: np.ndarray) -> bytes:
+    """A slice of the table of counts in as few bytes each as its largest count needs."""
+    return part.astype(f"<u{next(w for w in (1, 2, 4, 8) if not int(part.max()) >> 8 * w)}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // SLICE}").astype(np.int64)
+
+
 def _sets_and_counts(documents: DataFrame, target: str) -> None:
     """One pass over the texts: size and fingerprint of each set, and the task's token counts in slices of a table of
     fixed size, written to ``target`` by kind of row."""
@@ -135,7 +144,7 @@ def _sets_and_counts(documents: DataFrame, target: str) -> None:
         for i in range(0, len(counts), SLICE):
             part = counts[i : i + SLICE]
             if part.any():
-                yield batch_of([None], [None], [None], [None], [i // SLICE], [part.astype("<u4").tobytes()])
+                yield batch_of([None], [None], [None], [None], [i // SLICE], [_narrow(part)])
 
     schema = "doc_id long, n_shingles long, print binary, key long, slice int, counts binary"
     out = map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
@@ -149,8 +158,8 @@ def _summed_counts(rows: DataFrame) -> np.ndarray:
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, dtype=np.int64)
         for raw in group["counts"]:
-            total += np.frombuffer(raw, dtype="<u8" if len(raw) == 8 * SLICE else "<u4").astype(np.int64)
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "part": [0], "counts": [total.astype("<u8").tobytes()]})
+            total += _wide(raw)
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "part": [0], "counts": [_narrow(total)]})
 
     schema = "slice int, part int, counts binary"
     rows = rows.select("slice", (F.abs(F.xxhash64("counts")) % 64).cast("int").alias("part"), "counts")
@@ -159,7 +168,7 @@ def _summed_counts(rows: DataFrame) -> np.ndarray:
     rows = rows.groupBy("slice").applyInPandas(add, schema)
     table = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows.collect():
-        table[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r["counts"], dtype="<u8").astype(np.int64)
+        table[r.slice * SLICE : (r.slice + 1) * SLICE] = _wide(r["counts"])
     return table
 
 
@@ -264,10 +273,12 @@ def _pivot_pairs(lists: DataFrame) -> DataFrame:
     members = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members"))
     shared = F.sum("members") / _prefix_length(F.first("size"))
     weights = written(rows.join(members, "token").groupBy("key").agg(shared.alias("weight")), "weights")
-    rows = rows.join(weights, "key")
-    pivots = rows.groupBy("token", "block").agg(F.max(F.struct("weight", "key")).alias("pivot"))
-    rows = rows.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    pairs = rows.drop("weight").join(pivots, ["token", "block"]).filter(F.col("key") != F.col("pivot.key"))
+    # Dealt by token once, for the pivots and for their join, which both read the same columns: a list has few blocks, so its rows
+    # meet all its pivots and keep those of their own block and the two beside it.
+    rows = rows.drop("block").join(weights, "key").repartition("token").withColumn("block", coarse)
+    pivots = rows.groupBy("token", "block").agg(F.max(F.struct("weight", "key")).alias("pivot")).withColumnRenamed("block", "pivot_block")
+    near = F.abs(F.col("block") - F.col("pivot_block")) <= 1
+    pairs = rows.join(pivots, "token").filter(near & (F.struct("weight", "key") != F.col("pivot")))
     pairs = pairs.groupBy("pivot", F.col("key").alias("b"), "size").agg(F.count(F.lit(1)).alias("common"))
     pairs = pairs.filter((F.col("common") > 1) | (4 * F.col("common") >= _prefix_length(F.col("size"))))
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("common"), F.desc("pivot")))
@@ -381,12 +392,21 @@ def _in_cells(table: np.ndarray, *values: int) -> bool:
 
 
 def _packed(shingles: np.ndarray) -> bytes:
-    return shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """The leading 48 bits of sorted hashes: the first byte of each as a mark behind those of the hashes and values before it, then the
+    other five bytes of each."""
+    raw = shingles.view(np.uint8).reshape(-1, 8)
+    marks = np.zeros(len(raw) + 256, dtype=np.uint8)
+    marks[raw[:, 7] + np.arange(len(raw))] = 1
+    return struct.pack("<I", len(raw)) + np.packbits(marks).tobytes() + raw[:, 2:7].tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    n = struct.unpack_from("<I", raw)[0]
+    at = 4 + (n + 256 + 7) // 8
+    marks = np.unpackbits(np.frombuffer(raw[4:at], dtype=np.uint8), count=n + 256)
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8, offset=at).reshape(n, 5)
+    wide[:, 5] = np.flatnonzero(marks) - np.arange(n)
     return wide.view("<u8").ravel()
 
 
