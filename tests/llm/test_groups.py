@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,22 @@ def test_pipeline_rows_without_or_with_repeated_ids(spark, tmp_path):
     got = decided(corpus_pipeline.keep_one_of_each_group, rows)
     assert sum(t in (a, a + " more") for _, t, _, _ in got) == 1
     assert [r for r in got if r[1] not in (a, a + " more")] == sorted([rows[0], rows[4], rows[5], rows[8]], key=str)
+
+
+def test_pipeline_stage_called_alone_sends_small_batches(spark):
+    import corpus_pipeline
+
+    rows, size = corpus_pipeline.BATCHES
+    before = {name: spark.conf.get(name, None) for name in corpus_pipeline.BATCHES}
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    longest = lambda: max(r.n for r in spark.range(0, 4000, 1, 1).mapInArrow(count, "n long").collect())
+    docs = spark.createDataFrame([(1, "some words", "en", "x")], "doc_id long, text string, lang string, source string")
+    try:
+        for own, expected in ((None, 1000), ("3000", 3000)):
+            spark.conf.unset(size)
+            spark.conf.unset(rows) if own is None else spark.conf.set(rows, own)
+            corpus_pipeline.encode(spark, docs, "")
+            assert longest() == expected
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_arrow, small_batches
+from threadloom.llm.common import drop_held, map_arrow, small_batches
 from threadloom.llm.toxicity import words_of
 
 THRESHOLD = 0.4
@@ -202,6 +202,7 @@ def find(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
         index = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in chosen.collect())))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            drop_held()
             known = index.value
             for batch in small_batches(batches):
                 rows = []

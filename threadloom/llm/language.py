@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SLICE_BYTES, byte_slices, map_arrow, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, drop_held, give_back, map_arrow, schema_with, with_columns
 
 SAMPLE = 4_000
 MODEL_WORDS = 6_000
@@ -167,6 +167,7 @@ def train(documents: DataFrame, vocabulary_path: str, sample: int = SAMPLE) -> M
     rows = documents.select("doc_id", "lang", "text").dropna().join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
@@ -249,9 +250,12 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(Model(model.languages, model.pieces, model.rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         table = WordTable(sent.value)
         for batch in byte_slices(batches, text, SLICE_BYTES):
             found = [predict_text(t.as_py(), table) for t in batch.column(text)]
             yield with_columns(batch, lang_pred=pa.array([f[0] for f in found], pa.string()), score=pa.array([f[1] for f in found], pa.float64()))
+        del table
+        give_back()
 
     return map_arrow(df, run, schema_with(df, lang_pred="string", score="double"))

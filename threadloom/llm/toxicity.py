@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SLICE_BYTES, byte_slices, map_arrow, schema_with, with_columns
+from threadloom.llm.common import SLICE_BYTES, byte_slices, drop_held, give_back, map_arrow, schema_with, with_columns
 from threadloom.llm.licenses import AS_WORDS
 
 SAMPLE = 40_000
@@ -145,6 +145,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
     rows = labelled_sample(documents, labels, label, sample).dropna().groupBy("text").agg(F.max("label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, kind in zip(batch.column(0), batch.column(1), strict=True):
@@ -218,6 +219,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     passage = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         learned = sent.value
         cache = WordScores(learned)
         for batch in byte_slices(batches, text, SLICE_BYTES):
@@ -229,5 +231,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 predicted=pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
                 passages=pa.array([f[1] for f in found], passage),
             )
+        del cache
+        give_back()
 
     return map_arrow(df, run, schema_with(df, score="double", predicted="int", passages=PASSAGES))
