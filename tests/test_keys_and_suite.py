@@ -7,7 +7,7 @@ from threadloom.operators import keys
 from threadloom.operators.exploration import author_counts, column_groups, first_with_values, not_deleted, prefixed_columns
 from threadloom.operators.lookups import array_lookup
 from threadloom.plans.suite import DOCUMENT_SUITE, SQL_SUITE, document_table, high_average_subreddits_joined
-from threadloom.sources.ndjson import read_documents
+from threadloom.sources.ndjson import PLACE, read_documents
 
 
 def hot_rows(count=3000, seed=1):
@@ -180,3 +180,15 @@ def test_exploration(spark):
     assert [r.awarders for r in groups["awards_flair_keys"].orderBy("id").collect()] == [None, '["x"]', None, None]
     arrays = df.withColumn("awards", F.from_json("awarders", "array<string>"))
     assert [r.id for r in first_with_values(arrays, F.col("awards"), ["id"]).collect()] == ["2"]
+
+
+def test_marked_rows_are_exact_and_small(spark):
+    numbers = [0, 1, 5, 32767, 32768, 32769, 65536, (1 << 33), (1 << 33) + 32768]
+    rows = spark.createDataFrame([(f, b, n) for f in ("x", "y") for b in (0, 64) for n in numbers], "file_path string, block_start bigint, row_id bigint")
+    chosen = rows.filter("(row_id % 32768 < 2 and file_path = 'x') or row_id = 5 and block_start = 64")
+    found = keys.with_mark(rows, keys.marked_rows(chosen, PLACE), PLACE, "copy")
+    assert found.columns == [*rows.columns, "copy"] and found.count() == rows.count()
+    assert sorted(found.filter("copy").drop("copy").collect()) == sorted(chosen.collect())
+    # So many places are joined without a shuffle of the rows that meet them, though as rows they would be beyond the bound.
+    many = spark.range(200_000).select(F.lit("x").alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.col("id").alias("row_id"))
+    assert keys.marked_rows(many, PLACE).count() <= 8

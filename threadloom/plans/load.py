@@ -31,7 +31,7 @@ from threadloom.operators.cleaners import (
     project,
 )
 from threadloom.operators.key_filter import FILTER_SCHEMA, filter_size, key_filter, key_text, possible_hits
-from threadloom.operators.keys import first_seen
+from threadloom.operators.keys import first_seen, marked_rows, with_mark
 from threadloom.session import counted_broadcast, drop_scratch, scratch_path, tune
 from threadloom.sinks import commits as log
 from threadloom.sinks.commits import Commit, Part
@@ -40,8 +40,9 @@ from threadloom.sources.line_index import first_lines_of
 from threadloom.sources.ndjson import MALFORMED, PLACE, parse_records, read_documents, read_lines
 
 LEDGER_SCHEMA = "file string, `table` string"
-# Marks rows with a value their type cannot hold, on the way to the files.
+# Mark rows with a value their type cannot hold, on the way to the files, and rows whose key came before.
 LOST = "_lost"
+COPY = "_copy"
 QUARANTINE_SCHEMA = (
     "`table` string, kind string, fault string, value string, file_path string, block_start bigint, row_id bigint"
 )
@@ -283,10 +284,12 @@ def load_records(
         keys, rows = catalog.key(table), kept[table]
         suspects = rows.select(key_text(keys).alias("key"), *order).join(repeated.filter(F.col("table") == table).drop("table"), "key")
         first = first_seen(suspects.filter(~F.col("stored")), ["key"], order).select(*order)
-        copies, n_copies = counted_broadcast(suspects.select(*order).join(first, list(order), "left_anti"))
+        # A bit for each row, so that most often the rows themselves need no shuffle to find the copies among them.
+        copies, n_copies = counted_broadcast(marked_rows(suspects.select(*order).join(first, list(order), "left_anti"), order))
         if n_copies:
-            reject(_rejected(rows.join(copies, list(order), "left_semi"), F.lit("key_repeated"), fields), table)
-            kept[table] = rows.join(copies, list(order), "left_anti")
+            is_copy = with_mark(rows, copies, order, COPY)
+            reject(_rejected(is_copy.filter(COPY).drop(COPY), F.lit("key_repeated"), fields), table)
+            kept[table] = is_copy.filter(~F.col(COPY)).drop(COPY)
             repeated_in = repeated_in or table
     failed = on_duplicate == "fail" and repeated_in
 
